@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hyperminhash, packing, substring
+from tessera.llm import (
+    decontaminate,
+    hyperminhash,
+    linededup,
+    packing,
+    quality,
+    secrets,
+    substring,
+    toxicity,
+    urlfilter,
+    warc,
+)
 from tessera.llm.common import table
 
 
@@ -18,6 +29,65 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed by the query: (action, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"), "n_entropy",
+    )
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its number of lines and the numbers of those removed."""
+    docs = table(spark, sf_dir, "documents")
+    gone = linededup.repeated_lines(docs).groupBy(F.col("doc_id").alias("of")).agg(
+        F.sort_array(F.collect_set("line")).alias("removed"), F.sum(F.col("distance").cast("long")).alias("edits")
+    )
+    lines = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
+    return lines.join(gone, F.col("doc_id") == F.col("of"), "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("edits", F.lit(0)).alias("n_near"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = urlfilter.verdicts(pages, urlfilter.rule_table(spark, URL_RULES))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,9 +105,79 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_hyperminhash": op4_hyperminhash,
-    "op7_substring_dedup": op7_substring_dedup,
-    "op10_packing": op10_packing,
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_warc, op3_quality_rules, op4_hyperminhash, op5_toxicity, op6_line_dedup,
+        op7_substring_dedup, op8_decontamination, op9_url_filter, op10_packing,
+    )
+}
+
+_OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     s AS (SELECT page_id, sha256(html) AS payload_digest, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes FROM p),
+     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM s)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+_OP3_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, string_split(t, chr(10)) AS ls FROM d),
+     n AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+     v AS (SELECT doc_id, i, word, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS win,
+                  lead(word, 4) OVER o IS NOT NULL AS fits FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+     r AS (SELECT doc_id, i, fits AND count(*) OVER (PARTITION BY doc_id, win, fits) > 1 AS again FROM v),
+     c AS (SELECT doc_id, count(*) FILTER (WHERE hit) AS n_repeat_words FROM (
+             SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM r) GROUP BY doc_id),
+     l AS (SELECT doc_id, unnest(ls) AS line FROM w),
+     j AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS m,
+                  length(line) - length(translate(line, '#*$%&|<>', '')) AS sym, length(line) - length(translate(line, '|»•›', '')) AS sep,
+                  length(line) - length(translate(line, '.,;:!?', '')) AS punct FROM l),
+     g AS (SELECT doc_id, CAST(count(*) FILTER (WHERE m > 0) - count(DISTINCT line) FILTER (WHERE m > 0) AS BIGINT) AS n_dup_lines,
+                  CAST(sum(m) FILTER (WHERE NOT (m > 0 AND (sym * 100 > 10 * length(line) OR (sep >= 3 AND sep * 5 >= m)
+                    OR regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|subscribe to our newsletter|click here|sign in to continue')
+                    OR (m > 200 AND punct = 0)))) AS BIGINT) AS words_left FROM j GROUP BY doc_id),
+     a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+                  CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                  n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(words_left, 0) AS words_left
+           FROM w JOIN g ON g.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left * 100 >= n_words * 50 AS kept
+FROM a
+"""
+
+_OP9_SQL = """
+WITH rules(action, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                                            ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+     u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+     p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+     m AS (SELECT page_id, rhost || rpath AS rule, action,
+                  row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, action DESC, rhost || rpath DESC) AS k
+           FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1
+"""
+
+#: The two that scan windows are whole-table window functions in SQL.
+_OP7_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     n AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+     v AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER o = 13 THEN string_agg(word, ' ') OVER o END AS win FROM n
+           WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+     f AS (SELECT doc_id, i, word, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM v),
+     c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f),
+     k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": _OP2_SQL,
+    "op3_quality_rules": _OP3_SQL,
+    "op7_substring_dedup": _OP7_SQL,
+    "op9_url_filter": _OP9_SQL,
 }
-
-ORACLE_SQL: dict[str, str] = {}
