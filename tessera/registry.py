@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.queries import base, formulas
 
-from pyspark.sql import DataFrame, SparkSession
+QUERIES = base.QUERIES
+ORACLE_SQL = base.SQL
+FLAGSHIP = "formula_pool"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "formula_panel"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "base", "formulas"]
