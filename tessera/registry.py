@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.queries import base, formulas
+from tessera.queries import base, formulas, scores
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.SQL
 FLAGSHIP = "formula_pool"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "base", "formulas"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "base", "formulas", "scores"]
