@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.queries import base, formulas, scores
+from tessera.queries import base, formulas, panels, scores
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.SQL
 FLAGSHIP = "formula_pool"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "base", "formulas", "scores"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "base", "formulas", "panels", "scores"]
