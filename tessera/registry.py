@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.queries import base, formulas, panels, portfolios, scores
+from tessera.queries import base, extras, formulas, panels, portfolios, scores
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.SQL
 FLAGSHIP = "formula_pool"
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "base", "formulas", "panels", "portfolios", "scores"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "base", "extras", "formulas", "panels", "portfolios", "scores"]
