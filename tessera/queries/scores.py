@@ -245,7 +245,7 @@ def test_holm(spark, sf_dir):
     return inference.holm(_tests(spark, sf_dir), "p").select("signal", rounded("p_holm").alias("p_holm"))
 
 
-@query(f"""WITH {_IC}, d AS (SELECT a.ic - b.ic AS d FROM ic a JOIN ic b ON a.date = b.date AND a.signal = 'momentum' AND b.signal = 'reversal' WHERE a.ic <> b.ic),
+@query(f"""WITH {_IC}, d AS (SELECT d FROM (SELECT {r('a.ic - b.ic', 9)} AS d FROM ic a JOIN ic b ON a.date = b.date AND a.signal = 'momentum' AND b.signal = 'reversal') WHERE d <> 0),
      k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY abs(d)) AS c FROM d)
      SELECT count(*) AS n, {r('sum(CASE WHEN d > 0 THEN rk ELSE 0 END)', 3)} AS w_plus,
             {r('(sum(CASE WHEN d > 0 THEN rk ELSE 0 END) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - sum(c * c - 1) / 48.0)')} AS z FROM k""")
