@@ -7,11 +7,12 @@ Empty buckets borrow from a filled one chosen by a hash of the bucket, so that
 small sets have full sketches too.
 
 1. Documents with equal sets become one class, represented by its smallest id.
-2. Registers are banded (``ROWS`` at a time); classes sharing a band are
-   candidates.  A band's members are compared with one centre, the member that
-   shares most bands with others; what stays in different components is then
-   compared with further centres, and in the end member by member, so no link is
-   lost to a large band and no band emits all its pairs.
+2. Registers are banded (``ROWS`` at a time); classes that share a band are
+   candidates.  First each band's members are compared with its centre only, the
+   member that shares most bands with others, and what links is joined.  Clusters
+   (classes connected by shared bands) that are still in several parts are then
+   compared in blocks, so no link is lost to a large band and no band emits all
+   its pairs.
 3. Candidates whose collision-corrected Jaccard estimate is far below the
    threshold are left out; the rest are confirmed on their full sets.
 4. Confirmed links give components.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ BANDS = REGISTERS // ROWS
 SMALL = 256
 #: The estimate is short of the true value by more than this with a chance below 1e-9.
 MARGIN = 0.25
-STAR_ROUNDS = 6
+#: Full sets that one block of a cluster may hold.
+BLOCK_BYTES = 6_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -183,21 +186,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (a, b))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [
+                _linked(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), percent)
+                for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def cluster_links(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between members of one cluster that have different roots.
+
+    ``members`` has doc_id, cluster, root, registers.  A cluster is cut into
+    blocks of bounded size and every pair of its blocks is one group; each group
+    compares registers first and full sets where they allow a link.  Members
+    that a group has joined are not compared again, so it returns fewer links
+    than it has members, and those are enough to connect what is linked.
+    """
+    full = members.join(sets, "doc_id").withColumn("size", F.octet_length("shingles"))
+    blocks = full.groupBy("cluster").agg(F.ceil(F.sum("size") / F.lit(block_bytes)).cast("int").alias("blocks"))
+    dealt = full.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.struct("cluster", F.least("own", "other"), F.greatest("own", "other"))
+    threshold = percent / 100
+
+    def compare(key, pdf):
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        ids, n = pdf.doc_id.to_numpy(), len(pdf)
+        marks = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(n, REGISTERS)
+        sets_here = [np.frombuffer(x, "<u8") for x in pdf.shingles]
+        sizes = np.fromiter(map(len, sets_here), np.int64, n)
+        label = np.unique(pdf.root.to_numpy(), return_inverse=True)[1]
+        own = pdf.own.to_numpy()
+        one = (own == own[0]).all()
+        found = []
+        for i in range(n - 1):
+            rest = slice(i + 1, n)
+            n_i, n_j = sizes[i], sizes[rest]
+            small, large = np.minimum(n_i, n_j), np.maximum(n_i, n_j)
+            may = (label[rest] != label[i]) & (100 * small >= percent * large)
+            if not one:
+                may &= own[rest] != own[i]  # pairs within a block belong to another group
+            at = np.flatnonzero(may)
+            if not len(at):
+                continue
+            at += i + 1
+            share = estimated_jaccard(marks[i][None, :], marks[at], np.full(len(at), n_i), sizes[at])
+            at = at[(np.minimum(n_i, sizes[at]) < SMALL) | (share >= threshold - MARGIN)]
+            for j in at:
+                if label[i] != label[j] and _linked(sets_here[i], sets_here[j], percent):
+                    found.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return (
+        dealt.select(group.alias("group"), "doc_id", "root", "registers", "shingles", "own")
+        .groupBy("group")
+        .applyInPandas(compare, "a long, b long")
+    )
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -214,8 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     sketches(docs, width).write.parquet(path)
     every = spark.read.parquet(path)
     full = every.where("n_shingles > 0 and doc_id is not null")
-    first = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class"))
-    classes = cut(first)
+    classes = cut(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class")))
     reps = full.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi")
     reps = reps.select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"])
 
@@ -223,56 +282,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     bands = cut(keys.join(shared, "key"))
     rank = bands.groupBy("doc_id").agg(F.sum("members").alias("rank"))
-    bands = cut(bands.select("key", "doc_id").distinct().join(rank, "doc_id"))
-    ids = rank.select("doc_id")
+    bands = bands.join(rank, "doc_id")
+    centre = bands.groupBy("key").agg(F.max_by("doc_id", F.struct("rank", -F.col("doc_id"))).alias("centre"))
+    pairs = cut(
+        bands.join(centre, "key")
+        .where("doc_id != centre")
+        .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+        .distinct()
+    )
+    clusters = components(pairs).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
     set_path = scratch_path(spark, "sets")
-    full_sets(docs.join(ids, "doc_id", "left_semi"), width).write.parquet(set_path)
+    full_sets(docs.join(clusters, "doc_id", "left_semi"), width).write.parquet(set_path)
     sets = spark.read.parquet(set_path)
-    of_bands = cut(reps.join(ids, "doc_id", "left_semi"))
-
-    links = None
-    tried = None
-    left = bands.withColumn("root", F.col("doc_id"))
-    for turn in range(STAR_ROUNDS + 1):
-        groups = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-        left = cut(left.join(groups.where("low < high").select("key", "n"), "key"))
-        size = left.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
-        if not size.n:
-            break
-        last = turn == STAR_ROUNDS or size.most <= 4
-        if last:
-            other = left.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-            pairs = left.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and root != rb")
-        else:
-            # the turn-th member by rank, by repeated maximum: earlier centres are marked as used
-            centre = left.where("rank >= 0").groupBy("key").agg(
-                F.max_by(F.struct(F.col("doc_id"), F.col("root")), F.struct("rank", -F.col("doc_id"))).alias("c")
-            )
-            with_centre = cut(left.join(centre, "key"))
-            pairs = with_centre.where("doc_id != c.doc_id and root != c.root").select(
-                F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")
-            )
-            left = with_centre.withColumn("rank", F.when(F.col("doc_id") == F.col("c.doc_id"), -1).otherwise(F.col("rank"))).drop("c")
-        pairs = pairs.select("a", "b").distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        new = cut(confirmed(_likely(pairs, of_bands, percent / 100), sets, percent))
-        if not new.isEmpty():
-            links = new if links is None else cut(links.union(new))
-            roots = components(links)
-            left = left.drop("root").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-                "root", F.coalesce("root", "doc_id")
-            )
-        if last:
-            break
-        left = cut(left.drop("n"))
-
-    classed = classes
-    if links is not None:
-        classed = classes.join(components(links).withColumnRenamed("node", "class"), "class", "left")
-    else:
-        classed = classes.withColumn("root", F.lit(None).cast("long"))
-    classed = classed.select("n_shingles", "f1", "f2", F.coalesce("root", "class").alias("root"))
+    of_bands = cut(reps.join(clusters, "doc_id"))
+
+    links = cut(confirmed(_likely(pairs, of_bands, percent / 100), sets, percent))
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    members = of_bands.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    several = members.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    # a cluster of two has been compared already
+    left = members.join(several.where("low < high and n > 2").select("cluster"), "cluster")
+    more = cluster_links(left.select("doc_id", "cluster", "root", "registers"), sets, percent)
+    roots = components(links.union(more))
+
+    classed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+        "n_shingles", "f1", "f2", F.coalesce("root", "class").alias("root")
+    )
     out = every.select("doc_id", "n_shingles", "f1", "f2").join(classed, ["n_shingles", "f1", "f2"], "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     out = cut(out.select("doc_id", "n_shingles", component.alias("component_id")))
