@@ -33,7 +33,7 @@ from tessera.llm.packing import slices
 ANCHOR = 8
 DEPTH = 2
 SHARD_BITS = 20  # cells of one shard of the merged sketch: 2 ** SHARD_BITS
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 3_000_000
 
 
 def _anchors(grams: np.ndarray, window: int, anchor: int, at: np.ndarray) -> np.ndarray:
@@ -174,18 +174,11 @@ def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Da
     key = F.crc32(F.col("text").cast("binary")) if shared_ids else F.lit(0).cast("long")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     expected = max(1, total // 18)  # anchors: about one for three words
-    bits = max(SHARD_BITS, int(expected * 6).bit_length())
+    bits = max(SHARD_BITS, int(expected * 3).bit_length())
     use = bits <= max_bits + 2
     bits = min(bits, max_bits)
-    shipped = spark.sparkContext.broadcast(sketch_windows(docs, window, bits)) if use else None
+    shipped = spark.sparkContext.broadcast(_repeated(sketch_windows(docs, window, bits), bits)) if use else None
     anchor = _anchor_width(window)
-    here: dict = {}
-
-    def bitmaps() -> list[np.ndarray]:
-        if "rows" not in here:
-            here["rows"] = _repeated(shipped.value, bits)
-        return here["rows"]
-
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches, CHUNK_CHARS):
             ids = table.column("doc_id").to_numpy()
@@ -197,7 +190,7 @@ def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Da
                 grams = window_hashes(first, anchor)
                 anchors, back = np.unique(_anchors(grams, window, anchor, at), return_inverse=True)
                 keep = np.ones(len(anchors), bool)
-                for bitmap, cell in zip(bitmaps(), _cells(grams[anchors], bits), strict=True):
+                for bitmap, cell in zip(shipped.value, _cells(grams[anchors], bits), strict=True):
                     keep &= _has(bitmap, cell)
                 at, row = at[keep[back]], row[keep[back]]
             if len(at):
