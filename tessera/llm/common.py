@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         has = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = has.get() if has.isDefined() else None
     if not set_dir:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
         set_dir = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, set_dir, ignore_errors=True)
@@ -60,6 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that a cut has made unreachable.
+
+    Long driver loops would keep them until the next collection of garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

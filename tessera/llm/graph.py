@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,11 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Sums are made before rows are dealt out, so a node with very many links
     costs its own task no more than one row for each task.
     """
-    both = cut(
-        links.select(F.col(a).alias("node"), F.col(b).alias("near"))
-        .union(links.select(F.col(b).alias("node"), F.col(a).alias("near")))
-        .distinct()
-    )
+    ends = F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("near")), F.struct(F.col(b).alias("node"), F.col(a).alias("near")))
+    both = cut(links.select(F.explode(ends).alias("e")).select("e.node", "e.near"))
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
     while True:
         around = (
@@ -35,6 +32,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = cut(
             lower.join(jump, "root", "left").select("node", "was", F.least("root", "beyond").alias("root"))
         )
+        around = lower = jump = None
+        release(labels.sparkSession)
         if labels.where("root < was").isEmpty():
             return labels.select("node", "root")
         labels = labels.select("node", "root")

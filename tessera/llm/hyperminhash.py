@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_path, mix, scratch_path, split_words, starts_in, window_hashes, word_hashes
+from tessera.llm.common import cut, drop_path, mix, release, scratch_path, split_words, starts_in, window_hashes, word_hashes
 from tessera.llm.graph import components
 from tessera.llm.packing import slices
 
@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     full = every.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class")))
     reps = full.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    reps = reps.select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"])
+    reps = cut(reps.select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"]))
+    release(spark)
 
     keys = band_keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -290,19 +291,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
         .distinct()
     )
+    keys = shared = rank = bands = centre = None
+    release(spark)
     clusters = components(pairs).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
     set_path = scratch_path(spark, "sets")
     full_sets(docs.join(clusters, "doc_id", "left_semi"), width).write.parquet(set_path)
     sets = spark.read.parquet(set_path)
     of_bands = cut(reps.join(clusters, "doc_id"))
+    release(spark)
 
     links = cut(confirmed(_likely(pairs, of_bands, percent / 100), sets, percent))
+    release(spark)
     roots = components(links).withColumnRenamed("node", "doc_id")
     members = of_bands.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     several = members.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     # a cluster of two has been compared already
     left = members.join(several.where("low < high and n > 2").select("cluster"), "cluster")
-    more = cluster_links(left.select("doc_id", "cluster", "root", "registers"), sets, percent)
+    more = cut(cluster_links(left.select("doc_id", "cluster", "root", "registers"), sets, percent))
+    roots = members = several = left = None
+    release(spark)
     roots = components(links.union(more))
 
     classed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
