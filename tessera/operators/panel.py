@@ -80,7 +80,7 @@ def dense_grid(bars: DataFrame, key: str, date: str = "date") -> DataFrame:
 
 def _small(days: DataFrame, limit: int = 100_000) -> bool:
     """Whether a calendar is short enough to send to every executor."""
-    return len(days.limit(limit + 1).take(limit + 1)) <= limit
+    return days.limit(limit + 1).count() <= limit
 
 
 def returns(grid: DataFrame, key: str = "key", date: str = "date") -> DataFrame:
