@@ -18,7 +18,8 @@ is left out and every window is grouped, which is slower and gives equal rows.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,6 +159,17 @@ def _repeated(sketch: dict[int, bytes], bits: int) -> list[np.ndarray]:
     return rows
 
 
+_HERE: dict[str, list[np.ndarray]] = {}
+
+
+def _unshipped(key: str, rows: list[bytes]) -> list[np.ndarray]:
+    """The bitmaps of a broadcast, unpacked once in each Python process."""
+    if key not in _HERE:
+        _HERE.clear()
+        _HERE[key] = [np.frombuffer(zlib.decompress(r), np.uint8) for r in rows]
+    return _HERE[key]
+
+
 def _has(bitmap: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
 
@@ -177,7 +189,10 @@ def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Da
     bits = max(SHARD_BITS, int(expected * 3).bit_length())
     use = bits <= max_bits + 2
     bits = min(bits, max_bits)
-    shipped = spark.sparkContext.broadcast(_repeated(sketch_windows(docs, window, bits), bits)) if use else None
+    shipped = None
+    if use:  # few cells are repeated, so the bitmaps shrink to a third
+        rows = [zlib.compress(r, 1) for r in _repeated(sketch_windows(docs, window, bits), bits)]
+        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
     anchor = _anchor_width(window)
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches, CHUNK_CHARS):
@@ -190,7 +205,7 @@ def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Da
                 grams = window_hashes(first, anchor)
                 anchors, back = np.unique(_anchors(grams, window, anchor, at), return_inverse=True)
                 keep = np.ones(len(anchors), bool)
-                for bitmap, cell in zip(shipped.value, _cells(grams[anchors], bits), strict=True):
+                for bitmap, cell in zip(_unshipped(*shipped.value), _cells(grams[anchors], bits), strict=True):
                     keep &= _has(bitmap, cell)
                 at, row = at[keep[back]], row[keep[back]]
             if len(at):
@@ -207,12 +222,12 @@ def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Da
     )
     # h2 holds 32 more bits of the window's hash, and in its lower half the place.
     group = Window.partitionBy("h1", F.shiftright("h2", 32), F.col("starts").isNull())
-    place = F.col("h2").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    place = F.when(F.col("starts").isNull(), F.col("h2").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return (
         found.withColumn("least", F.min("doc_id").over(group))
         .where("starts is not null or least < doc_id")
         .groupBy("doc_id", "text_key")
-        .agg(F.flatten(F.collect_list(F.coalesce("starts", F.array(place)))).alias("starts"))
+        .agg(F.concat(F.collect_list(place), F.flatten(F.collect_list("starts"))).alias("starts"))
     )
 
 
