@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, release
 
 MIN_CHARS = 20
 FAN = 8  # finer slots for each slot and round
@@ -123,6 +123,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
         .dropDuplicates(["line_key", "check"])
     )
     texts = cut(texts)
+    slots = per_doc = wanted = None
+    release(docs.sparkSession)  # the shuffled texts are done with
     state = kept.join(texts, ["line_key", "check"])
     while True:
         size = F.length("value") + F.col("missing")
