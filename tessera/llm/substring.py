@@ -12,8 +12,10 @@
    it holds in several documents, so a window adds one row for each task
    chunk, however many copies there are.
 
-The sketch has a bounded size (``max_bits``); past its useful load the prefilter
-is left out and every window is grouped, which is slower and gives equal rows.
+The sketch grows with the text, so its load stays the same.  Beyond
+``2 ** max_bits`` cells a row it is probed in passes: a hash of the anchor picks
+its range of cells, the same in every row, and each pass ships one range and
+decides the windows whose anchors fall into it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, split_words, starts_in, window_hashes, word_hashes
+from tessera.llm.common import cut, mix, split_words, starts_in, window_hashes, word_hashes
 from tessera.llm.packing import slices
 
 ANCHOR = 8
@@ -48,11 +51,24 @@ def _anchors(grams: np.ndarray, window: int, anchor: int, at: np.ndarray) -> np.
     return where
 
 
+def _ranges(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The range of cells, of ``2 ** bits``, of each anchor hash."""
+    return (mix(grams) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+
+
 def _cells(grams: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each anchor hash in each row of the sketch."""
+    """The cell of each anchor hash inside its range in each row of the sketch."""
     return [(mix(grams + np.uint64(row + 1)) >> np.uint64(64 - bits)).astype(np.int64) for row in range(DEPTH)]
 
 
+def _sketch_bits(size: int, max_bits: int) -> tuple[int, int]:
+    """Bits of the ranges' number and of a range's cells, for a text of that many bytes."""
+    expected = max(1, size // 18)  # anchors: about one for three words
+    bits = max(SHARD_BITS, int(expected * 3).bit_length())
+    inside = min(bits, max(SHARD_BITS, max_bits))
+    return bits - inside, inside
+
+
 def _anchor_width(window: int) -> int:
     return min(ANCHOR, window)
 
@@ -97,11 +113,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def sketch_windows(docs: DataFrame, window: int, bits: int) -> dict[int, bytes]:
-    """Merged sketch: for each shard of cells, a bitmap of the cells that reach two."""
+def sketch_windows(docs: DataFrame, window: int, outer: int, bits: int) -> DataFrame:
+    """Merged sketch: for each shard of cells, a bitmap of the cells that reach two.
+
+    A shard is numbered row << 40 and its place in the row, ranges one after the other.
+    """
     anchor = _anchor_width(window)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches, CHUNK_CHARS):
             words, counts = split_words(table.column("text"))
             hashes = word_hashes(words)[0]
@@ -111,8 +130,9 @@ def sketch_windows(docs: DataFrame, window: int, bits: int) -> dict[int, bytes]:
             grams = window_hashes(hashes, anchor)
             grams = grams[np.unique(_anchors(grams, window, anchor, at))]
             shards, data = [], []
+            base = _ranges(grams, outer) << bits
             for row, cell in enumerate(_cells(grams, bits)):
-                cell, n = np.unique(cell, return_counts=True)
+                cell, n = np.unique(base + cell, return_counts=True)
                 edges = np.flatnonzero(np.diff(cell >> SHARD_BITS)) + 1
                 for part, seen in zip(np.split(cell, edges), np.split(n > 1, edges), strict=True):
                     shards.append((row << 40) + int(part[0] >> SHARD_BITS))
@@ -139,10 +159,17 @@ def sketch_windows(docs: DataFrame, window: int, bits: int) -> dict[int, bytes]:
             yield done()
 
     kind = "shard long, cells binary"
-    parts = docs.select("text").mapInArrow(partial, kind)
-    shards = DEPTH << max(0, bits - SHARD_BITS)
-    merged = parts.repartition(min(shards, _tasks(docs)), "shard").sortWithinPartitions("shard").mapInArrow(merge, kind)
-    return {r.shard: bytes(r.cells) for r in merged.toLocalIterator()}
+    parts = docs.select("text").mapInArrow(count, kind)
+    shards = DEPTH << max(0, outer + bits - SHARD_BITS)
+    return parts.repartition(min(shards, _tasks(docs)), "shard").sortWithinPartitions("shard").mapInArrow(merge, kind)
+
+
+def _one_range(sketch: DataFrame, which: int, bits: int) -> dict[int, bytes]:
+    """The shards of one range, numbered inside it."""
+    each = 1 << (bits - SHARD_BITS)
+    place = F.col("shard").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = sketch.where((place >= which * each) & (place < (which + 1) * each))
+    return {r.shard - which * each: bytes(r.cells) for r in rows.toLocalIterator()}
 
 
 def _tasks(docs: DataFrame) -> int:
@@ -174,9 +201,12 @@ def _has(bitmap: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
 
 
-def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> DataFrame:
+def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30, bits: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, text_key, starts): word positions whose window also starts in a smaller doc_id.
 
+    The sketch is made of 2 ** bits[0] ranges of 2 ** bits[1] cells a row; if not
+    given, as the text's size asks for, with ranges of 2 ** max_bits cells at most.
+
     Rows with a null doc_id or text take no part.  Rows that share a doc_id are
     told apart by ``text_key``, a hash of the text that is 0 where ids are unique.
     """
@@ -184,29 +214,30 @@ def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Da
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     shared_ids = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     key = F.crc32(F.col("text").cast("binary")) if shared_ids else F.lit(0).cast("long")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    expected = max(1, total // 18)  # anchors: about one for three words
-    bits = max(SHARD_BITS, int(expected * 3).bit_length())
-    use = bits <= max_bits + 2
-    bits = min(bits, max_bits)
-    shipped = None
-    if use:  # few cells are repeated, so the bitmaps shrink to a third
-        rows = [zlib.compress(r, 1) for r in _repeated(sketch_windows(docs, window, bits), bits)]
-        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
+    if bits is None:
+        total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        outer, inside = _sketch_bits(total, max_bits)
+    else:
+        outer, inside = bits
+    sketch = sketch_windows(docs, window, outer, inside)
+    if outer:
+        sketch = cut(sketch)
     anchor = _anchor_width(window)
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def second(batches: Iterator[pa.RecordBatch], which: int, shipped) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches, CHUNK_CHARS):
             ids = table.column("doc_id").to_numpy()
             keys = table.column("text_key").to_numpy()
             words, counts = split_words(table.column("text"))
             first, other = word_hashes(words, 2)
             at, row = starts_in(counts, window)
-            if use and len(at):
+            if len(at):
                 grams = window_hashes(first, anchor)
                 anchors, back = np.unique(_anchors(grams, window, anchor, at), return_inverse=True)
-                keep = np.ones(len(anchors), bool)
-                for bitmap, cell in zip(_unshipped(*shipped.value), _cells(grams[anchors], bits), strict=True):
-                    keep &= _has(bitmap, cell)
+                keep = _ranges(grams[anchors], outer) == which
+                mine = np.flatnonzero(keep)
+                for bitmap, cell in zip(_unshipped(*shipped.value), _cells(grams[anchors[mine]], inside), strict=True):
+                    keep[mine] &= _has(bitmap, cell)
                 at, row = at[keep[back]], row[keep[back]]
             if len(at):
                 yield _resolve(
@@ -217,9 +248,18 @@ def repeated_starts(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Da
                     at - (np.cumsum(counts) - counts)[row],
                 )
 
-    found = docs.withColumn("text_key", key).mapInArrow(
-        second, "h1 long, h2 long, doc_id long, text_key long, starts array<int>"
-    )
+    passes = []
+    keyed = docs.withColumn("text_key", key)
+    for which in range(1 << outer):
+        # few cells are repeated, so the bitmaps shrink to a third
+        rows = [zlib.compress(r, 1) for r in _repeated(_one_range(sketch, which, inside), inside)]
+        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
+        passes.append(
+            keyed.mapInArrow(
+                partial(second, which=which, shipped=shipped), "h1 long, h2 long, doc_id long, text_key long, starts array<int>"
+            )
+        )
+    found = reduce(DataFrame.union, passes)
     # h2 holds 32 more bits of the window's hash, and in its lower half the place.
     group = Window.partitionBy("h1", F.shiftright("h2", 32), F.col("starts").isNull())
     place = F.when(F.col("starts").isNull(), F.col("h2").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
@@ -259,7 +299,7 @@ def _resolve(h1, h2, doc, key, place) -> pa.RecordBatch:
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, max_bits: int = 30) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, max_bits: int = 30, bits: tuple[int, int] | None = None) -> DataFrame:
     """Every row of ``docs`` as (doc_id, n_words, n_removed, kept).
 
     ``kept`` is the text's words that no repeated window covers, joined by one
@@ -268,7 +308,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, max_bits: int = 30) -> Dat
     document, so neither is earlier; other columns are left out; an empty table
     gives no rows.
     """
-    starts = repeated_starts(docs, window, max_bits)
+    starts = repeated_starts(docs, window, max_bits, bits)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -92,6 +92,26 @@ def test_substring_without_sketch_is_equal(docs):
     assert sorted(a, key=str) == sorted(substring.remove_repeats(docs).collect(), key=str)
 
 
+def test_substring_keeps_the_sketch_at_every_size(docs):
+    for size in (10**6, 5 * 10**9, 48 * 10**9, 10**12):
+        outer, inside = substring._sketch_bits(size, 30)
+        assert inside <= 30 and 1 << (outer + inside) >= size // 18 * 3
+    a = substring.remove_repeats(docs, bits=(2, 20)).collect()
+    assert sorted(a, key=str) == sorted(substring.remove_repeats(docs).collect(), key=str)
+
+
+def test_substring_passes_split_what_one_pass_groups(spark, docs):
+    texts = docs.where("text is not null").select("text")
+    grams = np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert set(substring._ranges(grams, 2)) == {0, 1, 2, 3}
+    # as many repeated cells in four ranges as in one of four times the size, but for collisions
+    ones = [
+        sum(int(np.unpackbits(np.frombuffer(bytes(r.cells), np.uint8)).sum()) for r in substring.sketch_windows(texts, 13, *bits).collect())
+        for bits in ((2, 20), (0, 22))
+    ]
+    assert ones[0] > 0 and abs(ones[0] - ones[1]) <= 0.01 * ones[1]
+
+
 def test_sketch_cells_survive_packing():
     cells = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 5000))
     seen = np.arange(len(cells)) % 3 == 0
