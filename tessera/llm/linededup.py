@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, release
 
-MIN_CHARS = 20
+MIN_CHARS = 20  # for lines that are similar; equal lines are found from one character on
 FAN = 8  # finer slots for each slot and round
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -34,20 +34,29 @@ def _key(text: Column, size: Column, missing: Column, begin: Column, end: Column
     return F.xxhash64(size, missing * 0 + begin, end, head, tail)
 
 
-def _halves(text: Column) -> Column:
-    """The four first slots of a line: two halves, as it is and with one character missing."""
+def _half_slots(size: Column) -> list[tuple[int, Column, Column, Column]]:
+    """(missing, aligned length, begin, end) of the four first slots of a line: two halves, as it is and with one character missing."""
     out = []
     for missing in (0, 1):
-        size = F.length(text) + missing
-        half = F.floor(size / 2).cast("int")
-        for begin, end in ((F.lit(0), half), (half, size)):
-            out.append(
-                F.struct(
-                    F.lit(missing).alias("missing"), begin.alias("begin"), end.alias("end"),
-                    _key(text, size, F.lit(missing), begin, end).alias("key"),
-                )
-            )
-    return F.array(*out)
+        whole = size + missing
+        half = F.floor(whole / 2).cast("int")
+        out += [(missing, whole, F.lit(0), half), (missing, whole, half, whole)]
+    return out
+
+
+def _halves(text: Column) -> Column:
+    """The keys of the four first slots."""
+    return F.array(*[_key(text, whole, F.lit(missing), begin, end) for missing, whole, begin, end in _half_slots(F.length(text))])
+
+
+def _placed(size: Column, keys: Column) -> Column:
+    """The four first slots, with their keys."""
+    return F.array(
+        *[
+            F.struct(F.lit(missing).alias("missing"), begin.alias("begin"), end.alias("end"), keys[i].alias("key"))
+            for i, (missing, _, begin, end) in enumerate(_half_slots(size))
+        ]
+    )
 
 
 def _finer(size_column: str = "size") -> Column:
@@ -71,11 +80,13 @@ def _shared(slots: DataFrame) -> DataFrame:
     return slots.join(several, "key")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int = 1) -> DataFrame:
     """(doc_id, line, first_doc, first_line, distance) of lines that an earlier line repeats.
 
     Lines are what \\n separates, numbered from 1 and compared without white
-    space around them; lines under ``min_chars`` characters are never repeats.
+    space around them; blank lines are never repeats.  Equal lines of any length
+    are repeats, similar ones from ``MIN_CHARS`` characters on; a ``min_chars``
+    that is given is the least length for both.
     A line repeats an earlier one (smaller doc_id, then smaller number) if they
     are ``max_edits`` (0 or 1) edits apart at most; the earliest found is given,
     equal lines before similar ones.  Null texts have no lines and rows with a
@@ -84,17 +95,21 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
+    least, least_near = (1, MIN_CHARS) if min_chars is None else (max(1, min_chars), min_chars)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     lines = lines.select("doc_id", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", _EDGE, "").alias("value"))
-    lines = lines.where(F.length("value") >= min_chars)
+    lines = lines.where(F.length("value") >= least)
+    long_enough = F.length("value") >= least_near
     keyed = lines.select(
         "doc_id", "line", F.xxhash64("value").alias("line_key"), F.xxhash64(F.lit(7), F.reverse("value")).alias("check"),
-        _halves(F.col("value")).alias("slots"),
+        F.when(long_enough, F.length("value")).alias("size"), F.when(long_enough, _halves(F.col("value"))).alias("keys"),
     )
     place = F.struct("doc_id", "line")
     firsts = cut(
-        keyed.groupBy("line_key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("slots").alias("slots"))
+        keyed.groupBy("line_key", "check").agg(
+            F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")
+        )
     )
     found = (
         keyed.select("doc_id", "line", "line_key", "check")
@@ -106,7 +121,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
         return found
 
     slots = _shared(
-        firsts.select("line_key", "check", "first", F.explode("slots").alias("s"))
+        firsts.where("keys is not null")
+        .select("line_key", "check", "first", F.explode(_placed(F.col("size"), F.col("keys"))).alias("s"))
         .where("s.begin < s.end")
         .select("line_key", "check", "first", "s.*")
     )
@@ -162,7 +178,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     return found.unionByName(similar)
 
 
-def remove_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, drop_emptied: bool = True) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int = 1, drop_emptied: bool = True) -> DataFrame:
     """``docs``, all columns, with repeated lines taken out of ``text``.
 
     With ``drop_emptied`` a document that loses lines and has no word left goes;

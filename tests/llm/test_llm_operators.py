@@ -222,6 +222,15 @@ def test_line_dedup_matches_brute_force(spark, empty):
     assert linededup.remove_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_equal_lines_of_every_length(spark):
+    long = "a line of boilerplate, repeated"
+    rows = [(1, f"Les.\n{long}\n\nx"), (2, f"Les.\n\n{long}"), (3, "Lis.\n\n x "), (4, "new\n\n"), (5, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line, r.first_doc, r.first_line, r.distance) for r in linededup.repeated_lines(docs).collect()}
+    assert got == {(2, 1, 1, 1, 0), (2, 3, 1, 2, 0), (3, 3, 1, 4, 0)}
+    assert {r.doc_id: r.text for r in linededup.remove_repeated_lines(docs).collect()} == {1: rows[0][1], 3: "Lis.\n", 4: "new\n\n", 5: "\n\n"}
+
+
 def test_line_dedup_keeps_columns_and_untouched_rows(docs, rows):
     out = linededup.remove_repeated_lines(docs)
     assert out.columns == docs.columns
