@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and character windows of high entropy.
 
-Candidate strings are maximal runs of characters that secrets are made of.  A
-window slides over each candidate of a class (hex, letters and digits, base64)
-and its Shannon entropy is kept by incremental counts: a step changes two
-counts, so two terms of the sum.  Windows over the class's threshold become
-spans, unless the candidate is on the allow-list (identifiers such as UUIDs,
-digests that are announced as such, placeholders, plain words).
+Candidate strings are maximal runs of characters that secrets are made of.  In
+each, the maximal runs of every class (hex, letters and digits, base64) are
+looked at by themselves.  A window slides over each run and its Shannon entropy
+is kept by incremental counts: a step changes two counts, so two terms of the
+sum.  Windows over the class's threshold become spans, unless they are on the
+allow-list (identifiers such as UUIDs, digests that are announced as such,
+placeholders, plain words); spans that meet are one.
 """
 
 from __future__ import annotations
@@ -33,13 +34,14 @@ KINDS = ("assign", "access", "hex", "entropy")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: Strings that look random and are none: UUIDs, dates and numbers, placeholders.
-ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z"),
-    re.compile(r"[0-9_=+/-]+\Z"),
-    re.compile(r"[A-Za-z_/=+-]+\Z"),
-    re.compile(r".*(example|placeholder|changeme|your[_-]|xxxx|0000000|1234567|abcdefgh)", re.IGNORECASE | re.DOTALL),
+#: Stretches of a candidate that look random and are none: UUIDs.
+UUID = re.compile(
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"
 )
+#: Runs that look random and are none: dates and numbers, plain words.
+PLAIN = (re.compile(r"[0-9_=+/-]+\Z"), re.compile(r"[A-Za-z_/=+-]+\Z"))
+#: Windows that hold a placeholder.
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|your[_-]|xxxx|0000000|1234567|abcdefgh", re.IGNORECASE)
 #: What stands before a digest that is announced as such.
 ALLOW_BEFORE = re.compile(r"(sha-?(1|256|512)|md5|integrity|checksum|digest|etag)[\"']?\s*[-:=]?\s*[\"']?\Z", re.IGNORECASE)
 
@@ -55,9 +57,9 @@ class CharacterClass:
 
 
 CLASSES = (
-    CharacterClass("hex", re.compile(r"[0-9a-fA-F]+\Z"), 24, 3.0),
-    CharacterClass("alnum", re.compile(r"[A-Za-z0-9]+\Z"), 20, 3.7),
-    CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 20, 3.9),
+    CharacterClass("hex", re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0),
+    CharacterClass("alnum", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.7),
+    CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9),
 )
 
 
@@ -82,25 +84,40 @@ def entropy_windows(text: str, window: int) -> Iterator[tuple[int, float]]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of candidates whose windows are too even for words or numbers."""
+    """Spans whose windows are too even for words or numbers, sorted and apart."""
     found = []
     for m in _CANDIDATE.finditer(text):
         candidate = m.group()
-        if any(p.match(candidate) for p in ALLOW) or ALLOW_BEFORE.search(text, max(0, m.start() - 24), m.start()):
+        if any(p.match(candidate) for p in PLAIN):
             continue
-        kind = next(c for c in CLASSES if c.pattern.match(candidate))
-        begin = end = None
-        for at, bits in entropy_windows(candidate, kind.window):
-            if bits < kind.threshold:
+        runs = [(kind, run) for kind in CLASSES for run in kind.pattern.finditer(candidate)]
+        known = [u.span() for u in UUID.finditer(candidate)]
+        for _, run in runs:
+            start = m.start() + run.start()
+            if ALLOW_BEFORE.search(text, max(0, start - 24), start):
+                known.append(run.span())
+        for kind, run in runs:
+            if any(p.match(run.group()) for p in PLAIN):
                 continue
-            if end is not None and at > end:
-                found.append((m.start() + begin, m.start() + end))
-                begin = None
-            begin = at if begin is None else begin
-            end = at + kind.window
-        if end is not None:
-            found.append((m.start() + begin, m.start() + end))
-    return found
+            for at, bits in entropy_windows(run.group(), kind.window):
+                if bits < kind.threshold:
+                    continue
+                a = run.start() + at
+                b = a + kind.window
+                if not any(x < b and a < y for x, y in known) and not PLACEHOLDER.search(candidate, a, b):
+                    found.append((m.start() + a, m.start() + b))
+    return _joined(found)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans that overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -315,6 +315,19 @@ def test_secrets_match_patterns_and_entropy(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_entropy_judges_each_run_and_window_by_itself():
+    random_ = random.Random(3)
+    for before in ("", "SID=", "x-", "a/b_", "example_key=", "/example/", "id xxxx="):
+        for n in (32, 48, 64):
+            key = "".join(random_.choice("0123456789ABCDEF") for _ in range(n))
+            spans = secrets.entropy_spans(f"so {before}{key} end")
+            assert any(s < len(f"so {before}{key}") and t - s >= 24 for s, t in spans), (before, key)
+    key = "q8Zk3Lm9Xv2Rt7Wp4Yb6Nc1D"
+    assert secrets.entropy_spans(f"a xxxx{key * 3}") and secrets.entropy_spans(f"a example_{key}")
+    for text in (f'integrity="sha384-{key}+{key}', "md5=9f86d081884c7d659a2feaa0c55ad015", "550e8400-e29b-41d4-a716-446655440000", "id=550e8400-e29b-41d4-a716-446655440000", "some/long/path/of-plain_words/here"):
+        assert secrets.entropy_spans(text) == [], text
+
+
 def test_entropy_counts_equal_direct_entropy():
     text = "".join(RNG.choice("abcdef0123") for _ in range(80))
     for at, bits in secrets.entropy_windows(text, 20):
