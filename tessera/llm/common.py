@@ -56,14 +56,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Tables:
+    """Written tables of the shared folder that cut the lineage, until they are dropped.
+
+    A written table is computed once (a checkpoint computes its last stage
+    twice), is read back by columns, and goes when ``drop`` is called.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back; a former table of that name is dropped."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the named tables, or all; their readers must be done."""
+        for name in names or list(self.paths):
+            if name in self.paths:
+                drop_path(self.spark, self.paths.pop(name))
+
+    def give(self, df: DataFrame, name: str) -> DataFrame:
+        """The last table: it stays for the caller, all others go."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop()
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that a cut has made unreachable.
+    """Let Spark's cleaner drop the shuffle files and broadcasts of plans that are done with.
 
     Long driver loops would keep them until the next collection of garbage.
     """
@@ -71,6 +99,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,15 +7,16 @@ Empty buckets borrow from a filled one chosen by a hash of the bucket, so that
 small sets have full sketches too.
 
 1. Documents with equal sets become one class, represented by its smallest id.
-2. Registers are banded (``ROWS`` at a time); classes that share a band are
-   candidates.  First each band's members are compared with its centre only, the
-   member that shares most bands with others, and what links is joined.  Clusters
-   (classes connected by shared bands) that are still in several parts are then
-   compared in blocks, so no link is lost to a large band and no band emits all
-   its pairs.
-3. Candidates whose collision-corrected Jaccard estimate is far below the
-   threshold are left out; the rest are confirmed on their full sets.
-4. Confirmed links give components.
+2. Registers are banded (``ROWS`` at a time).  The classes that share a band are
+   a bucket; each is paired with the bucket's smallest id only, so a bucket of n
+   makes n - 1 pairs.
+3. Pairs whose collision-corrected Jaccard estimate is far below the threshold
+   are left out; the rest are confirmed on their full sets and joined.
+4. Buckets whose classes are still in several parts are compared throughout, in
+   blocks of bounded rows: first the registers alone, which leaves the classes
+   that may have another partner, then the full sets of those.  A pair is looked
+   at in the first band that it shares only.  So no link is lost to a large
+   bucket, and no bucket emits its pairs.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_path, mix, release, scratch_path, split_words, starts_in, window_hashes, word_hashes
-from tessera.llm.graph import components
+from tessera.llm.common import Tables, mix, release, split_words, starts_in, window_hashes, word_hashes
+from tessera.llm.graph import components, contracted
 from tessera.llm.packing import slices
 
 WIDTH = 5
@@ -39,11 +39,12 @@ MANTISSA = 10
 ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Below this many shingles the estimate is too rough, and the sets are compared at once.
-SMALL = 256
-#: The estimate is short of the true value by more than this with a chance below 1e-9.
-MARGIN = 0.25
-#: Full sets that one block of a cluster may hold.
-BLOCK_BYTES = 6_000_000
+SMALL = 24
+#: The estimate is short of the true value by more than this with a chance below 1e-6.
+MARGIN = 0.22
+#: Members of a bucket that one block holds, and their full sets in bytes.
+BLOCK_ROWS = 256
+BLOCK_BYTES = 4_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +133,13 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
+def _keys_of(marks: np.ndarray) -> np.ndarray:
+    """The band keys of register rows, one column for each band."""
+    r = marks.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = reduce(lambda x, i: (x << np.uint64(16)) | r[:, :, i], range(1, ROWS), r[:, :, 0])
+    return mix(key + mix(np.arange(BANDS, dtype=np.uint64))[None, :]).view(np.int64)
+
+
 def band_keys(reps: DataFrame) -> DataFrame:
     """(key, doc_id): one row for each band of each sketch."""
 
@@ -139,32 +147,41 @@ def band_keys(reps: DataFrame) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 4000):
                 part = batch.slice(begin, 4000)
-                r = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
-                key = reduce(lambda x, i: (x << np.uint64(16)) | r[:, :, i], range(1, ROWS), r[:, :, 0])
-                key = mix(key + mix(np.arange(BANDS, dtype=np.uint64))[None, :])
+                key = _keys_of(_marks(part.column("registers")))
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, BANDS))], ["key", "doc_id"])
 
     return reps.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
 
 
-def _likely(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+def _marks(column: pa.Array) -> np.ndarray:
+    """A column of registers as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and registers of pairs allow a link."""
+    small, large = np.minimum(n, m), np.maximum(n, m)
+    may = 100 * small >= percent * large
+    rough = small < SMALL
+    at = np.flatnonzero(may & ~rough)
+    may[at] = estimated_jaccard(a[at], b[at], n[at], m[at]) >= percent / 100 - MARGIN
+    return may
+
+
+def _likely(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and estimates allow to be links."""
     side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")
-    )
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), "<u2").reshape(-1, REGISTERS) for x in ("ra", "rb"))
-            n, m = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("na", "nb"))
-            keep = (np.minimum(n, m) < SMALL) | (estimated_jaccard(a, b, n, m) >= threshold - MARGIN)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            if batch.num_rows:
+                a, b = (_marks(batch.column(x)) for x in ("ra", "rb"))
+                n, m = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("na", "nb"))
+                yield batch.select(["a", "b"]).filter(pa.array(_may_link(a, b, n, m, percent)))
 
-    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -196,56 +213,125 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def cluster_links(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Links (a, b) between members of one cluster that have different roots.
+def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """``members`` (key, doc_id, ...) dealt to every pair of blocks of their bucket.
 
-    ``members`` has doc_id, cluster, root, registers.  A cluster is cut into
-    blocks of bounded size and every pair of its blocks is one group; each group
-    compares registers first and full sets where they allow a link.  Members
-    that a group has joined are not compared again, so it returns fewer links
-    than it has members, and those are enough to connect what is linked.
+    ``own`` is a row's block and (key, low, high) the pair of blocks; pairs of
+    rows inside one block belong to the pair (block, block).
     """
-    full = members.join(sets, "doc_id").withColumn("size", F.octet_length("shingles"))
-    blocks = full.groupBy("cluster").agg(F.ceil(F.sum("size") / F.lit(block_bytes)).cast("int").alias("blocks"))
-    dealt = full.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sized = members.groupBy("key").agg(F.greatest(F.lit(1), blocks).cast("int").alias("blocks"))
+    dealt = members.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.struct("cluster", F.least("own", "other"), F.greatest("own", "other"))
-    threshold = percent / 100
-
-    def compare(key, pdf):
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
-        ids, n = pdf.doc_id.to_numpy(), len(pdf)
-        marks = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(n, REGISTERS)
-        sets_here = [np.frombuffer(x, "<u8") for x in pdf.shingles]
-        sizes = np.fromiter(map(len, sets_here), np.int64, n)
-        label = np.unique(pdf.root.to_numpy(), return_inverse=True)[1]
-        own = pdf.own.to_numpy()
-        one = (own == own[0]).all()
-        found = []
-        for i in range(n - 1):
-            rest = slice(i + 1, n)
-            n_i, n_j = sizes[i], sizes[rest]
-            small, large = np.minimum(n_i, n_j), np.maximum(n_i, n_j)
-            may = (label[rest] != label[i]) & (100 * small >= percent * large)
-            if not one:
-                may &= own[rest] != own[i]  # pairs within a block belong to another group
-            at = np.flatnonzero(may)
-            if not len(at):
-                continue
-            at += i + 1
-            share = estimated_jaccard(marks[i][None, :], marks[at], np.full(len(at), n_i), sizes[at])
-            at = at[(np.minimum(n_i, sizes[at]) < SMALL) | (share >= threshold - MARGIN)]
-            for j in at:
-                if label[i] != label[j] and _linked(sets_here[i], sets_here[j], percent):
-                    found.append((ids[i], ids[j]))
-                    label[label == label[j]] = label[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return (
-        dealt.select(group.alias("group"), "doc_id", "root", "registers", "shingles", "own")
-        .groupBy("group")
-        .applyInPandas(compare, "a long, b long")
-    )
+    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows sorted by (key, low, high), several at once, and where each begins."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.concat_batches([held, batch])
+        edge = _edges(held)
+        if len(edge) > 1:
+            yield held.slice(0, edge[-1]), edge[:-1]
+            held = held.slice(edge[-1])
+    if held is not None:
+        yield held, _edges(held)
+
+
+def _edges(batch: pa.RecordBatch) -> np.ndarray:
+    columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high")]
+    new = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def plausible(members: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, doc_id) of members that may have a partner with another root in their bucket.
+
+    ``members`` has key, doc_id, root, n_shingles and registers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begin in _groups(batches):
+            marks = _marks(batch.column("registers"))
+            key, own, ids, root, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "own", "doc_id", "root", "n_shingles"))
+            keys = _keys_of(marks)
+            end = np.append(begin[1:], len(ids))
+            last = np.repeat(end, end - begin)
+            mixed = np.repeat(batch.column("low").to_numpy(zero_copy_only=False)[begin] != batch.column("high").to_numpy(zero_copy_only=False)[begin], end - begin)
+            hit = np.zeros(len(ids), bool)
+            for step in range(1, int((end - begin).max())):  # row i with row i + step, in all groups at once
+                i = np.flatnonzero(np.arange(len(ids)) + step < last)
+                j = i + step
+                fits = (root[i] != root[j]) & ~(mixed[i] & (own[i] == own[j]))
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fits &= 100 * small >= percent * large
+                i, j = i[fits], j[fits]
+                for a in range(0, len(i), 20_000):
+                    x, y = i[a : a + 20_000], j[a : a + 20_000]
+                    may = _may_link(marks[x], marks[y], n[x], n[y], percent)
+                    x, y = x[may], y[may]
+                    first = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key[x]
+                    hit[x[first]] = hit[y[first]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(ids[hit])], ["key", "doc_id"])
+
+    dealt = _blocks(members, F.ceil(F.count("*") / F.lit(block_rows)))
+    dealt = dealt.select("key", "low", "high", "own", "doc_id", "root", "n_shingles", "registers")
+    rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return rows.mapInArrow(run, "key long, doc_id long").distinct()
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between members of one bucket that have different roots.
+
+    ``members`` has key, doc_id, root, n_shingles and registers.  A bucket is
+    cut into blocks of bounded rows and bytes and every pair of blocks is one
+    group; it looks at registers first and at full sets where they allow a link.
+    Members that a group has joined are not compared again, so it returns fewer
+    links than it has members, and those are enough to connect what is linked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begin in _groups(batches):
+            found = []
+            for a, b in zip(begin, np.append(begin[1:], batch.num_rows), strict=True):
+                found += _compared(batch.slice(a, b - a), percent)
+            x, y = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    full = members.join(sets, "doc_id")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum(F.octet_length("shingles")) / F.lit(block_bytes)))
+    dealt = _blocks(full, blocks).select("key", "low", "high", "own", "doc_id", "root", "n_shingles", "registers", "shingles")
+    rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(group: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
+    """The links that connect what is linked in one pair of blocks."""
+    ids, root, n, own = (group.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "root", "n_shingles", "own"))
+    marks, sets = _marks(group.column("registers")), group.column("shingles")
+    keys, key = _keys_of(marks), group.column("key")[0].as_py()
+    label = np.unique(root, return_inverse=True)[1]
+    one = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+    found = []
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        fits = label[j] != label[i]
+        if not one:
+            fits &= own[j] != own[i]
+        j = j[fits]
+        j = j[_may_link(marks[i][None, :].repeat(len(j), axis=0), marks[j], np.full(len(j), n[i]), n[j], percent)]
+        shared = keys[j] == keys[i]
+        for k in j[keys[i][shared.argmax(axis=1)] == key]:
+            if label[i] != label[k] and _linked(_set(sets, i), _set(sets, k), percent):
+                found.append((int(ids[i]), int(ids[k])))
+                label[label == label[k]] = label[i]
+    return found
+
+
+def _set(sets: pa.Array, i: int) -> np.ndarray:
+    return np.frombuffer(sets[int(i)].as_buffer(), "<u8")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -269,55 +355,56 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    tables = Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    path = scratch_path(spark, "sketches")
-    sketches(docs, width).write.parquet(path)
-    every = spark.read.parquet(path)
+    every = tables.keep(sketches(docs, width), "sketches")
     full = every.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class")))
-    reps = full.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    reps = cut(reps.select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"]))
+    smallest = F.min(F.struct("doc_id", "registers")).alias("m")
+    classes = tables.keep(full.groupBy("n_shingles", "f1", "f2").agg(smallest).select("n_shingles", "f1", "f2", "m.*"), "classes")
+
+    keys = band_keys(classes)
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    buckets = tables.keep(keys.join(shared, "key").where("doc_id != centre"), "buckets")
+    pairs = buckets.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = tables.keep(_likely(pairs, classes, percent), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = tables.keep(full_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    links = confirmed(pairs, sets, percent).union(_same_id(full, classes))
+    roots = components(links, tables, "roots")
+    keys = shared = pairs = ids = sets = links = None
+    tables.drop("pairs", "sets")
     release(spark)
 
-    keys = band_keys(reps)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    bands = cut(keys.join(shared, "key"))
-    rank = bands.groupBy("doc_id").agg(F.sum("members").alias("rank"))
-    bands = bands.join(rank, "doc_id")
-    centre = bands.groupBy("key").agg(F.max_by("doc_id", F.struct("rank", -F.col("doc_id"))).alias("centre"))
-    pairs = cut(
-        bands.join(centre, "key")
-        .where("doc_id != centre")
-        .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
-        .distinct()
-    )
-    keys = shared = rank = bands = centre = None
-    release(spark)
-    clusters = components(pairs).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    set_path = scratch_path(spark, "sets")
-    full_sets(docs.join(clusters, "doc_id", "left_semi"), width).write.parquet(set_path)
-    sets = spark.read.parquet(set_path)
-    of_bands = cut(reps.join(clusters, "doc_id"))
-    release(spark)
-
-    links = cut(confirmed(_likely(pairs, of_bands, percent / 100), sets, percent))
-    release(spark)
-    roots = components(links).withColumnRenamed("node", "doc_id")
-    members = of_bands.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    several = members.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    # a cluster of two has been compared already
-    left = members.join(several.where("low < high and n > 2").select("cluster"), "cluster")
-    more = cut(cluster_links(left.select("doc_id", "cluster", "root", "registers"), sets, percent))
-    roots = members = several = left = None
+    # what the centres have not joined: buckets whose other members are in several parts
+    of = buckets.where("members > 2").select("key", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    of = of.withColumn("root", F.coalesce("root", "doc_id"))
+    parts = of.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    rest = tables.keep(of.join(parts, "key").join(classes.select("doc_id", "n_shingles", "registers"), "doc_id"), "rest")
+    left = tables.keep(rest.join(plausible(rest, percent), ["key", "doc_id"]), "left")
+    tables.drop("buckets", "rest")
+    ids = left.select("doc_id").distinct()
+    sets = tables.keep(full_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    more = tables.keep(contracted(bucket_links(left, sets, percent), roots), "more")
+    of = parts = rest = left = ids = sets = None
+    tables.drop("left", "sets")
     release(spark)
-    roots = components(links.union(more))
+    beyond = components(more, tables, "beyond").select(F.col("node").alias("root"), F.col("root").alias("beyond"))
 
-    classed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-        "n_shingles", "f1", "f2", F.coalesce("root", "class").alias("root")
-    )
+    node = roots.withColumnRenamed("node", "doc_id")
+    classed = classes.select("n_shingles", "f1", "f2", "doc_id").join(node, "doc_id", "left")
+    classed = classed.withColumn("root", F.coalesce("root", "doc_id")).join(beyond, "root", "left")
+    classed = classed.select("n_shingles", "f1", "f2", F.coalesce("beyond", "root").alias("root"))
     out = every.select("doc_id", "n_shingles", "f1", "f2").join(classed, ["n_shingles", "f1", "f2"], "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("root"))
-    out = cut(out.select("doc_id", "n_shingles", component.alias("component_id")))
-    for done in (path, set_path):
-        drop_path(spark, done)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return tables.give(out, "near-duplicates")
+
+
+def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id."""
+    twice = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    of = classes.select("n_shingles", "f1", "f2", F.col("doc_id").alias("class"))
+    held = full.join(twice, "doc_id").select("doc_id", "n_shingles", "f1", "f2").join(of, ["n_shingles", "f1", "f2"])
+    least = held.groupBy("doc_id").agg(F.min("class").alias("a"))
+    return held.join(least, "doc_id").where("a != class").select("a", F.col("class").alias("b")).distinct()

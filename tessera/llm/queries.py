@@ -149,6 +149,21 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM a
 """
 
+_OP4_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                            ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+     e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+     r(node, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.b),
+     c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root, w.doc_id) AS component_id, coalesce(root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
 _OP9_SQL = """
 WITH rules(action, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                                             ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
@@ -178,6 +193,7 @@ FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": _OP2_SQL,
     "op3_quality_rules": _OP3_SQL,
+    "op4_hyperminhash": _OP4_SQL,
     "op7_substring_dedup": _OP7_SQL,
     "op9_url_filter": _OP9_SQL,
 }

@@ -15,7 +15,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, hyperminhash, linededup, packing, quality, secrets, substring, toxicity, urlfilter, warc
+from tessera.llm.common import Tables
+from tessera.llm.graph import components
 from tessera.llm.queries import URL_RULES, tokenizer_path
+from tests.conftest import DATA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -145,13 +148,13 @@ def test_near_duplicates_match_brute_force(docs, rows, empty):
     assert hyperminhash.near_duplicates(empty).count() == 0
 
 
-def test_clusters_in_many_blocks_lose_no_link(spark):
+def test_buckets_in_many_blocks_lose_no_link(spark):
     hub = prose(100)
     texts = [(i, changed(hub, i % 4)) for i in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     sets = hyperminhash.full_sets(docs)
-    members = hyperminhash.sketches(docs).select("doc_id", "registers", F.lit(1).cast("long").alias("cluster"), F.col("doc_id").alias("root"))
-    links = {(r.a, r.b) for r in hyperminhash.cluster_links(members, sets, 75, block_bytes=4000).collect()}
+    sketches = hyperminhash.sketches(docs).select("doc_id", "n_shingles", "registers", F.col("doc_id").alias("root"))
+    members = hyperminhash.band_keys(sketches).join(sketches, "doc_id").cache()
     s = {k: shingles(t) for k, t in texts}
     root = {k: k for k in s}
 
@@ -163,7 +166,33 @@ def test_clusters_in_many_blocks_lose_no_link(spark):
         return {frozenset(k for k in label if label[k] == v) for v in label.values()}
 
     true = [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])]
-    assert true and joined(links) == joined(true)
+    for rows, size in ((1000, 10**9), (7, 10**9), (1000, 4000)):
+        links = {(r.a, r.b) for r in hyperminhash.bucket_links(members, sets, 75, rows, size).collect()}
+        assert true and joined(links) == joined(true)
+        may = hyperminhash.plausible(members, 75, rows)
+        assert {x for pair in true for x in pair} <= {r.doc_id for r in may.select("doc_id").distinct().collect()}
+
+
+def test_components_of_chains_stars_and_rows_of_one_id(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 300), (300, 250), (7, 7)]
+    tables = Tables(spark)
+    out = components(spark.createDataFrame(links, "a long, b long"), tables, "parts")
+    want = {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {200: 200, 300: 200, 250: 200}
+    assert {r.node: r.root for r in out.collect()} == want
+    tables.drop()
+    a, b = prose(30), prose(30)
+    docs = spark.createDataFrame([(7, a), (7, b), (3, a), (9, b), (5, prose(30))], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in hyperminhash.near_duplicates(docs).collect()}
+    assert got == {(3, 3), (7, 3), (9, 3), (5, 5)}
+
+
+def test_recall_of_links_is_whole_on_the_given_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs).collect()}
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    ids = sorted(k for k in sets if sets[k])
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert links and all(got[a] == got[b] for a, b in links)
 
 
 def test_jaccard_estimate_is_close():
