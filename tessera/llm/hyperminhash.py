@@ -367,12 +367,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     buckets = tables.keep(keys.join(shared, "key").where("doc_id != centre"), "buckets")
     pairs = buckets.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = tables.keep(_likely(pairs, classes, percent), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    release(spark)
+    # every full set that may be needed, so that texts are dealt out once
+    ids = buckets.select(F.explode(F.array("centre", "doc_id")).alias("doc_id")).distinct()
     sets = tables.keep(full_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    release(spark)
     links = confirmed(pairs, sets, percent).union(_same_id(full, classes))
     roots = components(links, tables, "roots")
-    keys = shared = pairs = ids = sets = links = None
-    tables.drop("pairs", "sets")
+    keys = shared = pairs = ids = links = None
+    tables.drop("pairs")
     release(spark)
 
     # what the centres have not joined: buckets whose other members are in several parts
@@ -382,10 +385,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     rest = tables.keep(of.join(parts, "key").join(classes.select("doc_id", "n_shingles", "registers"), "doc_id"), "rest")
     left = tables.keep(rest.join(plausible(rest, percent), ["key", "doc_id"]), "left")
     tables.drop("buckets", "rest")
-    ids = left.select("doc_id").distinct()
-    sets = tables.keep(full_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    release(spark)
     more = tables.keep(contracted(bucket_links(left, sets, percent), roots), "more")
-    of = parts = rest = left = ids = sets = None
+    of = parts = rest = left = sets = None
     tables.drop("left", "sets")
     release(spark)
     beyond = components(more, tables, "beyond").select(F.col("node").alias("root"), F.col("root").alias("beyond"))

@@ -20,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, release
+from tessera.llm.common import Tables, release
 
 MIN_CHARS = 20  # for lines that are similar; equal lines are found from one character on
 FAN = 8  # finer slots for each slot and round
-_EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _key(text: Column, size: Column, missing: Column, begin: Column, end: Column) -> Column:
@@ -49,13 +49,10 @@ def _halves(text: Column) -> Column:
     return F.array(*[_key(text, whole, F.lit(missing), begin, end) for missing, whole, begin, end in _half_slots(F.length(text))])
 
 
-def _placed(size: Column, keys: Column) -> Column:
-    """The four first slots, with their keys."""
+def _placed(size: Column) -> Column:
+    """The four first slots, in the order of their keys."""
     return F.array(
-        *[
-            F.struct(F.lit(missing).alias("missing"), begin.alias("begin"), end.alias("end"), keys[i].alias("key"))
-            for i, (missing, _, begin, end) in enumerate(_half_slots(size))
-        ]
+        *[F.struct(F.lit(missing).alias("missing"), begin.alias("begin"), end.alias("end")) for missing, _, begin, end in _half_slots(size)]
     )
 
 
@@ -81,7 +78,7 @@ def _shared(slots: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int = 1) -> DataFrame:
-    """(doc_id, line, first_doc, first_line, distance) of lines that an earlier line repeats.
+    """(doc_id, row, line, first_doc, first_line, distance) of lines that an earlier line repeats.
 
     Lines are what \\n separates, numbered from 1 and compared without white
     space around them; blank lines are never repeats.  Equal lines of any length
@@ -90,92 +87,85 @@ def repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int
     A line repeats an earlier one (smaller doc_id, then smaller number) if they
     are ``max_edits`` (0 or 1) edits apart at most; the earliest found is given,
     equal lines before similar ones.  Null texts have no lines and rows with a
-    null doc_id take no part; rows that share a doc_id count as one document, so
-    their lines of one number are compared like others only by their text.
+    null doc_id take no part.  ``row`` is a hash of the whole text: rows that
+    share a doc_id are ordered by it, and those that share both are one row.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
+    spark = docs.sparkSession
+    tables = Tables(spark)
     least, least_near = (1, MIN_CHARS) if min_chars is None else (max(1, min_chars), min_chars)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    lines = lines.select("doc_id", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", _EDGE, "").alias("value"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    lines = lines.select("doc_id", "row", (F.col("at") + 1).alias("line"), F.btrim("raw", F.lit(_BLANKS)).alias("value"))
     lines = lines.where(F.length("value") >= least)
-    long_enough = F.length("value") >= least_near
-    keyed = lines.select(
-        "doc_id", "line", F.xxhash64("value").alias("line_key"), F.xxhash64(F.lit(7), F.reverse("value")).alias("check"),
-        F.when(long_enough, F.length("value")).alias("size"), F.when(long_enough, _halves(F.col("value"))).alias("keys"),
-    )
-    place = F.struct("doc_id", "line")
-    firsts = cut(
-        keyed.groupBy("line_key", "check").agg(
-            F.min(place).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")
-        )
+    keyed = lines.withColumns({"line_key": F.xxhash64("value"), "check": F.xxhash64(F.lit(7), F.reverse("value"))})
+    place = F.struct("doc_id", "row", "line")
+    long_enough = F.lit(max_edits > 0) & (F.length("value") >= least_near)
+    firsts = tables.keep(
+        keyed.select("line_key", "check", place.alias("place"), F.when(long_enough, F.col("value")).alias("value"))
+        .groupBy("line_key", "check")
+        .agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("value").alias("value")),
+        "firsts",
     )
-    found = (
-        keyed.select("doc_id", "line", "line_key", "check")
+    release(spark)
+    equal = (
+        keyed.select("doc_id", "row", "line", "line_key", "check")
         .join(firsts.where("n > 1").select("line_key", "check", "first"), ["line_key", "check"])
         .where(F.col("first") < place)
-        .select("doc_id", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), F.lit(0).alias("distance"))
+        .select("doc_id", "row", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), F.lit(0).alias("distance"))
     )
     if max_edits == 0:
-        return found
-
-    slots = _shared(
-        firsts.where("keys is not null")
-        .select("line_key", "check", "first", F.explode(_placed(F.col("size"), F.col("keys"))).alias("s"))
-        .where("s.begin < s.end")
-        .select("line_key", "check", "first", "s.*")
-    )
-    kept = cut(slots.select("line_key", "check", "first", "missing", "begin", "end"))
-    wanted = kept.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).distinct()
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    texts = (
-        docs.join(per_doc, "doc_id")
-        .select("doc_id", "wanted", F.split("text", "\n").alias("all"))
-        .select("doc_id", F.explode("wanted").alias("line"), F.col("all"))
-        .select("doc_id", "line", F.regexp_replace(F.get("all", F.col("line") - 1), _EDGE, "").alias("value"))
-        .where("value is not null")
-        .select(F.xxhash64("value").alias("line_key"), F.xxhash64(F.lit(7), F.reverse("value")).alias("check"), "value")
-        .dropDuplicates(["line_key", "check"])
-    )
-    texts = cut(texts)
-    slots = per_doc = wanted = None
-    release(docs.sparkSession)  # the shuffled texts are done with
-    state = kept.join(texts, ["line_key", "check"])
+        return tables.give(equal, "repeated-lines")
+    equal = tables.keep(equal, "equal")
+    release(spark)
+
+    # the first slots are told by their number alone; what they share decides which texts are looked at
+    numbered = firsts.where("value is not null").select("line_key", "check", F.posexplode(_halves(F.col("value"))).alias("slot", "key"))
+    kept = tables.keep(_shared(numbered).select("line_key", "check", "slot"), "kept")
+    numbered = None
+    release(spark)
+    slots = kept.groupBy("line_key", "check").agg(F.collect_set("slot").alias("slots"))
+    texts = tables.keep(firsts.where("value is not null").select("line_key", "check", "first", "value").join(slots, ["line_key", "check"]), "texts")
+    tables.drop("kept")
+    slots = kept = None
+    release(spark)
+    placed = F.explode(F.transform("slots", lambda i: F.get(_placed(F.length("value")), i)))
+    state = texts.select("line_key", "check", "value", placed.alias("s")).where("s.begin < s.end").select("line_key", "check", "value", "s.*")
+    turn = 0
     while True:
+        turn += 1
         size = F.length("value") + F.col("missing")
         finer = (
-            state.select("line_key", "check", "first", "missing", "value", size.alias("size"), F.explode(_finer()).alias("s"))
-            .select("line_key", "check", "first", "missing", "value", "size", "s.*")
+            state.select("line_key", "check", "missing", "value", size.alias("size"), F.explode(_finer()).alias("s"))
+            .select("line_key", "check", "missing", "value", "size", "s.*")
             .withColumn("key", _key(F.col("value"), F.col("size"), F.col("missing"), F.col("begin"), F.col("end")))
         )
-        narrow = cut(_shared(finer.select("line_key", "check", "first", "missing", "begin", "end", "key")))
+        narrow = tables.keep(_shared(finer.select("line_key", "check", "missing", "begin", "end", "key")), f"narrow-{turn}")
+        tables.drop(f"narrow-{turn - 1}")
+        state = finer = None
+        release(spark)
         if narrow.where("end - begin > 1").isEmpty():
             break
-        state = narrow.select("line_key", "check", "first", "missing", "begin", "end").join(texts, ["line_key", "check"])
+        state = narrow.drop("key").join(texts.select("line_key", "check", "value"), ["line_key", "check"])
 
-    earliest = narrow.groupBy("key").agg(F.min(F.struct("first", "line_key", "check")).alias("e"))
-    near = (
-        narrow.join(earliest, "key")
-        .where(F.col("e.first") < F.col("first"))
-        .groupBy("line_key", "check")
-        .agg(F.min("e").alias("e"))
-        .select("line_key", "check", F.col("e.first").alias("near"), F.col("e.line_key").alias("other_key"), F.col("e.check").alias("other_check"))
-    )
+    variants = narrow.join(texts.select("line_key", "check", "first"), ["line_key", "check"]).select("key", "line_key", "check", "first")
+    earliest = variants.groupBy("key").agg(F.min(F.struct("first", "line_key", "check")).alias("e"))
+    near = variants.join(earliest, "key").where(F.col("e.first") < F.col("first")).groupBy("line_key", "check").agg(F.min("e").alias("e"))
+    near = near.select("line_key", "check", F.col("e.first").alias("near"), F.col("e.line_key").alias("other_key"), F.col("e.check").alias("other_check"))
     other = texts.select(F.col("line_key").alias("other_key"), F.col("check").alias("other_check"), F.col("value").alias("other"))
-    verified = (
-        near.join(texts, ["line_key", "check"])
+    # the first of equal lines is the only one left to remove; its copies are gone already
+    similar = (
+        near.join(texts.select("line_key", "check", "first", "value"), ["line_key", "check"])
         .join(other, ["other_key", "other_check"])
         .withColumn("distance", F.levenshtein("value", "other", max_edits))
         .where("distance >= 0")
-        .select("line_key", "check", "near", "distance")
-    )
-    # the first of equal lines is the only one left to remove; its copies are gone already
-    similar = firsts.select("line_key", "check", "first").join(verified, ["line_key", "check"]).select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"),
-        F.col("near.doc_id").alias("first_doc"), F.col("near.line").alias("first_line"), "distance",
+        .select(
+            "first.doc_id", "first.row", "first.line",
+            F.col("near.doc_id").alias("first_doc"), F.col("near.line").alias("first_line"), "distance",
+        )
     )
-    return found.unionByName(similar)
+    return tables.give(equal.unionByName(similar), "repeated-lines")
 
 
 def remove_repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int = 1, drop_emptied: bool = True) -> DataFrame:
@@ -184,12 +174,13 @@ def remove_repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edi
     With ``drop_emptied`` a document that loses lines and has no word left goes;
     documents that lose nothing always stay, nulls included.
     """
-    gone = repeated_lines(docs, min_chars, max_edits).groupBy(F.col("doc_id").alias("__of")).agg(
+    gone = repeated_lines(docs, min_chars, max_edits).groupBy(F.col("doc_id").alias("__of"), F.col("row").alias("__row")).agg(
         F.collect_set("line").alias("__gone")
     )
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i + 1)), "\n")
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("__of"), "left")
+    of_row = (F.col("doc_id").cast("long") == F.col("__of")) & (F.xxhash64("text") == F.col("__row"))
+    out = docs.join(gone, of_row, "left")
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
     if drop_emptied:
         out = out.where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

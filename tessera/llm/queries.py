@@ -68,11 +68,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its number of lines and the numbers of those removed."""
     docs = table(spark, sf_dir, "documents")
-    gone = linededup.repeated_lines(docs).groupBy(F.col("doc_id").alias("of")).agg(
+    gone = linededup.repeated_lines(docs).groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row")).agg(
         F.sort_array(F.collect_set("line")).alias("removed"), F.sum(F.col("distance").cast("long")).alias("edits")
     )
-    lines = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
-    return lines.join(gone, F.col("doc_id") == F.col("of"), "left").select(
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), F.size(F.split("text", "\n")).cast("long").alias("n"))
+    return lines.join(gone, (F.col("doc_id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("edits", F.lit(0)).alias("n_near"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"),
     )
@@ -177,6 +177,23 @@ WITH rules(action, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'ex
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1
 """
 
+_OP6_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
+     t AS (SELECT doc_id, line, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS v FROM l),
+     v AS (SELECT doc_id, line, v FROM t WHERE v <> ''),
+     f AS (SELECT v, min((doc_id, line)) AS first, length(v) AS n FROM v GROUP BY v),
+     e AS (SELECT v.doc_id, v.line, 0 AS d FROM v JOIN f ON f.v = v.v WHERE f.first < (v.doc_id, v.line)),
+     h AS (SELECT v, first, n, unnest([left(v, n // 2), left(v, (n + 1) // 2), left(v, (n - 1) // 2)]) AS head FROM f WHERE n >= 20
+           UNION ALL SELECT v, first, n, reverse(head) FROM (SELECT v, first, n, unnest([left(reverse(v), n // 2), left(reverse(v), (n + 1) // 2), left(reverse(v), (n - 1) // 2)]) AS head FROM f WHERE n >= 20)),
+     p AS (SELECT DISTINCT a.v AS v, a.first AS first, b.v AS w FROM h a JOIN h b ON a.head = b.head AND b.first < a.first AND abs(a.n - b.n) <= 1),
+     s AS (SELECT DISTINCT first FROM p WHERE levenshtein(v, w) = 1),
+     g AS (SELECT doc_id, line, d FROM e UNION ALL SELECT first[1], first[2], 1 FROM s),
+     r AS (SELECT doc_id, count(*) AS n_removed, sum(d) AS n_near, string_agg(line, ',' ORDER BY line) AS removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed, '') AS removed_lines
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
 #: The two that scan windows are whole-table window functions in SQL.
 _OP7_SQL = """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -194,6 +211,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": _OP2_SQL,
     "op3_quality_rules": _OP3_SQL,
     "op4_hyperminhash": _OP4_SQL,
+    "op6_line_dedup": _OP6_SQL,
     "op7_substring_dedup": _OP7_SQL,
     "op9_url_filter": _OP9_SQL,
 }

@@ -266,11 +266,23 @@ def test_line_dedup_keeps_columns_and_untouched_rows(docs, rows):
     got = collections.Counter((r.doc_id, r.text) for r in out.collect())
     gone = brute_lines(rows, linededup.MIN_CHARS)
     for key, text, *_ in rows:
-        if key != 7 and not any(k == key for k, _ in gone):
-            assert got[(key, text)] == 1
+        if not any(k == key for k, _ in gone):
+            assert got[(key, text)] == (2 if key == 7 else 1)
     assert not any(r.doc_id and 200 <= r.doc_id < 212 for r in out.collect())  # whole copies
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    shared, alone = "a line that both of them have, word for word", "a line that stands in one text and nowhere else"
+    rows = [(1, shared), (2, alone), (2, shared), (3, f"{alone}\n{shared}"), (2, alone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = collections.Counter(map(tuple, linededup.remove_repeated_lines(docs).collect()))
+    assert out == {(1, shared): 1, (2, alone): 2}
+    long = "x" * 2_000
+    rows = [(1, long), (2, long[:-1]), (3, "y" + long), (4, long[:-3] + "zzz")]
+    got = {(r.doc_id, r.first_doc, r.distance) for r in linededup.repeated_lines(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert got == {(2, 1, 1), (3, 1, 1)}
+
+
 def test_decontamination_matches_dynamic_programming(spark, empty):
     items = [prose(25) for _ in range(6)] + ["short", ""]
 
