@@ -66,10 +66,22 @@ class Tables:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.paths: dict[str, str] = {}
+        self.known: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back; a former table of that name is dropped."""
+    def keep(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``df`` and read it back; a former table of that name is dropped.
+
+        With ``by`` the table is bucketed, so that joins on those columns needn't
+        deal it out again.
+        """
         path = scratch_path(self.spark, name)
+        if by:
+            known = f"tessera_{uuid.uuid4().hex}"
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.write.format("parquet").option("path", path).bucketBy(buckets, *by).saveAsTable(known)
+            self.drop(name)
+            self.paths[name], self.known[name] = path, known
+            return self.spark.table(known)
         df.write.parquet(path)
         self.drop(name)
         self.paths[name] = path
@@ -78,6 +90,8 @@ class Tables:
     def drop(self, *names: str) -> None:
         """Delete the named tables, or all; their readers must be done."""
         for name in names or list(self.paths):
+            if name in self.known:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.known.pop(name)}")
             if name in self.paths:
                 drop_path(self.spark, self.paths.pop(name))
 
@@ -90,6 +104,15 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """``df``, whose joins are to be by shuffle: both sides grow with the input.
+
+    Else the optimizer would plan small inputs by broadcast and large ones
+    another way, and figures of small runs would tell nothing of large ones.
+    """
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files and broadcasts of plans that are done with.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables, mix, release, split_words, starts_in, window_hashes, word_hashes
+from tessera.llm.common import Tables, grown, mix, release, split_words, starts_in, window_hashes, word_hashes
 from tessera.llm.graph import components, contracted
 from tessera.llm.packing import slices
 
@@ -172,7 +172,7 @@ def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percen
 def _likely(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and estimates allow to be links."""
     side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = grown(grown(pairs).join(side("b"), "b")).join(side("a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +210,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return grown(grown(pairs).join(side("b"), "b")).join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
@@ -220,7 +220,7 @@ def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
     rows inside one block belong to the pair (block, block).
     """
     sized = members.groupBy("key").agg(F.greatest(F.lit(1), blocks).cast("int").alias("blocks"))
-    dealt = members.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = grown(members).join(sized, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
 
@@ -300,7 +300,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int, block_rows:
             x, y = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    full = members.join(sets, "doc_id")
+    full = grown(members).join(sets, "doc_id")
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum(F.octet_length("shingles")) / F.lit(block_bytes)))
     dealt = _blocks(full, blocks).select("key", "low", "high", "own", "doc_id", "root", "n_shingles", "registers", "shingles")
     rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
@@ -364,13 +364,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
 
     keys = band_keys(classes)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    buckets = tables.keep(keys.join(shared, "key").where("doc_id != centre"), "buckets")
+    buckets = tables.keep(grown(keys).join(shared, "key").where("doc_id != centre"), "buckets")
     pairs = buckets.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = tables.keep(_likely(pairs, classes, percent), "pairs")
     release(spark)
     # every full set that may be needed, so that texts are dealt out once
     ids = buckets.select(F.explode(F.array("centre", "doc_id")).alias("doc_id")).distinct()
-    sets = tables.keep(full_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    sets = tables.keep(full_sets(grown(docs).join(ids, "doc_id", "left_semi"), width), "sets")
     release(spark)
     links = confirmed(pairs, sets, percent).union(_same_id(full, classes))
     roots = components(links, tables, "roots")
@@ -379,11 +379,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     release(spark)
 
     # what the centres have not joined: buckets whose other members are in several parts
-    of = buckets.where("members > 2").select("key", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    of = grown(buckets.where("members > 2").select("key", "doc_id")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     of = of.withColumn("root", F.coalesce("root", "doc_id"))
     parts = of.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    rest = tables.keep(of.join(parts, "key").join(classes.select("doc_id", "n_shingles", "registers"), "doc_id"), "rest")
-    left = tables.keep(rest.join(plausible(rest, percent), ["key", "doc_id"]), "left")
+    rest = tables.keep(grown(grown(of).join(parts, "key")).join(classes.select("doc_id", "n_shingles", "registers"), "doc_id"), "rest")
+    left = tables.keep(grown(rest).join(plausible(rest, percent), ["key", "doc_id"]), "left")
     tables.drop("buckets", "rest")
     release(spark)
     more = tables.keep(contracted(bucket_links(left, sets, percent), roots), "more")
@@ -393,10 +393,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     beyond = components(more, tables, "beyond").select(F.col("node").alias("root"), F.col("root").alias("beyond"))
 
     node = roots.withColumnRenamed("node", "doc_id")
-    classed = classes.select("n_shingles", "f1", "f2", "doc_id").join(node, "doc_id", "left")
+    classed = grown(classes.select("n_shingles", "f1", "f2", "doc_id")).join(node, "doc_id", "left")
     classed = classed.withColumn("root", F.coalesce("root", "doc_id")).join(beyond, "root", "left")
     classed = classed.select("n_shingles", "f1", "f2", F.coalesce("beyond", "root").alias("root"))
-    out = every.select("doc_id", "n_shingles", "f1", "f2").join(classed, ["n_shingles", "f1", "f2"], "left")
+    out = grown(every.select("doc_id", "n_shingles", "f1", "f2")).join(classed, ["n_shingles", "f1", "f2"], "left")
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables, release
+from tessera.llm.common import Tables, grown, release
 
 MIN_CHARS = 20  # for lines that are similar; equal lines are found from one character on
 FAN = 8  # finer slots for each slot and round
@@ -74,7 +74,7 @@ def _shared(slots: DataFrame) -> DataFrame:
         .where("low < high")
         .select("key")
     )
-    return slots.join(several, "key")
+    return grown(slots).join(several, "key")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int = 1) -> DataFrame:
@@ -107,10 +107,11 @@ def repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int
         .groupBy("line_key", "check")
         .agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("value").alias("value")),
         "firsts",
+        ("line_key", "check"),
     )
     release(spark)
     equal = (
-        keyed.select("doc_id", "row", "line", "line_key", "check")
+        grown(keyed.select("doc_id", "row", "line", "line_key", "check"))
         .join(firsts.where("n > 1").select("line_key", "check", "first"), ["line_key", "check"])
         .where(F.col("first") < place)
         .select("doc_id", "row", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), F.lit(0).alias("distance"))
@@ -121,13 +122,13 @@ def repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int
     release(spark)
 
     # the first slots are told by their number alone; what they share decides which texts are looked at
-    numbered = firsts.where("value is not null").select("line_key", "check", F.posexplode(_halves(F.col("value"))).alias("slot", "key"))
-    kept = tables.keep(_shared(numbered).select("line_key", "check", "slot"), "kept")
-    numbered = None
+    halves = F.posexplode(_halves(F.col("value"))).alias("slot", "key")
+    kept = tables.keep(_shared(firsts.where("value is not null").select("line_key", "check", halves)).select("line_key", "check", "slot"), "kept")
     release(spark)
     slots = kept.groupBy("line_key", "check").agg(F.collect_set("slot").alias("slots"))
-    texts = tables.keep(firsts.where("value is not null").select("line_key", "check", "first", "value").join(slots, ["line_key", "check"]), "texts")
-    tables.drop("kept")
+    texts = grown(firsts.where("value is not null").select("line_key", "check", "first", "value")).join(slots, ["line_key", "check"])
+    texts = tables.keep(texts, "texts", ("line_key", "check"))
+    tables.drop("kept", "firsts")
     slots = kept = None
     release(spark)
     placed = F.explode(F.transform("slots", lambda i: F.get(_placed(F.length("value")), i)))
@@ -147,7 +148,7 @@ def repeated_lines(docs: DataFrame, min_chars: int | None = None, max_edits: int
         release(spark)
         if narrow.where("end - begin > 1").isEmpty():
             break
-        state = narrow.drop("key").join(texts.select("line_key", "check", "value"), ["line_key", "check"])
+        state = grown(narrow.drop("key")).join(texts.select("line_key", "check", "value"), ["line_key", "check"])
 
     variants = narrow.join(texts.select("line_key", "check", "first"), ["line_key", "check"]).select("key", "line_key", "check", "first")
     earliest = variants.groupBy("key").agg(F.min(F.struct("first", "line_key", "check")).alias("e"))
