@@ -145,6 +145,24 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str]
     return left.join(r, met).drop("__key").withColumns({"begin": F.greatest(a[0], b[0]), "end": F.least(a_end, b_end)})
 
 
+def tolerance_match(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, absolute: float = 1e-9, relative: float = 1e-6, how: str = "inner") -> DataFrame:
+    """Rows of two tables with equal keys and ``same``: whether their values agree within the tolerances.
+
+    Values agree if both are missing, or |a - b| <= absolute + relative * |b|.
+    """
+    near = F.abs(F.col(a) - F.col(b)) <= F.lit(absolute) + F.lit(relative) * F.abs(b)
+    same = (F.col(a).isNull() & F.col(b).isNull()) | F.coalesce(near, F.lit(False))
+    return left.join(right, on, how).withColumn("same", same)
+
+
+def nearest_date(days: DataFrame, asked: DataFrame, at: str, after: bool = False, date: str = "date") -> DataFrame:
+    """``asked`` with ``date``: the last calendar date on or before ``at``, or the first on or after it; null if none."""
+    ends = days.agg(F.array_sort(F.collect_set(date)).alias("__days"))  # a calendar: some thousand dates
+    pick = (lambda d: d >= F.col(at)) if after else (lambda d: d <= F.col(at))
+    fitting = F.filter("__days", pick)
+    return asked.join(F.broadcast(ends)).withColumn(date, F.get(fitting, F.lit(0) if after else F.size(fitting) - 1)).drop("__days")
+
+
 def expand_intervals(intervals: DataFrame, days: DataFrame, begin: str, end: str, date: str = "date") -> DataFrame:
     """One row for each calendar date in [begin, end] of each interval."""
     bounds = days.agg(F.min(date).alias("lo"), F.max(date).alias("hi")).first()

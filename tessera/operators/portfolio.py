@@ -56,23 +56,28 @@ def top_weights(scored: DataFrame, k: int, cap: float, date: str = "date", key:
 def capped_weights(scored: DataFrame, k: int, cap: float, sector_cap: float, date: str = "date", key: str = "permno", score: str = "score", sector: str = "sector") -> DataFrame:
     """Greedy weights in score order under a name cap and a sector cap, with a second pass for the rest.
 
-    One date at a time (a date holds one row for each security, a bounded group).
+    The first pass gives each name 1 / k at most; a name whose sector is full
+    makes way for the next, until k names hold something.  The second fills
+    names up to ``cap`` in the same order.  One date at a time (a date holds one
+    row for each security, a bounded group).
     """
     wide = scored.select(F.col(date).alias("date"), F.col(key).alias("key"), F.col(score).alias("score"), F.col(sector).alias("sector"))
 
     def allot(pdf):
-        pdf = pdf.dropna(subset=["score"]).sort_values(["score", "key"], ascending=[False, True]).head(k)
-        base = min(cap, 1 / max(len(pdf), 1))
-        weight, used, left = [0.0] * len(pdf), {}, 1.0
-        for limit in (base, cap):
-            for i, s in enumerate(pdf["sector"]):
-                more = min(limit - weight[i], sector_cap - used.get(s, 0.0), left)
-                if more > 1e-12:
-                    weight[i] += more
-                    used[s] = used.get(s, 0.0) + more
+        pdf = pdf.sort_values(["score", "key"], ascending=[False, True], ignore_index=True)
+        names = pdf["sector"].fillna("Unknown")
+        held, room, left = {}, dict.fromkeys(names, min(max(sector_cap, 0.0), 1.0)), 1.0
+        for most in (min(1 / k, cap), cap):
+            for i, s in names.items():
+                if i not in held and len(held) == k:
+                    continue
+                more = min(most - held.get(i, 0.0), room[s], left)
+                if more > 1e-10:
+                    held[i] = held.get(i, 0.0) + more
+                    room[s] -= more
                     left -= more
-        pdf["weight"] = weight
-        return pdf[["date", "key", "sector", "score", "weight"]]
+        out = pdf.loc[sorted(held)].assign(weight=[held[i] for i in sorted(held)])
+        return out[["date", "key", "sector", "score", "weight"]]
 
     return wide.where("score is not null").groupBy("date").applyInPandas(allot, "date date, key long, sector string, score double, weight double")
 
@@ -83,14 +88,74 @@ def trade_cost(notional: Column, adv: Column, volatility: Column, spread: float
     return F.abs(notional) * (F.lit(spread + slippage) + F.lit(impact) * F.coalesce(volatility, F.lit(0.0)) * share)
 
 
-def cap_turnover(previous: DataFrame, target: DataFrame, most: float, key: str = "key") -> DataFrame:
-    """Blend previous weights towards the target so that half the change is at most ``most``."""
-    both = previous.select(key, F.col("weight").alias("w0")).join(target.select(key, F.col("weight").alias("w1")), key, "full_outer").na.fill(0.0, ["w0", "w1"])
-    total = both.agg((F.sum(F.abs(F.col("w1") - F.col("w0"))) / 2).alias("turn"))
-    part = F.when(F.col("turn") > most, F.lit(most) / F.col("turn")).otherwise(F.lit(1.0))
-    blended = both.crossJoin(F.broadcast(total)).withColumn("weight", F.greatest(F.col("w0") + part * (F.col("w1") - F.col("w0")), F.lit(0.0)))
-    whole = blended.where("weight > 1e-8")
-    return whole.select(key, "weight")
+def cap_turnover(previous: DataFrame, target: DataFrame, most: float, cap: float = 1.0, total: float = 1.0, key: str = "key", by: tuple[str, ...] = ()) -> DataFrame:
+    """Blend previous weights towards the target so that half the change is at most ``most``.
+
+    A target within the bound stays as it is, as does one without any previous
+    weight.  Blended weights lie in [0, ``cap``] and are scaled down where they
+    sum to more than ``total``.  ``by`` keeps portfolios (dates) apart.
+    """
+    keys = [*by, key]
+    both = previous.select(*keys, F.col("weight").alias("w0")).join(target.select(*keys, F.col("weight").alias("w1")), keys, "full_outer")
+    both = both.withColumn("__had", F.col("w0").isNotNull()).na.fill(0.0, ["w0", "w1"])
+    one = Window.partitionBy(*by)  # a portfolio's names, a bounded group
+    turn = F.sum(F.abs(F.col("w1") - F.col("w0"))).over(one) / 2
+    both = both.withColumns({"__turn": turn, "__any": F.max("__had").over(one)})
+    over = F.col("__any") & (F.col("__turn") > most) & (F.lit(most) > 0)
+    step = F.col("w0") + F.try_divide(F.lit(most), "__turn") * (F.col("w1") - F.col("w0"))
+    both = both.withColumn("weight", F.when(over, F.greatest(F.least(step, F.lit(cap)), F.lit(0.0))).otherwise(F.col("w1"))).withColumn("__over", over)
+    sum_ = F.sum("weight").over(one)
+    scaled = F.when(F.col("__over") & (sum_ > total), F.col("weight") * F.lit(total) / sum_).otherwise(F.col("weight"))
+    return both.withColumn("weight", scaled).where("weight > 1e-8").select(*keys, "weight")
+
+
+def rebalance(
+    positions: DataFrame, equity: Column, cash: float = 0.05, participation: float = 0.05, least: float = 100.0, fractional: bool = True
+) -> DataFrame:
+    """Shares to hold after the trades of one open, within what the market takes.
+
+    ``positions`` has shares (held before), entry (price), adv, target (weight;
+    null for a holding that must go) and any keys.  A change below ``least`` is
+    not traded unless the holding must go; a larger one is cut to
+    ``participation`` of the average volume; whole shares are rounded down.
+    New columns: held_value, value, new_shares, notional, weight, old_weight.
+    """
+    entry, shares = F.col("entry"), F.coalesce("shares", F.lit(0.0))
+    out = positions.withColumn("held_value", shares * entry)
+    wish = F.greatest(F.greatest(equity * (1 - cash), F.lit(0.0)) * F.coalesce("target", F.lit(0.0)), F.lit(0.0))
+    change = wish - F.col("held_value")
+    bound = F.when((F.col("adv") > 0) & (F.lit(participation) > 0), F.col("adv") * participation)
+    cut = F.greatest(F.lit(0.0), F.col("held_value") + F.signum(change) * bound)
+    value = F.when((F.abs(change) < least) & F.col("target").isNotNull(), F.col("held_value")).when(F.abs(change) > bound, cut).otherwise(wish)
+    out = out.withColumn("value", value)
+    if fractional:
+        out = out.withColumn("new_shares", F.when(entry > 0, F.col("value") / entry).otherwise(0.0))
+    else:
+        out = out.withColumn("new_shares", F.when(entry > 0, F.floor(F.greatest("value", F.lit(0.0)) / entry + 1e-12).cast("double")).otherwise(0.0))
+        out = out.withColumn("value", F.col("new_shares") * entry)
+    return out.withColumns({
+        "notional": F.abs(F.col("value") - F.col("held_value")),
+        "weight": F.when(equity > 0, F.col("value") / equity).otherwise(0.0), "old_weight": F.when(equity > 0, F.col("held_value") / equity).otherwise(0.0),
+    })
+
+
+def open_returns(prices: DataFrame, date: str = "date", key: str = "permno") -> DataFrame:
+    """(date, key, ret): from the next open to the one after, where both are positive."""
+    series = Window.partitionBy(key).orderBy(date)
+    px = prices.select(date, key, F.lead("open", 1).over(series).alias("__in"), F.lead("open", 2).over(series).alias("__out"))
+    return px.where("__in > 0 and __out > 0").select(date, key, (F.col("__out") / F.col("__in") - 1).alias("ret"))
+
+
+def baselines(gains: DataFrame, benchmark: Column, momentum: DataFrame, k: int, cash: float, date: str = "date", key: str = "permno", value: str = "mom") -> DataFrame:
+    """Daily returns of three plain portfolios: one benchmark name, all names alike, the k of strongest momentum.
+
+    ``gains`` has ret of the active names; each portfolio keeps ``cash`` back.
+    """
+    order = Window.partitionBy(date).orderBy(F.col(value).desc(), key)
+    top = momentum.where(F.col(value).isNotNull()).withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).select(date, key, F.lit(True).alias("__top"))
+    all_ = gains.join(top, [date, key], "left")
+    mean = lambda flag: F.avg(F.when(flag, F.col("ret"))) * (1 - cash)
+    return all_.groupBy(date).agg(mean(benchmark).alias("benchmark"), mean(F.lit(True)).alias("equal"), mean(F.col("__top")).alias("momentum"))
 
 
 def portfolio_returns(weights: DataFrame, prices: DataFrame, date: str = "date", key: str = "permno") -> DataFrame:
@@ -154,42 +219,88 @@ def fold_stability(sets: DataFrame, fold: str = "fold", member: str = "member")
     return pairs.select(fold, (F.size(F.array_intersect("s", "p")) / F.size(F.array_union("s", "p"))).alias("jaccard"))
 
 
-def order_intents(target: DataFrame, held: DataFrame, equity: float, least: float = 1.0, key: str = "key") -> DataFrame:
-    """Side, notional and quantity of the trades from held positions to target weights."""
-    both = target.join(held, key, "full_outer").na.fill(0.0, ["weight", "market_value"])
-    delta = F.lit(equity) * F.col("weight") - F.col("market_value")
-    out = both.withColumn("delta", delta).where(F.abs("delta") >= least)
-    side = F.when(F.col("delta") > 0, F.lit("buy")).otherwise(F.lit("sell"))
-    return out.select(key, side.alias("side"), F.abs("delta").alias("notional"), "delta")
-
+def order_intents(target: DataFrame, held: DataFrame, deployable: float, least: float = 1.0, key: str = "key", by: tuple[str, ...] = ()) -> DataFrame:
+    """The trades from held positions to target weights, as orders.
 
-def walk_forward(daily: DataFrame, folds: list[tuple[int, str, str]], k: int = 10, cost: float = 0.001, date: str = "date") -> DataFrame:
+    ``held`` has market_value, qty and price.  Buys are told in currency; sells
+    in shares, never more than are held, where there is a price.  Changes under
+    ``least`` are no trades.
+    """
+    keys = [*by, key]
+    both = target.select(*keys, "weight").join(held.select(*keys, "market_value", "qty", "price"), keys, "full_outer")
+    both = both.na.fill(0.0, ["weight", "market_value", "qty", "price"])
+    goal = F.lit(deployable) * F.col("weight")
+    out = both.withColumn("__d", goal - F.col("market_value")).where(F.abs("__d") >= least)
+    buy = F.col("__d") > 0
+    in_shares = ~buy & (F.col("price") > 0)
+    return out.select(
+        *keys, F.when(buy, F.lit("buy")).otherwise(F.lit("sell")).alias("side"), F.round(goal, 2).alias("target_value"),
+        F.round("market_value", 2).alias("current_value"), F.round("__d", 2).alias("delta_value"), F.round("price", 6).alias("price"),
+        F.when(in_shares, F.lit("qty")).otherwise(F.lit("notional")).alias("submit_mode"),
+        F.when(~in_shares, F.round(F.abs("__d"), 2)).alias("notional"),
+        F.when(in_shares, F.round(F.least(F.try_divide(F.abs("__d"), F.col("price")), F.abs("qty")), 6)).alias("qty"),
+    )
+
+
+def order_notional(delta_value: Column, notional: Column, qty: Column, price: Column) -> Column:
+    """Size of an order in currency: the first of its change, its notional, and quantity times price that it tells."""
+    return F.coalesce(F.abs(delta_value), F.abs(notional), F.abs(qty * price), F.lit(0.0))
+
+
+def walk_forward(
+    daily: DataFrame, folds: list[tuple[int, str, str]], k: int = 10, equity: float = 1e6, cash: float = 0.05, participation: float = 0.05,
+    least: float = 100.0, fractional: bool = True, date: str = "date",
+) -> DataFrame:
     """Simulate each fold on its own: equity and holdings restart at the fold's first date.
 
-    ``daily`` has date, permno, score and gain (the return of a position entered
-    after the date).  Folds share no state, so each is one group and they run in
-    parallel; a fold holds dates x k rows.
+    ``daily`` has date, permno, score, entry, exit and mark (the open at which a
+    position is taken, the next one and the close before it), adv and vol.  The k
+    best names of a date weigh alike; trades follow ``rebalance``, and holdings
+    that left the table's date are sold at its entry.  Folds share no state, so
+    each is one group and they run in parallel; only names that are ever among a
+    fold's best are sent, so a group holds dates x such names.
     """
+    import pandas as pd
+
     spark = daily.sparkSession
     windows = spark.createDataFrame(folds, "fold int, begin string, end string").select("fold", F.to_date("begin").alias("b"), F.to_date("end").alias("e"))
-    order = Window.partitionBy(date).orderBy(F.col("score").desc(), "permno")
-    best = daily.where("score is not null and gain is not null").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k)
-    dealt = best.join(F.broadcast(windows), F.col(date).between(F.col("b"), F.col("e"))).select("fold", date, "permno", "gain")
+    dated = daily.join(F.broadcast(windows), F.col(date).between(F.col("b"), F.col("e")))  # a row for each fold
+    usable = F.col("score").isNotNull() & (F.col("entry") > 0)
+    order = Window.partitionBy("fold", date).orderBy(usable.desc(), F.col("score").desc(), "permno")
+    ranked = dated.withColumn("__k", F.row_number().over(order)).withColumn("target", F.when(usable & (F.col("__k") <= k), F.lit(1.0 / k)))
+    names = ranked.where("target is not null").select("fold", "permno").distinct()
+    sent = ranked.join(names, ["fold", "permno"], "left_semi").where("entry > 0").select(
+        "fold", date, "permno", "target", "entry", F.when(F.col("exit") > 0, F.col("exit")).otherwise(F.col("mark")).alias("exit"), "adv", "vol"
+    )
 
-    def run(pdf):
-        import pandas as pd
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
-        rows, before, equity = [], {}, 1.0
+        rows, shares, wealth = [], {}, equity
         for day, part in pdf.sort_values([date, "permno"]).groupby(date):
-            weights = dict.fromkeys(part["permno"], 1 / len(part))
-            turn = sum(abs(weights.get(x, 0) - before.get(x, 0)) for x in sorted({*weights, *before})) / 2
-            net = float((part["gain"] / len(part)).sum()) - cost * turn
-            equity *= 1 + net
-            rows.append((int(pdf["fold"].iloc[0]), day, net, turn, equity))
-            before = weights
-        return pd.DataFrame(rows, columns=["fold", date, "net", "turnover", "equity"])
-
-    return dealt.groupBy("fold").applyInPandas(run, f"fold int, {date} date, net double, turnover double, equity double")
+            held = part["permno"].map(shares).fillna(0.0).to_numpy()
+            entry, exit_, adv, vol = (part[c].to_numpy(float) for c in ("entry", "exit", "adv", "vol"))
+            wanted = part["target"].to_numpy(float)
+            before, wish = held * entry, np.nan_to_num(wanted) * wealth * (1 - cash)
+            change = wish - before
+            bound = np.where(adv > 0, adv * participation, np.inf) if participation > 0 else np.full(len(part), np.inf)
+            bound = np.where(np.isnan(bound), np.inf, bound)
+            after = np.where(np.abs(change) > bound, np.maximum(before + np.sign(change) * bound, 0), wish)
+            after = np.where((np.abs(change) < least) & ~np.isnan(wanted), before, after)
+            new = after / entry if fractional else np.floor(np.maximum(after, 0) / entry + 1e-12)
+            after = new * entry
+            traded = np.abs(after - before)
+            share = np.sqrt(np.where(adv > 0, traded / np.where(adv > 0, adv, 1), 0))
+            cost = float((traded * (0.001 + 0.1 * np.nan_to_num(vol) * share)).sum()) / wealth
+            gross = float((after / wealth * np.nan_to_num(exit_ / entry - 1)).sum())
+            turn = float(np.abs(after - before).sum()) / wealth / 2
+            net = gross - cost
+            wealth *= 1 + net
+            shares = {n: s for n, s in zip(part["permno"], new, strict=True) if s > 1e-10}
+            rows.append((int(pdf["fold"].iloc[0]), day, gross, cost, net, turn, wealth / equity))
+        return pd.DataFrame(rows, columns=["fold", date, "gross", "cost", "net", "turnover", "equity"])
+
+    return sent.groupBy("fold").applyInPandas(run, f"fold int, {date} date, gross double, cost double, net double, turnover double, equity double")
 
 
 def gates(stats: dict[str, float], limits: dict[str, tuple[str, float]]) -> dict[str, bool]:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.portfolio import order_notional
+
 
 def invalid_bars(bars: DataFrame) -> DataFrame:
-    """Rows whose prices contradict each other, or aren't positive."""
+    """Rows whose prices contradict each other, whose close isn't positive or whose volume is negative."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    bad = (h < lo) | (h < F.greatest(o, c)) | (lo > F.least(o, c)) | (F.least(o, h, lo, c) <= 0) | (F.col("volume") < 0)
+    bad = (h < lo) | (h < F.greatest(o, c)) | (lo > F.least(o, c)) | (c <= 0) | (F.col("volume") < 0)
     return bars.where(bad)
 
 
@@ -68,18 +72,128 @@ def report(checks: dict[str, DataFrame], lenient: tuple[str, ...] = ()) -> DataF
     return out.withColumn("ok", (F.col("violations") == 0) | F.col("check").isin(*lenient))
 
 
-def order_checks(orders: DataFrame, equity: float, limits: dict[str, float]) -> DataFrame:
-    """Pre-trade checks over orders: largest and total notional, number, and daily volume share."""
-    o = orders.agg(
-        F.coalesce(F.max("notional"), F.lit(0.0)).alias("max_notional"),
-        F.coalesce(F.sum("notional"), F.lit(0.0)).alias("total_notional"),
-        F.count("*").alias("orders"),
-        F.coalesce(F.max(F.col("notional") / F.nullif("adv", F.lit(0.0))), F.lit(0.0)).alias("max_share"),
-    )
-    rows = F.array(
-        F.struct(F.lit("PT-01").alias("check"), (F.col("max_notional") / equity).alias("value"), F.lit(limits["name"]).alias("limit")),
-        F.struct(F.lit("PT-02").alias("check"), (F.col("total_notional") / equity).alias("value"), F.lit(limits["gross"]).alias("limit")),
-        F.struct(F.lit("PT-05").alias("check"), F.col("orders").cast("double").alias("value"), F.lit(limits["orders"]).alias("limit")),
-        F.struct(F.lit("PT-06").alias("check"), F.col("max_share").alias("value"), F.lit(limits["share"]).alias("limit")),
-    )
-    return o.select(F.explode(rows).alias("r")).select("r.*").withColumn("ok", F.col("value") <= F.col("limit"))
+def freshness(bars: DataFrame, target: str, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, latest, fresh): whether the newest bar reaches the target date."""
+    return bars.groupBy(*by).agg(F.max(date).alias("latest")).withColumn("fresh", F.coalesce(F.col("latest") >= F.lit(target).cast("date"), F.lit(False)))
+
+
+def completeness(bars: DataFrame, members: DataFrame | None, halt: int, warn: int, date: str = "date", key: str = "permno") -> DataFrame:
+    """(date, actual, expected, severity): keys with a bar against the members of each date.
+
+    Below ``halt`` keys a date is critical, below ``warn`` a warning.
+    """
+    out = bars.groupBy(date).agg(F.countDistinct(key).alias("actual"))
+    if members is None:
+        out = out.withColumn("expected", F.lit(None).cast("long"))
+    else:
+        active = members.where("active") if "active" in members.columns else members
+        out = out.join(active.groupBy(date).agg(F.countDistinct(key).alias("expected")), date, "full_outer")
+        out = out.na.fill(0, ["actual"])
+    severity = F.when(F.col("actual") < halt, F.lit("critical")).when(F.col("actual") < warn, F.lit("warning")).otherwise(F.lit("info"))
+    return out.withColumns({"severity": severity, "passed": F.col("actual") >= halt})
+
+
+def business_days(begin: Column, end: Column) -> Column:
+    """Weekdays after ``begin`` up to ``end``; 0 if there are none."""
+    span = F.when(begin < end, F.sequence(F.date_add(begin, 1), end)).otherwise(F.array().cast("array<date>"))
+    return F.size(F.filter(span, lambda d: ~F.dayofweek(d).isin(1, 7))).cast("long")
+
+
+def gap_backfill(bars: DataFrame, target: Column, most: int = 5, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, latest, gap, severity, passed): business days missing before the target date.
+
+    One missing day is the day to be loaded; up to ``most`` must be filled first
+    (a warning), more are critical, as is a group without dates.
+    """
+    out = bars.groupBy(*by).agg(F.max(date).alias("latest")).withColumn("gap", business_days(F.col("latest"), target))
+    severity = F.when(F.col("latest").isNull(), F.lit("critical")).when(F.col("gap") <= 1, F.lit("info"))
+    severity = severity.when(F.col("gap") <= most, F.lit("warning")).otherwise(F.lit("critical"))
+    return out.withColumn("severity", severity).withColumn("passed", F.col("severity") == "info")
+
+
+@dataclass(frozen=True)
+class RiskLimits:
+    """Bounds of the pre-trade and post-trade checks."""
+
+    gross: float = 0.40
+    order_value: float = 12_500.0
+    position: float = 0.10
+    most_positions: int = 50
+    least_positions: int = 1
+    cash: float = 0.02
+    slippage_bps: float = 100.0
+    weight_gap: float = 0.01
+
+
+def _checks(base: DataFrame, checks: list[tuple[str, Column, Column]], by: tuple[str, ...]) -> DataFrame:
+    rows = [F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), passed.alias("passed")) for name, value, passed in checks]
+    return base.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
+
+
+def pre_trade(
+    signals: DataFrame, orders: DataFrame, equity: float, buying_power: float, limits: RiskLimits = RiskLimits(), universe: DataFrame | None = None,
+    latest: str | None = None, as_of: str | None = None, halted: bool = False, session: bool = True, by: tuple[str, ...] = (), key: str = "key",
+) -> DataFrame:
+    """The eight checks before orders are sent: (by, check, value, passed).
+
+    ``signals`` has key and weight, ``orders`` side and the columns that tell an
+    order's size (delta_value, notional, qty, price).  Checks without their input
+    (universe, dates) pass.  Aggregates only, for any number of portfolios.
+    """
+    absent = {c: F.lit(None).cast("double") for c in ("delta_value", "notional", "qty", "price") if c not in orders.columns}
+    sized = orders.withColumns(absent) if absent else orders
+    sized = sized.withColumn("__n", order_notional(F.col("delta_value"), F.col("notional"), F.col("qty"), F.col("price")))
+    buys = F.sum(F.when(F.lower("side") == "buy", F.col("__n")))
+    o = sized.groupBy(*by).agg(F.sum("__n").alias("total"), F.max("__n").alias("single"), buys.alias("buys"))
+    known = signals
+    if universe is None:
+        known = signals.withColumn("__in", F.lit(True))
+    else:
+        known = signals.join(universe.select(key).distinct().withColumn("__in", F.lit(True)), key, "left")
+    p = known.groupBy(*by).agg(
+        F.count_if(F.col("__in").isNull()).alias("strangers"), F.count("*").alias("n"), F.max(F.coalesce("weight", F.lit(0.0))).alias("most"),
+        F.sum(F.coalesce("weight", F.lit(0.0))).alias("sum"),
+    )
+    base = (p.join(o, list(by), "full_outer") if by else p.join(o)).na.fill(0)
+    tiny, e = 1e-9, max(equity, 0.0)
+    stale = latest is not None and as_of is not None and latest < as_of
+    fits = F.col("n").between(limits.least_positions, limits.most_positions) & (F.col("most") <= limits.position + tiny) & (F.col("sum") <= 1 + tiny)
+    return _checks(base, [
+        ("PT-01", F.col("total"), F.col("total") <= limits.gross * e + tiny),
+        ("PT-02", F.col("single"), F.col("single") <= min(limits.order_value, limits.position * e) + tiny),
+        ("PT-03", F.col("strangers"), F.col("strangers") == 0),
+        ("PT-04", F.lit(float(stale)), F.lit(not stale)),
+        ("PT-05", F.col("n"), fits),
+        ("PT-06", F.col("buys"), F.col("buys") <= buying_power + tiny),
+        ("PT-07", F.lit(float(halted)), F.lit(not halted)),
+        ("PT-08", F.lit(float(session)), F.lit(session)),
+    ], by)
+
+
+#: Statuses after which an order is lost.
+FATAL = ("rejected", "canceled", "expired", "suspended")
+
+
+def post_trade(
+    target: DataFrame, positions: DataFrame, fills: DataFrame, equity: float, cash: float | None, limits: RiskLimits = RiskLimits(),
+    by: tuple[str, ...] = (), key: str = "key",
+) -> DataFrame:
+    """The four checks after trading: lost orders, slippage, weights reached, cash: (by, check, value, passed).
+
+    ``target`` has key and weight, ``positions`` key and market_value, ``fills``
+    status, fill and expected (prices).
+    """
+    slip = F.when((F.col("expected") > 0) & F.col("fill").isNotNull(), F.abs(F.try_divide(F.col("fill"), F.col("expected")) - 1) * 10_000)
+    f = fills.groupBy(*by).agg(F.count_if(F.lower("status").isin(*FATAL)).alias("lost"), F.max(slip).alias("slip"))
+    keys = [*by, key]
+    both = target.select(*keys, "weight").join(positions.select(*keys, "market_value"), keys, "full_outer").na.fill(0.0, ["weight", "market_value"])
+    actual = F.col("market_value") / equity if equity > 0 else F.lit(0.0)
+    w = both.groupBy(*by).agg(F.max(F.abs(actual - F.col("weight"))).alias("gap"))
+    base = (f.join(w, list(by), "full_outer") if by else f.join(w)).na.fill(0)
+    enough = cash is None or cash + 1e-9 >= limits.cash * max(equity, 0.0)
+    return _checks(base, [
+        ("PT-09", F.col("lost"), F.col("lost") == 0),
+        ("PT-10", F.col("slip"), F.col("slip") <= limits.slippage_bps + 1e-9),
+        ("PT-11", F.col("gap"), F.col("gap") <= limits.weight_gap + 1e-9),
+        ("PT-12", F.lit(cash or 0.0), F.lit(enough)),
+    ], by)

@@ -9,7 +9,7 @@ from tessera.functions import rounded
 from tessera.operators import inference, scoring
 from tessera.plans.compile import evaluate
 from tessera.plans.formula import canonical, normalised_distance, parse, size, subtree_sizes
-from tessera.queries.base import bars, grid, query, r, read
+from tessera.queries.base import BARS, bars, grid, query, r, read
 from tessera.queries.formulas import POOL
 from tessera.queries.scores import LAG, MINIMUM
 from tessera.search.evolve import Search, fitness, sample, round_rng
@@ -98,17 +98,17 @@ def source_latest_slice(spark, sf_dir):
     return tables.latest_slice(read(spark, sf_dir, "orders"), "o_orderdate", "1997-01-01").select("o_orderkey")
 
 
-@query("""WITH d AS (SELECT l_suppkey AS permno, l_shipdate AS date, l_orderkey FROM lineitem WHERE l_suppkey IN (3, 5, 8) AND l_shipdate >= DATE '1996-01-01' AND l_shipdate <= DATE '1996-12-31')
+@query("""WITH d AS (SELECT l_suppkey AS permno, l_shipdate AS date, l_orderkey FROM lineitem)
      SELECT permno, CAST(date AS DATE) AS date, l_orderkey, CASE WHEN date < DATE '1996-07-01' THEN 'OLD' || permno ELSE 'NEW' || permno END AS ticker FROM d""")
 def source_history(spark, sf_dir):
-    """Daily rows of some keys with the name valid that day, through Spark SQL."""
+    """Daily rows of all keys with the name valid that day, through Spark SQL."""
     read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("permno"), F.col("l_shipdate").cast("date").alias("date"), "l_orderkey").createOrReplaceTempView("tessera_daily")
     names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("permno"))
     old = names.select("permno", F.concat(F.lit("OLD"), "permno").alias("ticker"), F.lit("1900-01-01").cast("date").alias("begin_date"), F.lit("1996-06-30").cast("date").alias("end_date"))
     new = names.select("permno", F.concat(F.lit("NEW"), "permno").alias("ticker"), F.lit("1996-07-01").cast("date").alias("begin_date"), F.lit(None).cast("date").alias("end_date"))
     old.union(new).createOrReplaceTempView("tessera_names")
     daily = tables.resolve_table(spark, ["tessera_missing", "tessera_daily"])
-    return tables.history(spark, daily, "tessera_names", [3, 5, 8], "1996-01-01", "1996-12-31")
+    return tables.history(spark, daily, "tessera_names", None, "1900-01-01", "9999-12-31")
 
 
 @query()
@@ -184,13 +184,13 @@ def source_key_counts(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("permno")).agg(F.count("*").alias("rows")).where("rows >= 5")
 
 
-@query()
+@query(f"""WITH {BARS} SELECT date, permno, {r("CASE WHEN date >= DATE '1996-06-01' THEN close + 1 ELSE close END")} AS close, CASE WHEN date >= DATE '1996-06-01' THEN 2 ELSE 1 END AS seen FROM bars""")
 def ingest_keep_last(spark, sf_dir):
     """Two overlapping batches of bars merged by date folders; later rows win."""
     path = scratch(spark, "ingest")
     b = bars(spark, sf_dir).select("date", "permno", "close")
     first = b.where("date < DATE '1996-07-01'").withColumn("seen", F.lit(1))
-    second = b.where("date >= DATE '1996-06-01' and date < DATE '1996-09-01'").withColumns({"seen": F.lit(2), "close": F.col("close") + 1})
+    second = b.where("date >= DATE '1996-06-01'").withColumns({"seen": F.lit(2), "close": F.col("close") + 1})
     for batch in (first, second):
         streams.merge_daily(spark, batch, path, ["date", "permno"], "seen")
     return spark.read.parquet(path).select("date", "permno", rounded("close").alias("close"), "seen")

@@ -147,11 +147,11 @@ def panel_quarter_samples(spark, sf_dir):
     return out.groupBy("sample").agg(F.count("*").alias("n"), rounded(F.avg("volume"), 4).alias("mean"), rounded(F.stddev_samp("volume"), 4).alias("spread"))
 
 
-@query(f"""WITH {BARS}, s AS (SELECT s_suppkey, n_name AS sector FROM supplier JOIN nation ON n_nationkey = s_nationkey)
-     SELECT date, permno, coalesce(sector, 'Unknown') AS sector FROM bars LEFT JOIN s ON s_suppkey = permno AND permno % 7 <> 0""")
+@query(f"""WITH {BARS}, s AS (SELECT s_suppkey, n_name AS sector, s_acctbal AS balance FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+     SELECT date, permno, coalesce(sector, 'Unknown') AS sector FROM bars LEFT JOIN s ON s_suppkey = permno AND balance > 0""")
 def join_sector_map(spark, sf_dir):
     """Lookup with a default for keys that the map lacks."""
-    sectors = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 7 <> 0")
+    sectors = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_acctbal > 0")
     b = bars(spark, sf_dir).select("date", "permno")
     return b.join(sectors.select(F.col("s_suppkey").alias("permno"), F.col("n_name").alias("sector")), "permno", "left").select("date", "permno", F.coalesce("sector", F.lit("Unknown")).alias("sector"))
 
@@ -168,14 +168,14 @@ def join_anti(spark, sf_dir):
     return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query(f"""WITH {BARS}, a AS (SELECT permno, volume FROM bars WHERE date = DATE '1996-03-01'), b AS (SELECT permno, volume FROM bars WHERE date = DATE '1996-04-01' AND permno % 3 <> 0)
-     SELECT coalesce(a.permno, b.permno) AS permno, coalesce(a.volume, 0) AS before, coalesce(b.volume, 0) AS after FROM a FULL OUTER JOIN b ON a.permno = b.permno""")
+@query(f"""WITH {BARS}, a AS (SELECT date, permno, volume FROM bars), b AS (SELECT CAST(date + INTERVAL 1 MONTH AS DATE) AS date, permno, volume FROM bars)
+     SELECT coalesce(a.date, b.date) AS date, coalesce(a.permno, b.permno) AS permno, coalesce(b.volume, 0) AS before, coalesce(a.volume, 0) AS after FROM a FULL OUTER JOIN b ON a.permno = b.permno AND a.date = b.date""")
 def join_full_alignment(spark, sf_dir):
-    """Union of two key sets, absent sides counted as 0."""
+    """Union of each month's keys with those of the month before, absent sides counted as 0."""
     b = bars(spark, sf_dir)
-    x = b.where("date = DATE '1996-03-01'").select("permno", F.col("volume").alias("before"))
-    y = b.where("date = DATE '1996-04-01' and permno % 3 <> 0").select("permno", F.col("volume").alias("after"))
-    return x.join(y, "permno", "full_outer").select("permno", F.coalesce("before", F.lit(0.0)).alias("before"), F.coalesce("after", F.lit(0.0)).alias("after"))
+    after = b.select("date", "permno", F.col("volume").alias("after"))
+    before = b.select(F.add_months("date", 1).alias("date"), "permno", F.col("volume").alias("before"))
+    return before.join(after, ["date", "permno"], "full_outer").select("date", "permno", F.coalesce("before", F.lit(0.0)).alias("before"), F.coalesce("after", F.lit(0.0)).alias("after"))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 1""")
@@ -187,22 +187,23 @@ def join_band(spark, sf_dir):
     return a.join(b, near).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
-@query(f"""WITH {BARS}, v AS (SELECT permno, date, close, lag(close) OVER (PARTITION BY permno ORDER BY date) AS p FROM bars)
-     SELECT count(*) FILTER (WHERE abs(close - p) <= 0.5 + 0.05 * abs(p)) AS near, count(*) FILTER (WHERE p IS NULL) AS first FROM v""")
+@query(f"""WITH {BARS}, a AS (SELECT permno, date, close FROM bars), b AS (SELECT permno, CAST(date + INTERVAL 1 MONTH AS DATE) AS date, CASE WHEN volume > 20 THEN close END AS close FROM bars)
+     SELECT a.permno, a.date, (a.close IS NULL AND b.close IS NULL) OR coalesce(abs(a.close - b.close) <= 0.5 + 0.05 * abs(b.close), FALSE) AS same FROM a JOIN b ON a.permno = b.permno AND a.date = b.date""")
 def join_tolerance(spark, sf_dir):
-    """Numbers equal within an absolute and a relative tolerance."""
-    v = bars(spark, sf_dir).withColumn("p", F.lag("close").over(Window.partitionBy("permno").orderBy("date")))
-    return v.agg(F.count_if(F.abs(F.col("close") - F.col("p")) <= 0.5 + 0.05 * F.abs("p")).alias("near"), F.count_if(F.col("p").isNull()).alias("first"))
+    """Two tables matched on their keys, values compared within an absolute and a relative tolerance; missing equals missing."""
+    b = bars(spark, sf_dir)
+    later = b.select("permno", F.add_months("date", 1).alias("date"), F.when(F.col("volume") > 20, F.col("close")).alias("other"))
+    return panel.tolerance_match(b.select("permno", "date", "close"), later, ["permno", "date"], "close", "other", 0.5, 0.05).select("permno", "date", "same")
 
 
-@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0""")
+@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'""")
 def set_difference(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey").subtract(read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey")))
+    return read(spark, sf_dir, "customer").select("c_custkey").subtract(read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")))
 
 
-@query("""SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0""")
+@query("""SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def set_intersection(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey").intersect(read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey")))
+    return read(spark, sf_dir, "customer").select("c_custkey").intersect(read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query("""SELECT s_suppkey AS key, 'supplier' AS origin, s_acctbal AS balance FROM supplier UNION ALL SELECT c_custkey, 'customer', NULL FROM customer""")

@@ -114,13 +114,29 @@ def portfolio_fold_stability(spark, sf_dir):
     return portfolio.fold_stability(sets).select("fold", rounded("jaccard").alias("jaccard"))
 
 
-@query(f"""WITH {_TOP}, a AS (SELECT permno AS key, weight FROM wts WHERE date = DATE '1997-01-01'), b AS (SELECT permno AS key, weight FROM wts WHERE date = DATE '1997-02-01'),
-     j AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.weight, 0) AS w0, coalesce(b.weight, 0) AS w1 FROM a FULL OUTER JOIN b ON a.key = b.key), t AS (SELECT sum(abs(w1 - w0)) / 2 AS turn FROM j),
-     x AS (SELECT key, greatest(w0 + CASE WHEN turn > 0.2 THEN 0.2 / turn ELSE 1.0 END * (w1 - w0), 0) AS weight FROM j CROSS JOIN t) SELECT key, {r('weight')} AS weight FROM x WHERE weight > 1e-8""")
+#: The weights of each date and those of the date before, under the later date.
+_PREV = f"""{_TOP}, cal AS (SELECT date, lead(date) OVER (ORDER BY date) AS after FROM (SELECT DISTINCT date FROM bars)),
+     prv AS (SELECT after AS date, permno, weight FROM wts JOIN cal ON cal.date = wts.date WHERE after IS NOT NULL)"""
+
+
+def _previous(spark, sf_dir, w):
+    """Each date's weights, moved to the date after it."""
+    days = panel.calendar(bars(spark, sf_dir))
+    return w.join(panel.nth_next_date(days, 1), "date").select(F.col("next").alias("date"), "permno", "weight")
+
+
+@query(f"""WITH {_PREV}, j AS (SELECT coalesce(p.date, w.date) AS date, coalesce(p.permno, w.permno) AS key, p.weight IS NOT NULL AS had, coalesce(p.weight, 0) AS w0, coalesce(w.weight, 0) AS w1
+          FROM prv p FULL OUTER JOIN wts w ON p.date = w.date AND p.permno = w.permno),
+     t AS (SELECT *, sum(abs(w1 - w0)) OVER (PARTITION BY date) / 2 AS turn, bool_or(had) OVER (PARTITION BY date) AS any_had FROM j),
+     x AS (SELECT date, key, any_had AND turn > 0.2 AS over_, CASE WHEN any_had AND turn > 0.2 THEN greatest(least(w0 + 0.2 / turn * (w1 - w0), 0.09), 0) ELSE w1 END AS w FROM t),
+     y AS (SELECT date, key, CASE WHEN over_ AND sum(w) OVER (PARTITION BY date) > 0.9 THEN w * 0.9 / sum(w) OVER (PARTITION BY date) ELSE w END AS weight FROM x)
+     SELECT date, key, {r('weight')} AS weight FROM y WHERE weight > 1e-8""")
 def portfolio_turnover_cap(spark, sf_dir):
+    """Every date's weights, no further from those of the date before than the turnover allows."""
     w = weights(spark, sf_dir)
-    day = lambda d: w.where(F.col("date") == F.lit(d).cast("date")).select(F.col("permno").alias("key"), "weight")
-    return portfolio.cap_turnover(day("1997-01-01"), day("1997-02-01"), 0.2).select("key", rounded("weight").alias("weight"))
+    before = _previous(spark, sf_dir, w).withColumnRenamed("permno", "key")
+    out = portfolio.cap_turnover(before, w.withColumnRenamed("permno", "key"), 0.2, cap=0.09, total=0.9, by=("date",))
+    return out.select("date", "key", rounded("weight").alias("weight"))
 
 
 @query(f"WITH {BARS} SELECT date, permno, {r('abs(dollar_volume) * (0.001 + 0.1 * 0.02 * sqrt(abs(dollar_volume) / 1e6))', 4)} AS cost FROM bars")
@@ -129,13 +145,71 @@ def portfolio_trade_cost(spark, sf_dir):
     return bars(spark, sf_dir).select("date", "permno", rounded(cost, 4).alias("cost"))
 
 
-@query(f"""WITH {_TOP}, t AS (SELECT permno AS key, weight FROM wts WHERE date = DATE '1997-02-01'), h AS (SELECT permno AS key, volume AS market_value FROM bars WHERE date = DATE '1997-01-01' AND permno % 4 = 0),
-     j AS (SELECT coalesce(t.key, h.key) AS key, 10000 * coalesce(weight, 0) - coalesce(market_value, 0) AS delta FROM t FULL OUTER JOIN h ON t.key = h.key)
-     SELECT key, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side, {r('abs(delta)', 4)} AS notional FROM j WHERE abs(delta) >= 50""")
+_HELD = """px AS (SELECT permno, date, close, lag(close) OVER (PARTITION BY permno ORDER BY date) AS past FROM bars),
+     held AS (SELECT p.date, p.permno AS key, coalesce(x.close, 0) AS price, CASE WHEN past > 0 THEN 100000 * weight / past ELSE 0 END AS qty FROM prv p LEFT JOIN px x ON x.date = p.date AND x.permno = p.permno)"""
+_ORDERS = f"""{_PREV}, {_HELD},
+     oj AS (SELECT coalesce(w.date, h.date) AS date, coalesce(w.permno, h.key) AS key, 95000 * coalesce(weight, 0) AS goal, coalesce(qty * price, 0) AS mv, coalesce(qty, 0) AS q, coalesce(price, 0) AS price
+            FROM wts w FULL OUTER JOIN held h ON h.date = w.date AND h.key = w.permno),
+     od AS (SELECT *, goal - mv AS d, goal - mv <= 0 AND price > 0 AS in_shares FROM oj WHERE abs(goal - mv) >= 50),
+     orders_ AS (SELECT date, key, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS side, d, CASE WHEN in_shares THEN 'qty' ELSE 'notional' END AS submit_mode,
+                 CASE WHEN NOT in_shares THEN abs(d) END AS notional, CASE WHEN in_shares THEN least(abs(d) / price, abs(q)) END AS qty, price FROM od)"""
+
+
+def holdings(spark, sf_dir):
+    """What each date holds of the portfolio before: shares at the former close, valued at the date's."""
+    b = bars(spark, sf_dir)
+    px = b.select("permno", "date", F.col("close").alias("price"), F.lag("close").over(Window.partitionBy("permno").orderBy("date")).alias("past"))
+    held = _previous(spark, sf_dir, weights(spark, sf_dir)).join(px, ["date", "permno"], "left")
+    qty = F.when(F.col("past") > 0, F.col("weight") * 100_000 / F.col("past")).otherwise(0.0)
+    held = held.select("date", F.col("permno").alias("key"), F.coalesce("price", F.lit(0.0)).alias("price"), qty.alias("qty"))
+    return held.withColumn("market_value", F.col("qty") * F.col("price"))
+
+
+def orders(spark, sf_dir):
+    target = weights(spark, sf_dir).withColumnRenamed("permno", "key")
+    return portfolio.order_intents(target, holdings(spark, sf_dir), 95_000.0, 50.0, by=("date",))
+
+
+@query(f"""WITH {_ORDERS} SELECT date, key, side, submit_mode, {r('d', 1)} AS delta_value, {r('notional', 1)} AS notional, {r('qty', 4)} AS qty FROM orders_""")
 def portfolio_order_intents(spark, sf_dir):
-    target = weights(spark, sf_dir).where("date = DATE '1997-02-01'").select(F.col("permno").alias("key"), "weight")
-    held = bars(spark, sf_dir).where("date = DATE '1997-01-01' and permno % 4 = 0").select(F.col("permno").alias("key"), F.col("volume").alias("market_value"))
-    return portfolio.order_intents(target, held, 10_000.0, 50.0).select("key", "side", rounded("notional", 4).alias("notional"))
+    """Orders of every date from the portfolio of the date before."""
+    out = orders(spark, sf_dir)
+    return out.select("date", "key", "side", "submit_mode", rounded("delta_value", 1).alias("delta_value"), rounded("notional", 1).alias("notional"), rounded("qty", 4).alias("qty"))
+
+
+_SIZED = f"""{_PREV}, {_HELD}, adv AS (SELECT date, permno, adv20 FROM feat),
+     en AS (SELECT permno, date, lead(open) OVER (PARTITION BY permno ORDER BY date) AS entry FROM bars),
+     sj AS (SELECT coalesce(w.date, h.date) AS date, coalesce(w.permno, h.key) AS key, w.weight AS target, coalesce(h.qty, 0) AS shares
+            FROM wts w FULL OUTER JOIN held h ON h.date = w.date AND h.key = w.permno),
+     sx AS (SELECT sj.*, entry, adv20 AS adv, shares * entry AS hv, 95000 * coalesce(target, 0) AS wish FROM sj JOIN en ON en.date = sj.date AND en.permno = key
+            LEFT JOIN adv ON adv.date = sj.date AND adv.permno = key WHERE entry > 0),
+     sv AS (SELECT *, CASE WHEN abs(wish - hv) < 100 AND target IS NOT NULL THEN hv WHEN adv > 0 AND abs(wish - hv) > adv * 0.05 THEN greatest(0, hv + sign(wish - hv) * adv * 0.05) ELSE wish END AS v0 FROM sx)"""
+
+
+@query(f"""WITH {_SIZED}, sw AS (SELECT *, floor(greatest(v0, 0) / entry + 1e-12) AS n FROM sv)
+     SELECT date, key, n AS new_shares, {r('abs(n * entry - hv)', 2)} AS notional, {r('n * entry / 100000')} AS weight FROM sw""")
+def portfolio_rebalance(spark, sf_dir):
+    """Whole shares of every date after trades of at most a share of the average volume."""
+    held = holdings(spark, sf_dir).select("date", "key", F.col("qty").alias("shares"))
+    target = weights(spark, sf_dir).select("date", F.col("permno").alias("key"), F.col("weight").alias("target"))
+    b = bars(spark, sf_dir)
+    entry = b.select("date", F.col("permno").alias("key"), F.lead("open").over(Window.partitionBy("permno").orderBy("date")).alias("entry")).where("entry > 0")
+    adv = scored(spark, sf_dir).select("date", F.col("permno").alias("key"), F.col("adv20").alias("adv"))
+    positions = target.join(held, ["date", "key"], "full_outer").join(entry, ["date", "key"]).join(adv, ["date", "key"], "left")
+    out = portfolio.rebalance(positions, F.lit(100_000.0), fractional=False)
+    return out.select("date", "key", "new_shares", rounded("notional", 2).alias("notional"), rounded("weight").alias("weight"))
+
+
+@query(f"""WITH {_FEATURES}, ox AS (SELECT date, permno, lead(open, 1) OVER o AS a, lead(open, 2) OVER o AS b FROM bars WINDOW o AS (PARTITION BY permno ORDER BY date)),
+     rt AS (SELECT date, permno, b / a - 1 AS ret FROM ox WHERE a > 0 AND b > 0),
+     tm AS (SELECT date, permno, row_number() OVER (PARTITION BY date ORDER BY floor(mom_12 * 1e9) DESC, permno) AS k FROM feat WHERE mom_12 IS NOT NULL)
+     SELECT rt.date, {r('avg(CASE WHEN rt.permno = 1 THEN ret END) * 0.95')} AS benchmark, {r('avg(ret) * 0.95')} AS equal, {r('avg(CASE WHEN k <= 10 THEN ret END) * 0.95')} AS momentum
+     FROM rt LEFT JOIN tm ON tm.date = rt.date AND tm.permno = rt.permno GROUP BY rt.date""")
+def portfolio_baselines(spark, sf_dir):
+    """Daily returns of a benchmark name, of all names, and of the strongest momentum."""
+    momentum = scored(spark, sf_dir).select("date", "permno", F.floor(F.col("mom_12") * 1e9).alias("mom"))
+    out = portfolio.baselines(portfolio.open_returns(bars(spark, sf_dir)), F.col("permno") == 1, momentum, 10, 0.05)
+    return out.select("date", *[rounded(c).alias(c) for c in ("benchmark", "equal", "momentum")])
 
 
 @query()
@@ -148,25 +222,28 @@ def portfolio_sector_capped(spark, sf_dir):
 
 @query()
 def portfolio_walk_forward(spark, sf_dir):
-    """Each year is a fold that starts without holdings."""
+    """Each year is a fold that starts without holdings; trades are bounded by volume and cost something."""
     b = bars(spark, sf_dir)
-    gain = F.lead("adj_close").over(Window.partitionBy("permno").orderBy("date")) / F.col("adj_close") - 1
-    daily = scored(spark, sf_dir).select("date", "permno", "score").join(b.withColumn("gain", gain).select("date", "permno", "gain"), ["date", "permno"])
-    folds = [(y - 1993, f"{y}-01-01", f"{y}-12-31") for y in range(1994, 1999)]
-    out = portfolio.walk_forward(daily, folds)
-    return out.select("fold", "date", rounded("net").alias("net"), rounded("turnover").alias("turnover"), rounded("equity").alias("equity"))
+    series = Window.partitionBy("permno").orderBy("date")
+    px = b.select("date", "permno", F.lead("open", 1).over(series).alias("entry"), F.lead("open", 2).over(series).alias("exit"), F.lead("close", 1).over(series).alias("mark"))
+    daily = scored(spark, sf_dir).select("date", "permno", "score", F.col("adv20").alias("adv"), F.col("vol_21").alias("vol")).join(px, ["date", "permno"])
+    first, last = daily.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+    folds = [(y - first, f"{y}-01-01", f"{y}-12-31") for y in range(first, last + 1)] if first else [(0, "1900-01-01", "1900-12-31")]
+    out = portfolio.walk_forward(daily, folds, equity=100_000.0)
+    return out.select("fold", "date", *[rounded(c).alias(c) for c in ("gross", "cost", "net", "turnover", "equity")])
 
 
-@query(f"WITH {BARS} SELECT date, permno FROM bars WHERE high < low OR high < greatest(open, close) OR low > least(open, close) OR least(open, high, low, close) <= 0 OR volume < 0")
+@query(f"WITH {BARS} SELECT date, permno FROM bars WHERE high < low OR high < greatest(open, close) OR low > least(open, close) OR close <= 0 OR volume < 0")
 def quality_invalid_bars(spark, sf_dir):
     return quality.invalid_bars(bars(spark, sf_dir)).select("date", "permno")
 
 
-@query(f"""WITH {BARS}, v AS (SELECT permno, date, adj_close / lag(adj_close) OVER (PARTITION BY permno ORDER BY date) - 1 AS ret FROM bars)
-     SELECT permno, date, {r('ret')} AS ret FROM v WHERE abs(ret) > 0.25 AND permno % 3 <> 0""")
+@query(f"""WITH {BARS}, v AS (SELECT permno, date, adj_close / lag(adj_close) OVER (PARTITION BY permno ORDER BY date) - 1 AS ret FROM bars),
+     j AS (SELECT permno, date, adj_close / close AS x, lag(adj_close / close) OVER (PARTITION BY permno ORDER BY date) AS p FROM bars)
+     SELECT permno, date, {r('ret')} AS ret FROM v WHERE abs(ret) > 0.25 AND (permno, date) NOT IN (SELECT (permno, date) FROM j WHERE abs(x / p - 1) > 0.01)""")
 def quality_return_outliers(spark, sf_dir):
     b = bars(spark, sf_dir)
-    known = b.where("permno % 3 = 0").select("permno", "date")
+    known = quality.ratio_jumps(b, 0.01).select("permno", "date")  # a split explains a jump
     return quality.return_outliers(b, 0.25, explained=known).select("permno", "date", rounded("ret").alias("ret"))
 
 
@@ -195,11 +272,13 @@ def quality_summary(spark, sf_dir):
     return quality.summary(bars(spark, sf_dir)).withColumn("mean_keys", rounded("mean_keys"))
 
 
-@query("""SELECT CAST(d AS DATE) AS date FROM range(DATE '1995-01-01', DATE '1995-07-01', INTERVAL 1 DAY) t(d)
-     WHERE dayofweek(d) NOT IN (0, 6) AND CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 7 = 0)""")
+@query("""WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_totalprice > 300000), b AS (SELECT min(date) AS lo, max(date) AS hi FROM s)
+     SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(range(CAST(lo AS TIMESTAMP), CAST(hi + 1 AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM b) WHERE dayofweek(d) NOT IN (0, 6) AND CAST(d AS DATE) NOT IN (SELECT date FROM s)""")
 def quality_missing_days(spark, sf_dir):
-    days = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderdate").cast("date").alias("date"))
-    return quality.missing_days(days, "1995-01-01", "1995-06-30")
+    """Weekdays between the first and the last large order without one."""
+    days = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderdate").cast("date").alias("date"))
+    low, high = days.agg(F.min("date"), F.max("date")).first()
+    return quality.missing_days(days, str(low or "1970-01-02"), str(high or "1970-01-01"))
 
 
 @query(f"""WITH {BARS}, j AS (SELECT permno, date, adj_close / close AS x, lag(adj_close / close) OVER (PARTITION BY permno ORDER BY date) AS p FROM bars)
@@ -210,11 +289,59 @@ def quality_report(spark, sf_dir):
     return quality.report({"jumps": quality.ratio_jumps(b, 0.01), "duplicates": quality.duplicate_keys(b, ["permno", "date"])}, ("jumps",))
 
 
-@query("""WITH o AS (SELECT o_totalprice AS notional, o_totalprice * (1 + o_custkey % 9) AS adv FROM orders WHERE o_orderdate < DATE '1995-03-01'),
-     a AS (SELECT max(notional) / 1e6 AS a, sum(notional) / 1e6 AS b, CAST(count(*) AS DOUBLE) AS c, max(notional / adv) AS d FROM o)
-     SELECT 'PT-01' AS "check", floor(a * 1e6 + 0.4997) / 1e6 AS value, a <= 0.2 AS ok FROM a UNION ALL SELECT 'PT-02', floor(b * 1e6 + 0.4997) / 1e6, b <= 1 FROM a
-     UNION ALL SELECT 'PT-05', c, c <= 50 FROM a UNION ALL SELECT 'PT-06', floor(d * 1e6 + 0.4997) / 1e6, d <= 1.5 FROM a""")
-def quality_order_checks(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderdate < DATE '1995-03-01'").select(F.col("o_totalprice").cast("double").alias("notional"), (F.col("o_totalprice") * (1 + F.col("o_custkey") % 9)).cast("double").alias("adv"))
-    out = quality.order_checks(o, 1e6, {"name": 0.2, "gross": 1.0, "orders": 50.0, "share": 1.5})
-    return out.select("check", rounded("value").alias("value"), "ok")
+LIMITS = quality.RiskLimits(gross=0.3, order_value=9_000.0, position=0.1)
+
+
+@query(f"""WITH {_ORDERS}, ag AS (SELECT date, sum(abs(d)) AS total, max(abs(d)) AS single, sum(CASE WHEN side = 'buy' THEN abs(d) ELSE 0 END) AS buys FROM orders_ GROUP BY date),
+     uni AS (SELECT s_suppkey AS key FROM supplier WHERE s_acctbal > 0),
+     sg AS (SELECT date, count(*) AS n, max(weight) AS most, sum(weight) AS sm, count(*) FILTER (WHERE permno NOT IN (SELECT key FROM uni)) AS strangers FROM wts GROUP BY date),
+     ba AS (SELECT coalesce(sg.date, ag.date) AS date, coalesce(n, 0) AS n, coalesce(most, 0) AS most, coalesce(sm, 0) AS sm, coalesce(strangers, 0) AS strangers,
+            coalesce(total, 0) AS total, coalesce(single, 0) AS single, coalesce(buys, 0) AS buys FROM sg FULL OUTER JOIN ag ON ag.date = sg.date)
+     SELECT date, 'PT-01' AS "check", {r('total', 1)} AS value, total <= 30000 AS passed FROM ba UNION ALL SELECT date, 'PT-02', {r('single', 1)}, single <= 9000 FROM ba
+     UNION ALL SELECT date, 'PT-03', {r('strangers', 1)}, strangers = 0 FROM ba UNION ALL SELECT date, 'PT-04', {r('0', 1)}, TRUE FROM ba
+     UNION ALL SELECT date, 'PT-05', {r('n', 1)}, n BETWEEN 1 AND 50 AND most <= 0.1 + 1e-9 AND sm <= 1 + 1e-9 FROM ba UNION ALL SELECT date, 'PT-06', {r('buys', 1)}, buys <= 20000 FROM ba
+     UNION ALL SELECT date, 'PT-07', {r('0', 1)}, TRUE FROM ba UNION ALL SELECT date, 'PT-08', {r('1', 1)}, TRUE FROM ba""")
+def quality_pre_trade(spark, sf_dir):
+    """All checks before orders are sent, for every date's orders."""
+    signals = weights(spark, sf_dir).withColumnRenamed("permno", "key")
+    universe = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("key"))
+    out = quality.pre_trade(signals, orders(spark, sf_dir), 100_000.0, 20_000.0, LIMITS, universe, by=("date",))
+    return out.select("date", "check", rounded("value", 1).alias("value"), "passed")
+
+
+@query(f"""WITH {_PREV}, {_HELD}, ps AS (SELECT date, key, qty * price AS mv FROM held),
+     gp AS (SELECT coalesce(w.date, p.date) AS date, max(abs(coalesce(mv, 0) / 100000 - coalesce(weight, 0))) AS gap FROM wts w FULL OUTER JOIN ps p ON p.date = w.date AND p.key = w.permno GROUP BY coalesce(w.date, p.date)),
+     fl AS (SELECT date, 0 AS lost, max(CASE WHEN open > 0 THEN abs(close / open - 1) * 10000 END) AS slip FROM bars GROUP BY date),
+     ba AS (SELECT coalesce(fl.date, gp.date) AS date, coalesce(lost, 0) AS lost, coalesce(slip, 0) AS slip, coalesce(gap, 0) AS gap FROM fl FULL OUTER JOIN gp ON gp.date = fl.date)
+     SELECT date, 'PT-09' AS "check", {r('lost', 4)} AS value, lost = 0 AS passed FROM ba UNION ALL SELECT date, 'PT-10', {r('slip', 4)}, slip <= 100 FROM ba
+     UNION ALL SELECT date, 'PT-11', {r('gap', 4)}, gap <= 0.01 + 1e-9 FROM ba UNION ALL SELECT date, 'PT-12', {r('1500', 4)}, FALSE FROM ba""")
+def quality_post_trade(spark, sf_dir):
+    """All checks after trading: fills at the close against the open, holdings against the new weights."""
+    target = weights(spark, sf_dir).withColumnRenamed("permno", "key")
+    fills = bars(spark, sf_dir).select("date", F.lit("filled").alias("status"), F.col("close").alias("fill"), F.col("open").alias("expected"))
+    out = quality.post_trade(target, holdings(spark, sf_dir), fills, 100_000.0, 1_500.0, LIMITS, by=("date",))
+    return out.select("date", "check", rounded("value", 4).alias("value"), "passed")
+
+
+@query(f"""WITH {BARS}, b AS (SELECT permno, max(date) AS latest FROM bars GROUP BY permno), t AS (SELECT max(date) AS target FROM bars),
+     g AS (SELECT permno, latest, (SELECT count(*) FROM range(CAST(latest + 1 AS TIMESTAMP), CAST(target + 1 AS TIMESTAMP), INTERVAL 1 DAY) x(d) WHERE dayofweek(d) NOT IN (0, 6)) AS gap FROM b CROSS JOIN t)
+     SELECT permno, latest, gap, CASE WHEN gap <= 1 THEN 'info' WHEN gap <= 25 THEN 'warning' ELSE 'critical' END AS severity, gap <= 1 AS passed FROM g""")
+def quality_gaps(spark, sf_dir):
+    """Business days that each key lacks up to the newest date."""
+    b = bars(spark, sf_dir)
+    target = b.agg(F.max("date")).first()[0]
+    return quality.gap_backfill(b, F.lit(target).cast("date"), 25, by=("permno",))
+
+
+@query(f"""WITH {BARS}, m AS (SELECT date, count(DISTINCT permno) AS expected FROM bars WHERE volume > 50 GROUP BY date), a AS (SELECT date, count(DISTINCT permno) AS actual FROM bars GROUP BY date)
+     SELECT coalesce(a.date, m.date) AS date, coalesce(actual, 0) AS actual, expected, CASE WHEN coalesce(actual, 0) < 50 THEN 'critical' WHEN coalesce(actual, 0) < 100 THEN 'warning' ELSE 'info' END AS severity,
+            coalesce(actual, 0) >= 50 AS passed FROM a FULL OUTER JOIN m ON m.date = a.date""")
+def quality_completeness(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    members = b.select("date", "permno", (F.col("volume") > 50).alias("active"))
+    return quality.completeness(b, members, 50, 100)
+
+
+@query(f"WITH {BARS} SELECT permno, max(date) AS latest, max(date) >= DATE '1998-11-01' AS fresh FROM bars GROUP BY permno")
+def quality_freshness(spark, sf_dir):
+    return quality.freshness(bars(spark, sf_dir), "1998-11-01", by=("permno",))

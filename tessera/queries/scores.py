@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,72 +264,149 @@ def test_paired_t(spark, sf_dir):
     return inference.paired_t(a.join(b, "date"), "x", "y").select("n", rounded("mean").alias("mean"), rounded("t").alias("t"))
 
 
-DRAWS, BLOCK, LENGTH = 200, 6, 60
+DRAWS, BLOCK, ALPHA = 2000, 6, 0.1
+#: The signals that stand for random controls.
+CONTROLS = ("range", "drawup")
 
 
-def _starts(spark: SparkSession) -> DataFrame:
-    """A fixed table of block starts, by a rule that SQL can repeat."""
-    blocks = -(-LENGTH // BLOCK)
-    rows = spark.range(DRAWS * blocks)
+def _starts(days: DataFrame, salt: int = 0) -> tuple[DataFrame, int]:
+    """Block starts for each of the days' number, by a rule that SQL can repeat, and that number."""
+    n = days.count()  # one number
+    blocks = max(1, -(-n // BLOCK))
+    rows = days.sparkSession.range(DRAWS * blocks)
     return rows.select((F.col("id") / blocks).cast("int").alias("draw"), (F.col("id") % blocks).cast("int").alias("block_no"),
-                       ((F.col("id") * 7919 + (F.col("id") * F.col("id")) % 997) % LENGTH).cast("int").alias("start"))
+                       ((F.col("id") * 7919 + (F.col("id") * F.col("id")) % 997 + salt) % max(n, 1)).cast("int").alias("start")), n
 
 
-def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first LENGTH dates on which every signal has a correlation, numbered."""
-    values = ic(spark, sf_dir)
-    full = values.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") == len(SIGNALS)).select("date")
-    from pyspark.sql import Window
+def _positions(values: DataFrame, where: str = "true") -> tuple[DataFrame, DataFrame]:
+    """All values on the dates on which every signal has one, by position, and those dates."""
+    days = inference.complete_dates(values.where(where), len(SIGNALS))
+    return values.join(days, "date").select("signal", "date", "pos", F.col("ic").alias("value")), days
+
+
+def _boot(tag: str = "", where: str = "TRUE", salt: int = 0) -> str:
+    """SQL of the complete dates, their values, and every draw's positions."""
+    return f"""full_days{tag} AS (SELECT date FROM ic WHERE {where} GROUP BY date HAVING count(*) = {len(SIGNALS)}),
+     pos{tag} AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM full_days{tag}),
+     size{tag} AS (SELECT count(*) AS n, CAST(ceil(count(*) / {float(BLOCK)}) AS BIGINT) AS blocks FROM full_days{tag}),
+     vals{tag} AS (SELECT signal, ic.date, pos, ic AS value FROM ic JOIN pos{tag} p ON p.date = ic.date),
+     ids{tag} AS (SELECT unnest(range({DRAWS} * blocks)) AS id, n, blocks FROM size{tag}),
+     starts{tag} AS (SELECT id // blocks AS draw, id % blocks AS block_no, (id * 7919 + (id * id) % 997 + {salt}) % n AS start, n FROM ids{tag}),
+     slots{tag} AS (SELECT draw, block_no * {BLOCK} + k AS i, (start + k) % n AS pos FROM starts{tag} CROSS JOIN range({BLOCK}) b(k) WHERE block_no * {BLOCK} + k < n)"""
+
+
+_MEANS = f"""{_IC}, {_boot()}, means AS (SELECT signal, draw, avg(value) AS mean FROM vals JOIN slots ON slots.pos = vals.pos GROUP BY signal, draw)"""
+_TBOOT = f"""{_IC}, {_NW}, {_boot()}, cen AS (SELECT signal, pos, value - avg(value) OVER (PARTITION BY signal) AS v FROM vals),
+     drawn AS (SELECT signal, draw, i, v FROM cen JOIN slots ON slots.pos = cen.pos),
+     dc AS (SELECT signal, draw, i, v, v - avg(v) OVER (PARTITION BY signal, draw) AS c FROM drawn),
+     dp AS (SELECT signal, draw, v, c, {', '.join(f'c * lag(c, {k}) OVER (PARTITION BY signal, draw ORDER BY i) AS p{k}' for k in range(1, LAG + 1))} FROM dc),
+     dv AS (SELECT signal, draw, avg(v) AS mean, count(*) AS n, sum(c * c) / count(*) {' '.join(f'+ {2 * (1 - k / (LAG + 1))!r} * coalesce(sum(p{k}), 0) / count(*)' for k in range(1, LAG + 1))} AS v FROM dp GROUP BY signal, draw),
+     bt AS (SELECT signal, draw, CASE WHEN n > {LAG + 1} AND v > 0 THEN mean / sqrt(v / n) END AS t FROM dv)"""
+
+
+def _crit(of: str) -> str:
+    return f"(SELECT quantile_cont(m, {1 - ALPHA}) FROM (SELECT draw, max(abs(t)) AS m FROM bt WHERE signal IN (SELECT signal FROM {of}) GROUP BY draw))"
 
-    days = full.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1).where(F.col("pos") < LENGTH)
-    return values.join(days, "date").select("signal", "pos", F.col("ic").alias("value"))
 
+_STEPS = ", ".join(f"rw{k} AS (SELECT signal, t, c FROM (SELECT signal, t, {_crit(f'rw{k - 1}')} AS c FROM rw{k - 1}) WHERE t <= c)" for k in range(1, len(SIGNALS) + 1))
+_RW = f"{_TBOOT}, rw0 AS (SELECT signal, abs(t) AS t FROM nw), {_STEPS}, rw AS (SELECT signal, signal NOT IN (SELECT signal FROM rw{len(SIGNALS)}) AS rejected FROM nw)"
+_TAIL = "-1.26551223 + x * (1.00002368 + x * (0.37409196 + x * (0.09678418 + x * (-0.18628806 + x * (0.27886807 + x * (-1.13520398 + x * (1.48851587 + x * (-0.82215223 + x * 0.17087277))))))))"
+_PV = f"pv AS (SELECT signal, t, x * exp(-z * z + {_TAIL}) AS p FROM (SELECT signal, t, z, 1 / (1 + z / 2) AS x FROM (SELECT signal, t, abs(t) / sqrt(2.0) AS z FROM nw)))"
 
-_BOOT = f"""{_IC}, full_days AS (SELECT date FROM ic GROUP BY date HAVING count(*) = {len(SIGNALS)}),
-     pos AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM full_days),
-     vals AS (SELECT signal, pos, ic AS value FROM ic JOIN pos ON pos.date = ic.date WHERE pos < {LENGTH}),
-     starts AS (SELECT id // {-(-LENGTH // BLOCK)} AS draw, id % {-(-LENGTH // BLOCK)} AS block_no, (id * 7919 + (id * id) % 997) % {LENGTH} AS start FROM range({DRAWS * -(-LENGTH // BLOCK)}) t(id)),
-     slots AS (SELECT draw, (start + k) % {LENGTH} AS pos FROM starts CROSS JOIN range({BLOCK}) b(k) WHERE block_no * {BLOCK} + k < {LENGTH}),
-     means AS (SELECT signal, draw, avg(value) AS mean FROM vals JOIN slots ON slots.pos = vals.pos GROUP BY signal, draw),
-     se AS (SELECT signal, stddev_samp(mean) AS se, count(*) AS draws FROM means GROUP BY signal),
-     cen AS (SELECT signal, avg(value) AS centre FROM vals GROUP BY signal)"""
+
+def _null(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The signals' HAC t, and that of every draw under the null."""
+    values = ic(spark, sf_dir)
+    series, days = _positions(values)
+    starts, n = _starts(days)
+    return inference.newey_west(values, "ic", LAG), inference.bootstrap_t(series, starts, BLOCK, n, LAG)
 
 
-@query(f"WITH {_BOOT} SELECT signal, {r('se')} AS se, draws FROM se")
+@query(f"WITH {_MEANS} SELECT signal, {r('stddev_samp(mean)')} AS se, count(*) AS draws FROM means GROUP BY signal")
 def test_block_bootstrap(spark, sf_dir):
-    means = inference.bootstrap_means(_positions(spark, sf_dir), _starts(spark), BLOCK, LENGTH)
+    series, days = _positions(ic(spark, sf_dir))
+    starts, n = _starts(days)
+    means = inference.bootstrap_means(series, starts, BLOCK, n)
     return inference.bootstrap_errors(means).select("signal", rounded("se").alias("se"), "draws")
 
 
-@query(f"""WITH {_BOOT}, big AS (SELECT draw, max(abs((mean - centre) / se)) AS t FROM means JOIN cen ON cen.signal = means.signal JOIN se ON se.signal = means.signal WHERE se > 0 GROUP BY draw)
-     SELECT {r('quantile_cont(t, 0.95)')} AS critical, count(*) AS draws FROM big""")
+@query(f"WITH {_TBOOT} SELECT {r('quantile_cont(t, 0.95)')} AS critical, count(*) AS draws FROM (SELECT draw, max(abs(t)) AS t FROM bt GROUP BY draw)")
 def test_max_t(spark, sf_dir):
-    values = _positions(spark, sf_dir)
-    means = inference.bootstrap_means(values, _starts(spark), BLOCK, LENGTH)
-    centre = values.groupBy("signal").agg(F.avg("value").alias("centre"))
-    out = inference.max_t_quantile(means, centre, inference.bootstrap_errors(means), 0.05)
+    out = inference.max_t_quantile(_null(spark, sf_dir)[1], 0.05)
     return out.select(rounded("critical").alias("critical"), "draws")
 
 
-@query()
+@query(f"WITH {_IC}, {_NW}, {_PV} SELECT signal, {r('p', 5)} AS p FROM pv")
 def test_normal_p(spark, sf_dir):
     out = inference.newey_west(ic(spark, sf_dir), "ic", LAG)
-    return out.select("signal", rounded(inference.two_sided_p("t_nw")).alias("p"))
+    return out.select("signal", rounded(inference.two_sided_p("t_nw"), 5).alias("p"))
 
 
-@query()
+@query(f"WITH {_RW} SELECT signal, rejected FROM rw")
 def test_romano_wolf(spark, sf_dir):
-    """Step-down rejections; the draws' means (draws x signals numbers) are all the driver sees."""
-    values = _positions(spark, sf_dir)
-    means = inference.bootstrap_means(values, _starts(spark), BLOCK, LENGTH).groupBy("draw").pivot("signal", sorted(SIGNALS)).agg(F.first("mean")).toPandas()
-    stats = {s.signal: (s.m, s.se) for s in values.groupBy("signal").agg(F.avg("value").alias("m"), F.lit(0.0).alias("se")).collect()}
-    names = sorted(SIGNALS)
-    null = means[names].to_numpy()
-    se = null.std(axis=0, ddof=1)
-    t = {n: stats[n][0] / se[i] for i, n in enumerate(names)}
-    centred = np.abs((null - [stats[n][0] for n in names]) / se)
-    rejected = inference.romano_wolf(t, centred, names, 0.1)
-    return spark.createDataFrame([(n, n in rejected) for n in names], "signal string, rejected boolean")
+    """Step-down rejections over all complete dates."""
+    return inference.romano_wolf(*_null(spark, sf_dir), ALPHA).select("signal", "rejected")
+
+
+@query(f"""WITH {_RW}, {_PV}, bh AS (SELECT signal, p, row_number() OVER (ORDER BY p, signal) AS i, count(*) OVER () AS m FROM pv),
+     controls AS (SELECT unnest({list(CONTROLS)!r}) AS signal)
+     SELECT nw.signal, {r('nw.t')} AS t_nw, abs(nw.t) > 3 AS passes_flat,
+            i <= coalesce((SELECT max(i) FROM bh WHERE p <= {ALPHA} * i / m), 0) AS passes_bh, rejected AS passes_romano_wolf,
+            abs(nw.t) > {_crit('controls')} AS passes_random, {r(_crit('controls'))} AS random_critical
+     FROM nw JOIN bh ON bh.signal = nw.signal JOIN rw ON rw.signal = nw.signal""")
+def test_pool_verdict(spark, sf_dir):
+    """Every hurdle on one set of draws."""
+    tests, null = _null(spark, sf_dir)
+    controls = spark.createDataFrame([(c,) for c in CONTROLS], "signal string")
+    out = inference.pool_verdict(tests, null, controls, ALPHA)
+    return out.select(
+        "signal", rounded("t_nw").alias("t_nw"), "passes_flat", "passes_bh", "passes_romano_wolf", "passes_random", rounded("random_critical").alias("random_critical")
+    )
+
+
+def _interval_sql(draws: str, seen: str) -> str:
+    return f"""SELECT {r(f'(SELECT o FROM {seen})')} AS observed, {r('quantile_cont(mean, 0.025)')} AS lo, {r('quantile_cont(mean, 0.975)')} AS hi,
+     {r(f'avg(CASE WHEN c >= abs((SELECT o FROM {seen})) THEN 1.0 ELSE 0.0 END)', 3)} AS p FROM (SELECT mean, abs(mean - avg(mean) OVER ()) AS c FROM {draws})"""
+
+
+def _told(out: DataFrame) -> DataFrame:
+    return out.select(*[rounded(c).alias(c) for c in ("observed", "lo", "hi")], rounded("p", 3).alias("p"))
+
+
+@query(f"""WITH {_IC}, {_boot()}, df AS (SELECT a.pos, a.value - b.value AS d FROM vals a JOIN vals b ON a.pos = b.pos AND a.signal = 'momentum' AND b.signal = 'range'),
+     dm AS (SELECT draw, avg(d) AS mean FROM df JOIN slots ON slots.pos = df.pos GROUP BY draw), so AS (SELECT avg(d) AS o FROM df) {_interval_sql('dm', 'so')}""")
+def test_paired_bootstrap(spark, sf_dir):
+    """Difference of two signals on the same dates, with its interval."""
+    series, days = _positions(ic(spark, sf_dir))
+    starts, n = _starts(days)
+    a = series.where("signal = 'momentum'").select("pos", F.col("value").alias("x"))
+    b = series.where("signal = 'range'").select("pos", F.col("value").alias("y"))
+    return _told(inference.paired_bootstrap(a.join(b, "pos"), "x", "y", starts, BLOCK, n))
+
+
+_EARLY, _LATE = "date <= DATE '1996-06-30'", "date > DATE '1996-06-30'"
+
+
+@query(f"""WITH {_IC}, {_boot('_a', _EARLY)}, {_boot('_b', _LATE, 31)},
+     {', '.join(f"dm_{t} AS (SELECT pos, avg(value) AS v FROM vals_{t} GROUP BY pos), mm_{t} AS (SELECT draw, avg(v) AS mean FROM dm_{t} d JOIN slots_{t} s ON s.pos = d.pos GROUP BY draw)" for t in 'ab')},
+     sh AS (SELECT b.mean - a.mean AS mean FROM mm_a a JOIN mm_b b ON a.draw = b.draw), so AS (SELECT (SELECT avg(v) FROM dm_b) - (SELECT avg(v) FROM dm_a) AS o) {_interval_sql('sh', 'so')}""")
+def test_window_shift(spark, sf_dir):
+    """Change of the pool's mean correlation between two windows of dates."""
+    values = ic(spark, sf_dir)
+    (a, days_a), (b, days_b) = _positions(values, _EARLY), _positions(values, _LATE)
+    (starts_a, n), (starts_b, m) = _starts(days_a), _starts(days_b, 31)
+    return _told(inference.window_shift(a, b, (starts_a, starts_b), BLOCK, (n, m)))
+
+
+@query(f"WITH {_IC}, c AS (SELECT signal, count(*) AS n_days FROM ic GROUP BY signal) SELECT signal, n_days FROM c WHERE n_days >= 0.95 * (SELECT max(n_days) FROM c)")
+def select_long_enough(spark, sf_dir):
+    """Signals with nearly as many dates as the longest."""
+    return inference.long_enough(ic(spark, sf_dir).groupBy("signal").agg(F.count("*").alias("n_days")), 0.95)
+
+
+@query(f"WITH {_IC}, {_boot()} SELECT date, pos FROM pos")
+def select_complete_dates(spark, sf_dir):
+    return inference.complete_dates(ic(spark, sf_dir), len(SIGNALS))
 
 
 @query(f"""WITH {_long()}, c AS (SELECT momentum, range, drawup, fwd_1 FROM wide WHERE momentum IS NOT NULL AND range IS NOT NULL AND drawup IS NOT NULL AND fwd_1 IS NOT NULL)

@@ -130,10 +130,7 @@ def test_newey_west_is_the_sum(spark):
     assert inference.newey_west(df, "ic", 4).first().t_nw == pytest.approx(v.mean() / np.sqrt(var / 60), rel=1e-9)
 
 
-def test_step_down_and_ridge():
-    null = np.abs(np.random.default_rng(1).normal(size=(500, 3)))
-    assert inference.romano_wolf({"a": 9.0, "b": 0.1, "c": -8.0}, null, ["a", "b", "c"], 0.05) == ["a", "c"]
-    assert inference.expected_max_t(1) == pytest.approx(0.7979, abs=1e-3)
+def test_ridge_solves_the_normal_equations():
     x = np.random.default_rng(3).normal(size=(200, 2))
     y = x @ [2.0, -1.0]
     cols = {"p": x[:, 0], "q": x[:, 1], "y": y}
@@ -141,20 +138,94 @@ def test_step_down_and_ridge():
     np.testing.assert_allclose(inference.ridge(sums, "y", ["p", "q"], 1e-9), [2, -1], atol=1e-6)
 
 
-def test_sector_caps_hold(spark):
+def hac(v, lag):
+    c = v - v.mean()
+    var = (c @ c + 2 * sum((1 - k / (lag + 1)) * (c[k:] @ c[:-k]) for k in range(1, lag + 1))) / len(v)
+    return v.mean() / np.sqrt(var / len(v))
+
+
+def test_bootstraps_equal_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    n, block, draws, lag, names = 41, 6, 60, 3, ["a", "b", "c"]
+    x = rng.normal(size=(n, 3)) + [0.9, 0.02, -0.7]
+    starts = rng.integers(0, n, size=(draws, -(-n // block)))
+    at = [((row[:, None] + np.arange(block)) % n).reshape(-1)[:n] for row in starts]
+    series = spark.createDataFrame([(m, i, float(x[i, j])) for j, m in enumerate(names) for i in range(n)], "signal string, pos int, value double")
+    drawn = spark.createDataFrame([(d, k, int(v)) for d, row in enumerate(starts) for k, v in enumerate(row)], "draw int, block_no int, start int")
+    centred = x - x.mean(axis=0)
+    null = np.array([[hac(centred[i][:, j], lag) for j in range(3)] for i in at])
+    got = {(r.signal, r.draw): r.t for r in inference.bootstrap_t(series, drawn, block, n, lag).collect()}
+    for j, m in enumerate(names):
+        np.testing.assert_allclose([got[m, d] for d in range(draws)], null[:, j], rtol=1e-8)
+    t = [hac(x[:, j], lag) for j in range(3)]
+    tests = spark.createDataFrame(list(zip(names, t, strict=True)), "signal string, t_nw double")
+    table = spark.createDataFrame([(m, d, float(null[d, j])) for j, m in enumerate(names) for d in range(draws)], "signal string, draw int, t double")
+    left, rejected = [0, 1, 2], set()
+    while left:
+        bar = np.quantile(np.abs(null[:, left]).max(axis=1), 0.9)
+        new = [j for j in left if abs(t[j]) > bar]
+        rejected |= {names[j] for j in new}
+        left = [j for j in left if j not in new] if new else []
+    out = inference.romano_wolf(tests, table, 0.1).collect()
+    assert rejected and {r.signal for r in out if r.rejected} == rejected and "b" not in rejected
+    controls = spark.createDataFrame([("b",)], "signal string")
+    verdict = {r.signal: r for r in inference.pool_verdict(tests, table, controls, 0.1).collect()}
+    bar = np.quantile(np.abs(null[:, 1]), 0.9)
+    for j, m in enumerate(names):
+        assert verdict[m].passes_flat == (abs(t[j]) > 3) and verdict[m].passes_random == (abs(t[j]) > bar)
+        assert verdict[m].passes_romano_wolf == (m in rejected)
+    d = x[:, 0] - x[:, 1]
+    means = np.array([d[i].mean() for i in at])
+    pairs = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1])) for i in range(n)], "pos int, x double, y double")
+    r = inference.paired_bootstrap(pairs, "x", "y", drawn, block, n).first()
+    np.testing.assert_allclose([r.observed, r.lo, r.hi], [d.mean(), *np.quantile(means, [0.025, 0.975])], rtol=1e-9)
+    assert r.p == pytest.approx((np.abs(means - means.mean()) >= abs(d.mean())).mean())
+
+
+def test_expected_largest_t_and_permutations(spark):
+    rng = np.random.default_rng(9)
+    out = {r.n: r.expected for r in inference.expected_max_t(spark.createDataFrame([(1,), (10,), (400,), (0,)], "n int")).collect()}
+    assert out[1] == pytest.approx(np.sqrt(2 / np.pi), abs=1e-5) and out[0] is None
+    for n in (10, 400):
+        assert out[n] == pytest.approx(np.abs(rng.normal(size=(20_000, n))).max(axis=1).mean(), abs=0.02)
+    far = [(True, float(v)) for v in range(10)] + [(False, float(v + 50)) for v in range(10)]
+    near = [(bool(i % 2), float(v)) for i, v in enumerate(range(20))]
+    p = [inference.permutation_medians(spark.createDataFrame(x, "group boolean, value double"), 200, 3).first() for x in (far, near)]
+    assert p[0].seen == 50 and p[0].p < 0.02 and p[1].p > 0.3
+
+
+def test_sector_caps_hold_and_full_sectors_make_way(spark):
     rng = np.random.default_rng(5)
     rows = [(DAYS[d], k, float(rng.random()), f"s{k % 3}") for d in range(4) for k in range(20)] + [(DAYS[0], 99, None, "s0")]
-    out = portfolio.capped_weights(spark.createDataFrame(rows, "date date, permno long, score double, sector string"), 8, 0.2, 0.5).toPandas()
-    assert (out.weight <= 0.2 + 1e-9).all() and (out.groupby(["date", "sector"]).weight.sum() <= 0.5 + 1e-9).all()
-    assert (out.groupby("date").weight.sum() <= 1 + 1e-9).all() and 99 not in set(out.key)
-
-
-def test_folds_start_afresh(spark):
-    rows = [(DAYS[d], k, float(k), 0.01) for d in range(10) for k in range(5)]
-    daily = spark.createDataFrame(rows, "date date, permno long, score double, gain double")
-    out = portfolio.walk_forward(daily, [(1, str(DAYS[0]), str(DAYS[4])), (2, str(DAYS[5]), str(DAYS[9]))], k=2, cost=0.1).toPandas()
+    kind = "date date, permno long, score double, sector string"
+    for k, cap, most in ((8, 0.2, 0.5), (5, 0.1, 0.15), (10, 0.3, 1.0)):
+        out = portfolio.capped_weights(spark.createDataFrame(rows, kind), k, cap, most).toPandas()
+        for day in DAYS[:4]:
+            order = sorted((r for r in rows if r[0] == day and r[2] is not None), key=lambda r: (-r[2], r[1]))
+            want, used = {}, {}
+            for _, key, _, s in order:  # each name a share of 1 / k, if its sector has room
+                give = min(1 / k, cap, most - used.get(s, 0.0))
+                if len(want) < k and give > 1e-10:
+                    want[key], used[s] = give, used.get(s, 0.0) + give
+            rest = 1 - sum(want.values())
+            for _, key, _, s in order:  # then up to the cap
+                give = min(rest, cap - want.get(key, 0.0), most - used.get(s, 0.0))
+                if (key in want or len(want) < k) and give > 1e-10:
+                    want[key], used[s], rest = want.get(key, 0.0) + give, used.get(s, 0.0) + give, rest - give
+            got = out[out.date == day].set_index("key").weight.to_dict()
+            assert got == pytest.approx(want)
+
+
+def test_folds_start_afresh_and_trades_are_bounded(spark):
+    rows = [(DAYS[d], k, float(k), 10.0, 10.1, 10.0, 1e9, 0.0) for d in range(10) for k in range(5)]
+    kind = "date date, permno long, score double, entry double, exit double, mark double, adv double, vol double"
+    folds = [(1, str(DAYS[0]), str(DAYS[4])), (2, str(DAYS[5]), str(DAYS[9]))]
+    out = portfolio.walk_forward(spark.createDataFrame(rows, kind), folds, k=2, equity=1000.0, cash=0.0).toPandas()
     first = out.sort_values("date").groupby("fold").first()
-    assert (first.turnover == 0.5).all() and np.allclose(first.equity, 1 + 0.01 - 0.05)
+    assert np.allclose(first.turnover, 0.5) and np.allclose(first.cost, 0.001) and np.allclose(first.equity, 1.009)
+    thin = [(*r[:6], 1000.0, r[7]) for r in rows]
+    slow = portfolio.walk_forward(spark.createDataFrame(thin, kind), folds, k=2, equity=1000.0, cash=0.0).toPandas()
+    assert np.allclose(slow.sort_values("date").groupby("fold").first().turnover, 0.05)  # 50 of each name
 
 
 def test_asof_takes_the_last_known(spark):
