@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import split_words
 
@@ -175,10 +176,14 @@ class WordTokenizer:
     Distinct words are encoded once and kept; ``keep`` bounds the words kept.
     """
 
-    def __init__(self, path: str, keep: int = 700_000) -> None:
+    def __init__(self, path: str, keep: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        probe = "Ab c1-Dé\t\n ZZ.  x"
+        if ids(probe) != [i for word in probe.split() for i in ids(word.lower())]:
+            raise ValueError(f"{path} joins words over white space or tells letter case, so words can't be encoded by themselves")
         self._clear()
 
     def _clear(self) -> None:
@@ -225,7 +230,7 @@ def tokenizer_here(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, chars: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded size of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, begin = np.cumsum(sizes, dtype=np.int64), 0
@@ -290,3 +295,90 @@ def pack_documents(
 
     columns = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
     return columns.mapInArrow(run, SCHEMA)
+
+
+def pack_conversations(
+    turns: DataFrame,
+    tokenizer_path: str,
+    *,
+    loss_roles: tuple[str, ...] = ("assistant",),
+    end_id: int = 2,
+    limits: Limits = Limits(segments=64, loss=2048),
+) -> DataFrame:
+    """Pack instruction data (conv_id, turn, role, text) under all three limits at once.
+
+    Turns follow each other as examples of at most ``limits.tokens`` ids; only
+    those of ``loss_roles`` bear loss.  One row for each piece: the conversation,
+    the turn and place in it where the piece begins, its ids and its loss mask
+    (a byte for each id).  Rows are dealt by ranges of (conv_id, turn), so a
+    conversation of any length is spread over tasks and never held whole.  A null
+    text is the end id alone, a null role bears no loss, null ids come first;
+    repeated turns are packed each; other columns are not read; an empty table
+    gives no rows.
+    """
+    kind = "conv_id long, turn long, start long, length long, ids binary, loss binary, sequence_id long, offset long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        tokenizer, packer = tokenizer_here(tokenizer_path), Packer(limits)
+        number = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
+        held: list[tuple] = []  # (turn, ids, bears loss) of the example that is being gathered
+        gathered, now = 0, None
+
+        def emit(sequences: Iterator[list[Piece]]) -> None:
+            nonlocal number
+            for sequence in sequences:
+                at = 0
+                for p in sequence:
+                    conv, begins = p.key
+                    turn, first = next(x for x in reversed(begins) if x[1] <= p.start)
+                    rows.append((conv, turn, p.start - first, len(p), p.ids.astype("<u4").tobytes(), p.loss.astype(np.uint8).tobytes(), number, at))
+                    at += len(p)
+                number += 1
+
+        def close() -> None:
+            nonlocal gathered
+            if held:
+                ids = np.concatenate([x[1] for x in held])
+                mask = np.concatenate([np.full(len(x[1]), x[2]) for x in held])
+                starts = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
+                # a turn's first ids may stand in the example before; x[3] of them do
+                begins = [(x[0], int(s) - x[3]) for x, s in zip(held, starts, strict=True)]
+                emit(packer.add(Piece((now, begins), ids, 0, len(ids), mask)))
+            held.clear()
+            gathered = 0
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64()] * 2
+            names = ["conv_id", "turn", "start", "length", "ids", "loss", "sequence_id", "offset"]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            rows.clear()
+            return out
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                ids, counts = tokenizer.encode(batch.column("text"))
+                ends = np.cumsum(counts)
+                told = zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role")), ends - counts, ends, strict=True)
+                for conv, turn, role, begin, end in told:
+                    if conv != now or conv is None:
+                        close()
+                        now = conv
+                    full, before = np.append(ids[begin:end], np.uint32(end_id)), 0
+                    while len(full):
+                        part = full[: limits.tokens - gathered]
+                        held.append((turn, part, role in loss_roles, before))
+                        gathered, before, full = gathered + len(part), before + len(part), full[len(part) :]
+                        if gathered == limits.tokens:
+                            close()
+                yield flush()
+        close()
+        emit(packer.finish())
+        yield flush()
+
+    columns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    dealt = columns.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    return dealt.mapInArrow(run, kind)

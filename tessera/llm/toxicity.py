@@ -291,18 +291,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Fit on at most ``sample_rows`` labelled rows, none of them held out.
 
     A row is held out if crc32 of its doc_id as text leaves 0 on division by 5.
-    Without rows of both labels the fixed lexicon alone decides.
+    A quarter of the sample, by a hash of the id, is for calibration alone: the
+    lexicon and the trees learn from the other rows.  A quarter with fewer than
+    30 rows or one label only can't calibrate; then all rows do both.  Of rows
+    that share a doc_id the one with the smallest features counts.  Without rows
+    of both labels the fixed lexicon alone decides.
     """
     chosen = _label_sample(labels, sample_rows).collect()  # bounded by sample_rows
     spark = docs.sparkSession
     positives = sum(r.toxic for r in chosen)
     if not 0 < positives < len(chosen):
         return Model([], [], None)
-    few = spark.createDataFrame(chosen, "doc_id long, toxic int").withColumnRenamed("doc_id", "of")
+    apart = [_calibrates(r.doc_id) for r in chosen]
+    held = [r.toxic for r, c in zip(chosen, apart, strict=True) if c]
+    learned = [r.toxic for r, c in zip(chosen, apart, strict=True) if not c]
+    if len(held) < 30 or len(set(held)) < 2 or len(set(learned)) < 2:
+        apart = [False] * len(chosen)
+    few = spark.createDataFrame([(r.doc_id, r.toxic, c) for r, c in zip(chosen, apart, strict=True)], "of long, toxic int, apart boolean")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(few), F.col("doc_id") == F.col("of")
     )
-    stems, loose = _learn_stems(sample, positives, len(chosen))
+    rest = [r.toxic for r, c in zip(chosen, apart, strict=True) if not c]
+    stems, loose = _learn_stems(sample.where("not apart"), sum(rest), len(rest))
     lexicons = pa.array(stems, pa.string()), pa.array(loose, pa.string())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,22 +320,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             for batch in slices(whole, "text"):
                 x = features(batch.column("text"), *lexicons)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"]
+                    [*(batch.column(c) for c in ("doc_id", "toxic", "apart")), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "apart", "x"]
                 )
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
-    data = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
+    rows = sample.select("doc_id", "toxic", "apart", "text").mapInArrow(measure, "doc_id long, toxic int, apart boolean, x array<double>")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "apart", "x")).alias("r")).select("doc_id", "r.*")
+    data = one.toPandas().sort_values("doc_id", ignore_index=True)  # bounded by sample_rows
     if data.toxic.nunique() < 2:
         return Model(stems, loose, None)
     x, y = np.stack(data.x.to_numpy()), data.toxic.to_numpy(np.float64)
-    part = (data.doc_id.to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(4) == 0
-    if len(np.unique(y[part])) < 2 or len(np.unique(y[~part])) < 2 or part.sum() < 30:
+    part = data.apart.to_numpy(bool)
+    if len(np.unique(y[~part])) < 2 or (part.any() and len(np.unique(y[part])) < 2):  # labels without texts
         part[:] = False
     trees = Trees().fit(x[~part], y[~part])
     calibration = part if part.any() else ~part
     return Model(stems, loose, trees, *isotonic(trees.raw(x[calibration]), y[calibration]))
 
 
+def _calibrates(doc_id: int) -> bool:
+    """Whether a row is of the quarter that calibrates, by a hash of its id."""
+    return (doc_id * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 4 == 0
+
+
 def score(docs: DataFrame, model: Model, at_most: float | None = None) -> DataFrame:
     """``docs`` with a double column ``score``; or only its rows scored below ``at_most``.
 

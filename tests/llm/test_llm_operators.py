@@ -477,6 +477,31 @@ def test_packer_keeps_every_limit_without_cutting():
     assert sorted(p.key for b in out for p in b) == list(range(300))
 
 
+def test_conversations_are_packed_under_three_limits(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    turns = [(c, t, ("user", "assistant", "system")[t % 3], prose(rng.randint(0, 60))) for c in range(30) for t in range(rng.randint(1, 9))]
+    turns += [(99, 0, "assistant", prose(3000)), (99, 1, None, None), (98, 0, "user", ""), (98, 0, "user", "")]
+    limits = packing.Limits(tokens=256, segments=5, loss=100, waiting=30)
+    out = packing.pack_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), tokenizer_path(), limits=limits).collect()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want, got, bins = collections.defaultdict(list), collections.defaultdict(list), collections.defaultdict(list)
+    for c, _, role, text in sorted(turns, key=lambda r: r[:2]):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        want[c] += [(i, int(role == "assistant")) for i in ids]
+    for r in sorted(out, key=lambda r: (r.conv_id, r.turn, r.start)):
+        ids, loss = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.loss, np.uint8)
+        got[r.conv_id] += list(zip(ids.tolist(), loss.tolist(), strict=True))
+        bins[r.sequence_id].append((r.offset, r.length, int(loss.sum())))
+    assert got == want
+    for parts in bins.values():
+        assert len(parts) <= 5 and sum(p[1] for p in parts) <= 256 and sum(p[2] for p in parts) <= 100
+        assert [p[0] for p in sorted(parts)] == list(np.cumsum([0, *(p[1] for p in sorted(parts)[:-1])]))
+    # loss tokens are what fills most of these, so the limits are apart
+    assert packing.pack_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), tokenizer_path()).count() == 0
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(1)
     rows = []
