@@ -67,14 +67,17 @@ def adjust(bars: DataFrame) -> DataFrame:
     )
 
 
-def dense_grid(bars: DataFrame, key: str, date: str = "date") -> DataFrame:
+def dense_grid(bars: DataFrame, key: str, date: str = "date", days: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Every calendar date for every key, left-joined to the bars.
 
+    ``days`` and ``keys`` (distinct) save two more passes over bars that are
+    costly to make; else they are taken from the bars.
+
     The calendar (thousands of rows) is crossed with the distinct keys, so each
     date is a constant number of rows; the grid is what rolling windows count.
     """
-    days = calendar(bars, date).select(date)
-    keys = bars.select(key).distinct()
+    days = calendar(bars, date).select(date) if days is None else days.select(date)
+    keys = bars.select(key).distinct() if keys is None else keys.select(key)
     return keys.join(F.broadcast(days)).join(bars, [key, date], "left") if _small(days) else keys.crossJoin(days).join(bars, [key, date], "left")
 
 
@@ -89,9 +92,10 @@ def returns(grid: DataFrame, key: str = "key", date: str = "date") -> DataFrame:
     return grid.withColumn("return", safe_div(F.col("close"), past) - 1)
 
 
-def field_panel(bars: DataFrame, key: str) -> DataFrame:
+def field_panel(bars: DataFrame, key: str, days: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Adjusted dense grid with columns key, date, all fields and ``return``."""
-    grid = dense_grid(adjust(bars).withColumnRenamed(key, "key"), "key")
+    keys = None if keys is None else keys.withColumnRenamed(key, "key")
+    grid = dense_grid(adjust(bars).withColumnRenamed(key, "key"), "key", days=days, keys=keys)
     return returns(grid)
 
 

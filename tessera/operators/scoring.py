@@ -136,12 +136,30 @@ def signal_correlation(long: DataFrame, minimum: int) -> DataFrame:
 def pooled_correlation(long: DataFrame, minimum: int = 100) -> DataFrame:
     """Rank correlation of signal pairs over all dates at once."""
     wide = long.where("value is not null").select("date", "key", "signal", percent_rank_average(F.col("value"), "date", "signal").alias("r"))
-    other = wide.select("date", "key", F.col("signal").alias("b"), F.col("r").alias("y"))
-    pairs = wide.withColumnsRenamed({"signal": "a", "r": "x"}).join(other, ["date", "key"]).where("a < b")
+    left = wide.select(F.col("date").alias("__d"), F.col("key").alias("__k"), F.col("signal").alias("a"), F.col("r").alias("x"))
+    right = wide.select("date", "key", F.col("signal").alias("b"), F.col("r").alias("y"))
+    pairs = left.join(right, (F.col("__d") == F.col("date")) & (F.col("__k") == F.col("key")) & (F.col("a") < F.col("b")))
     out = pairs.groupBy("a", "b").agg(group_correlation("x", "y").alias("corr"), F.count("*").alias("n"))
     return out.where(F.col("n") >= minimum)
 
 
+def usable(long: DataFrame, least: float = 2.0, by: tuple[str, ...] = ("signal",)) -> DataFrame:
+    """Signals whose dates have ``least`` distinct values or more on average; constant ones have none to rank."""
+    daily = long.groupBy("date", *by).agg(F.countDistinct("value").alias("n"))
+    return daily.groupBy(*by).agg(F.avg("n").alias("mean_distinct")).where(F.col("mean_distinct") >= least)
+
+
+def cheap_screen(tests: DataFrame, least: int = 60, t: str = "t_nw", n: str = "n") -> DataFrame:
+    """``tests`` of a short slice with ``screen``: |t|, or 0 with fewer than ``least`` dates."""
+    return tests.withColumn("screen", F.when(F.col(n) < least, F.lit(0.0)).otherwise(F.coalesce(F.abs(t), F.lit(0.0))))
+
+
+def strided_ranks(long: DataFrame, days: DataFrame, k: int) -> DataFrame:
+    """Ranks of every k-th date of a calendar with positions: enough to compare signals by."""
+    kept = long.where("value is not null").join(F.broadcast(days.where(F.col("pos") % k == 0).select("date")), "date")
+    return kept.select("date", "key", "signal", percent_rank_average(F.col("value"), "date", "signal").alias("rank"))
+
+
 def combined_signal(long: DataFrame, signs: DataFrame) -> DataFrame:
     """Sum of signed, centred ranks; a missing signal adds 0, a key without any has none."""
     day = Window.partitionBy("date", "signal")

@@ -82,7 +82,10 @@ gaps AS (
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.field_panel(bars(spark, sf_dir), "permno")
+    line = read(spark, sf_dir, "lineitem")  # every line has a price, so its months and suppliers are those of the bars
+    days = line.select(F.trunc("l_shipdate", "month").alias("date")).distinct()
+    keys = line.select(F.col("l_suppkey").alias("permno")).distinct()
+    return panel.field_panel(bars(spark, sf_dir), "permno", days, keys)
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,8 +151,8 @@ _ORDERS = f"""{_PREV}, {_HELD},
      oj AS (SELECT coalesce(w.date, h.date) AS date, coalesce(w.permno, h.key) AS key, 95000 * coalesce(weight, 0) AS goal, coalesce(qty * price, 0) AS mv, coalesce(qty, 0) AS q, coalesce(price, 0) AS price
             FROM wts w FULL OUTER JOIN held h ON h.date = w.date AND h.key = w.permno),
      od AS (SELECT *, goal - mv AS d, goal - mv <= 0 AND price > 0 AS in_shares FROM oj WHERE abs(goal - mv) >= 50),
-     orders_ AS (SELECT date, key, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS side, d, CASE WHEN in_shares THEN 'qty' ELSE 'notional' END AS submit_mode,
-                 CASE WHEN NOT in_shares THEN abs(d) END AS notional, CASE WHEN in_shares THEN least(abs(d) / price, abs(q)) END AS qty, price FROM od)"""
+     orders_ AS (SELECT date, key, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS side, round(d, 2) AS d, CASE WHEN in_shares THEN 'qty' ELSE 'notional' END AS submit_mode,
+                 CASE WHEN NOT in_shares THEN round(abs(d), 2) END AS notional, CASE WHEN in_shares THEN round(least(abs(d) / price, abs(q)), 6) END AS qty, price FROM od)"""
 
 
 def holdings(spark, sf_dir):

@@ -416,6 +416,26 @@ def select_normal_equations(spark, sf_dir):
     return out.select(rounded("`momentum*momentum`", 2).alias("mm"), rounded("`momentum*range`", 2).alias("mr"), rounded("`drawup*fwd_1`", 2).alias("df"), rounded("`fwd_1*range`", 2).alias("rf"))
 
 
+@query(f"""WITH {_long()}, d AS (SELECT date, signal, count(DISTINCT value) AS n FROM long GROUP BY date, signal)
+     SELECT signal, {r('avg(n)', 4)} AS mean_distinct FROM d GROUP BY signal HAVING avg(n) >= 2""")
+def select_usable(spark, sf_dir):
+    """Signals that can be ranked on most dates."""
+    return scoring.usable(long_values(spark, sf_dir)).select("signal", rounded("mean_distinct", 4).alias("mean_distinct"))
+
+
+@query(f"WITH {_IC}, {_NW} SELECT signal, {r('CASE WHEN n < 60 THEN 0 ELSE coalesce(abs(t), 0) END')} AS screen FROM nw")
+def score_cheap_screen(spark, sf_dir):
+    out = scoring.cheap_screen(inference.newey_west(ic(spark, sf_dir), "ic", LAG))
+    return out.select("signal", rounded("screen").alias("screen"))
+
+
+@query(f"""WITH {_long()}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM grid WHERE close IS NOT NULL))
+     SELECT date, key, signal, {r(_rank('value', 'date, signal'))} AS rank FROM long WHERE value IS NOT NULL AND date IN (SELECT date FROM dd WHERE pos % 5 = 0)""")
+def score_strided_ranks(spark, sf_dir):
+    out = scoring.strided_ranks(long_values(spark, sf_dir), panel.calendar(grid(spark, sf_dir)), 5)
+    return out.select("date", "key", "signal", rounded("rank").alias("rank"))
+
+
 @query()
 def select_greedy(spark, sf_dir):
     """At most ten strong signals that are little correlated with each other."""

@@ -135,6 +135,10 @@ class Candidate:
         return speed, "low" if self.metrics.get("turnover", 0) < 0.2 else "high", data_family(self.node)
 
 
+#: A mutation further from its parent than this is another formula.
+MUTATION_EDITS = 3
+
+
 def fitness(t: float, stability: float, node: Node, turnover: float, size_weight: float = 0.02, turnover_weight: float = 0.5) -> float:
     """|t| x stability, less penalties for size and turnover."""
     return abs(t) * stability - size_weight * size(node) - turnover_weight * turnover
@@ -237,7 +241,7 @@ class Search:
                 out.append(crossover(a.node, tournament(pool, self.archive, rng).node, rng))
             else:
                 child = mutate(a.node, rng) if move == "mutate" else simplify(a.node, rng)
-                if move == "mutate" and edit_distance(canonical(a.node), canonical(child)) > 3 * 4:
+                if move == "mutate" and edit_distance(a.node, child) > MUTATION_EDITS:
                     self.rejections["mutation too far"] += 1
                     continue
                 out.append(child)

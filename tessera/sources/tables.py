@@ -6,9 +6,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,14 +101,54 @@ def load_ic(spark: SparkSession, path: str, kind: str | None = None, horizon: in
     return out.where(F.col("horizon") == horizon) if horizon is not None else out
 
 
-def claim_once(path: str, inputs: dict[str, bytes]) -> dict[str, str]:
-    """Write the digests of inputs to a new file; an error if it is there already."""
+def claim_once(spark: SparkSession, path: str, inputs: dict[str, bytes]) -> dict[str, str]:
+    """Write the digests of inputs to a new file of any Hadoop store; an error if it is there already."""
     digests = {k: hashlib.sha256(v).hexdigest() for k, v in sorted(inputs.items())}
-    with Path(path).open("x") as f:
-        json.dump(digests, f, indent=1)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    out = files.create(target, False)  # refuses a file that another run has made meanwhile
+    try:
+        out.write(bytearray(json.dumps(digests, indent=1).encode()))
+    finally:
+        out.close()
     return digests
 
 
+def latest_file(spark: SparkSession, pattern: str) -> str | None:
+    """The path, last by name, that a glob pattern matches; none if there is none."""
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
+    return max((f.getPath().toString() for f in found), default=None)
+
+
+def up_to_round(log: DataFrame, last: int, column: str = "round") -> DataFrame:
+    """The rows of a run log up to a round, from which a run is resumed."""
+    return log.where(F.col(column) <= last)
+
+
+def first_replies(log: DataFrame, prompt: str = "prompt_hash", order: str = "seq", error: str = "error") -> DataFrame:
+    """The first reply without an error to each prompt."""
+    good = log.where(F.col(error).isNull())
+    rest = F.struct(*[c for c in log.columns if c != prompt])
+    first = good.groupBy(prompt).agg(F.min_by(rest, F.col(order)).alias("r"))
+    return first.select(prompt, "r.*").select(*log.columns)
+
+
+def active_symbols(members: DataFrame, days: DataFrame, date: str = "date", key: str = "symbol") -> DataFrame:
+    """Keys that are active on one of the dates; all keys if none is."""
+    hit = members.where("active").join(days.select(date).distinct(), date, "left_semi").select(key).distinct()
+    none = hit.limit(1).agg((F.count("*") == 0).alias("__none"))
+    every = members.select(key).distinct().join(F.broadcast(none)).where("__none").select(key)
+    return hit.union(every)
+
+
+def trade_price(*prices: str) -> Column:
+    """The first price that is there and positive."""
+    return F.coalesce(*[F.when(F.col(p) > 0, F.col(p)) for p in prices])
+
+
 def row_digest(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``df`` with the SHA-256 of its columns as JSON with normalised ids, dates and numbers."""
     kinds = dict(df.dtypes)

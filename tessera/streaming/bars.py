@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,26 +71,53 @@ def merge_daily(spark: SparkSession, batch: DataFrame, path: str, keys: list[str
         old = spark.read.parquet(path)
         new = old.join(batch.select("date").distinct(), "date", "left_semi").unionByName(batch, allowMissingColumns=True)
     merged = last_by_key(new, keys, [order]).select(*new.columns)
-    # the result replaces folders that it is read from, so it is made whole first
-    staged = f"{path.rstrip('/')}-staged"
-    merged.write.mode("overwrite").parquet(staged)
-    ready = spark.read.parquet(staged)
+    # the result replaces folders that it is read from, so it is made whole first, under a name of its own
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
+    ready = spark.read.schema(merged.schema).parquet(staged)
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ingest(stream: DataFrame, path: str, keys: list[str], order: str, late: int = 5, date: str = "date") -> DataFrame:
+    """Upsert a stream of daily rows by batch and give the table; rows too late go to a side table, ``{path}/late``.
+
+    A row is late if its date lies more than ``late`` days before the newest date
+    of the batches before.  A batch that is run again after a failure upserts the
+    same rows again, which changes nothing.
+    """
+    spark = stream.sparkSession
+    from tessera.sources.tables import exists
+
+    data, side = f"{path}/data", f"{path}/late"
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = spark.read.parquet(data).agg(F.max(date)).first()[0] if exists(spark, data) else None  # one date
+        in_time = F.lit(True) if newest is None else F.col(date) >= F.date_sub(F.lit(newest), late)
+        batch.where(~F.coalesce(in_time, F.lit(False))).write.mode("overwrite").parquet(f"{side}/batch={number}")
+        merge_daily(spark, batch.where(in_time), data, keys, order)
+
+    sink = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    sink.foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(data)
 
 
 def monitor(stream: DataFrame, max_drawdown: float, max_daily_loss: float) -> DataFrame:
     """Kill-switch events from equity marks (account, ts, equity).
 
     State per account: peak, last day's closing equity and the day; the daily
-    reference only rolls when a new day begins.
+    reference only rolls when a new day begins.  A batch's marks of an account are
+    put in order over all its Arrow frames before the state is moved on.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state):
         account = key[0]
         peak, close, day, last = state.get if state.exists else (float("-inf"), None, None, None)
         rows = []
-        for f in frames:
-            for r in f.sort_values("ts").itertuples():
+        marks = [f[["ts", "equity"]] for f in frames]  # numbers only, of one account and batch
+        for f in [pd.concat(marks)] if marks else []:
+            for r in f.sort_values("ts", kind="stable").itertuples():
                 today = r.ts.date().isoformat()
                 if day is not None and today != day:
                     close = last

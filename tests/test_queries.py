@@ -70,6 +70,22 @@ def test_monitor_equals_a_loop(spark, tmp_path):
     assert [(r.ts, r.reason) for r in out] == expected
 
 
+def test_ingest_keeps_the_last_and_puts_late_rows_aside(spark, tmp_path):
+    import datetime as dt
+
+    from tessera.streaming import bars
+
+    kind = "date date, permno long, close double, seen int"
+    day = lambda n: dt.date(2024, 1, n)
+    batches = [[(day(10), 1, 1.0, 1), (day(11), 1, 2.0, 1)], [(day(11), 1, 3.0, 2), (day(2), 1, 9.0, 2), (day(12), 2, 4.0, 2)]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        table = bars.ingest(spark.readStream.schema(kind).parquet(source), out, ["date", "permno"], "seen")
+    assert {(r.date.day, r.permno, r.close) for r in table.collect()} == {(10, 1, 1.0), (11, 1, 3.0), (12, 2, 4.0)}
+    assert [r.close for r in spark.read.parquet(f"{out}/late").collect()] == [9.0]
+
+
 def test_missing_file_is_an_empty_table(spark, tmp_path):
     from tessera.sources import tables
 
@@ -77,6 +93,24 @@ def test_missing_file_is_an_empty_table(spark, tmp_path):
     assert tables.read_numbered("# 1: a\nRANK($close)\n# 2 DROPPED\n$x\n# 3 c\n$open") == [(1, "a", "RANK($close)"), (3, "c", "$open")]
     (tmp_path / "x.jsonl").write_text('{"a": 1}\nbroken\n{"a": 2}\n')
     assert tables.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").count() == 2
-    tables.claim_once(str(tmp_path / "claim"), {"x": b"1"})
+    tables.claim_once(spark, str(tmp_path / "claim"), {"x": b"1"})
     with pytest.raises(FileExistsError):
-        tables.claim_once(str(tmp_path / "claim"), {"x": b"1"})
+        tables.claim_once(spark, str(tmp_path / "claim"), {"x": b"1"})
+    for day in ("02", "11", "05"):
+        (tmp_path / f"log-{day}.json").write_text("")
+    assert tables.latest_file(spark, str(tmp_path / "log-*.json")).endswith("log-11.json") and tables.latest_file(spark, str(tmp_path / "no-*")) is None
+
+
+def test_run_logs_and_fallbacks(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.sources import tables
+
+    log = spark.createDataFrame([("p", 1, "timeout", None), ("p", 2, None, "a"), ("p", 3, None, "b"), ("q", 4, None, "c")], "prompt_hash string, seq int, error string, reply string")
+    assert {(r.prompt_hash, r.reply) for r in tables.first_replies(log).collect()} == {("p", "a"), ("q", "c")}
+    assert tables.up_to_round(log, 2, "seq").count() == 2
+    members = spark.createDataFrame([("d1", "a", True), ("d1", "b", False), ("d2", "b", True)], "date string, symbol string, active boolean")
+    told = lambda *days: {r.symbol for r in tables.active_symbols(members, spark.createDataFrame([(d,) for d in days], "date string")).collect()}
+    assert told("d1") == {"a"} and told("d1", "d2") == {"a", "b"} and told("d3") == {"a", "b"}
+    px = spark.createDataFrame([(None, 2.0), (0.0, 3.0), (1.0, 3.0)], "trade_open double, adj_close double")
+    assert [r.p for r in px.select(tables.trade_price("trade_open", "adj_close").alias("p")).collect()] == [2.0, 3.0, 1.0]
