@@ -157,7 +157,7 @@ def test_bootstraps_equal_a_plain_version(spark):
     got = {(r.signal, r.draw): r.t for r in inference.bootstrap_t(series, drawn, block, n, lag).collect()}
     for j, m in enumerate(names):
         np.testing.assert_allclose([got[m, d] for d in range(draws)], null[:, j], rtol=1e-8)
-    t = [hac(x[:, j], lag) for j in range(3)]
+    t = [float(hac(x[:, j], lag)) for j in range(3)]
     tests = spark.createDataFrame(list(zip(names, t, strict=True)), "signal string, t_nw double")
     table = spark.createDataFrame([(m, d, float(null[d, j])) for j, m in enumerate(names) for d in range(draws)], "signal string, draw int, t double")
     left, rejected = [0, 1, 2], set()
