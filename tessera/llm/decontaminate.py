@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import give_back
 from tessera.llm.packing import slices
 
 RATE = 0.10
@@ -228,6 +229,7 @@ def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE, min_c
                     matcher = matcher or _matcher(key, shipped.value, rate, min_chars)
                     clean = [not (text and matcher.find(normal(text))) for text in batch.column("text").to_pylist()]
                     yield batch.filter(pa.array(np.array(clean, bool)))
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

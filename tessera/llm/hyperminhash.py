@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables, grown, mix, release, split_words, starts_in, window_hashes, word_hashes
+from tessera.llm.common import Tables, give_back, grown, mix, release, split_words, starts_in, window_hashes, word_hashes
 from tessera.llm.graph import components, contracted
 from tessera.llm.packing import slices
 
@@ -127,6 +127,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(data, pa.binary())],
                     ["doc_id", "n_shingles", "f1", "f2", "registers"],
                 )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, f1 long, f2 long, registers binary"

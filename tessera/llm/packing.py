@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import split_words
+from tessera.llm.common import give_back, split_words
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
@@ -174,6 +174,7 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins across white space.
 
     Distinct words are encoded once and kept; ``keep`` bounds the words kept.
+    When there are more, those stay that came again since they were learned.
     """
 
     def __init__(self, path: str, keep: int = 250_000) -> None:
@@ -182,27 +183,49 @@ class WordTokenizer:
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         probe = "Ab c1-Dé\t\n ZZ.  x"
-        if ids(probe) != [i for word in probe.split() for i in ids(word.lower())]:
+        alone = [ids(word.lower()) for word in probe.split()]
+        if ids(probe) != list(chain.from_iterable(alone)) or self._coded(probe.split())[1].tolist() != list(map(len, alone)):
             raise ValueError(f"{path} joins words over white space or tells letter case, so words can't be encoded by themselves")
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in order and their number for each word, from one text of all words."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        at = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(found.ids))
+        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        lengths = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(words))
+        return np.array(found.ids, np.uint32), lengths
 
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         n = len(self.known)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-        new = np.fromiter(chain.from_iterable(found), np.uint32)
-        self.ids = np.concatenate([self.ids, new])
+        found = [self._coded(words[i : i + 500]) for i in range(0, len(words), 500)]
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.lengths = np.concatenate([self.lengths, *(lengths for _, lengths in found)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def _forget(self) -> None:
+        """Leave at most half of the words to be kept: those met again, the newest first."""
+        stay = np.flatnonzero(self.again)[-(self.keep // 2) :]
+        words = list(self.known)
+        self.known = {words[i]: n for n, i in enumerate(stay.tolist())}
+        self.ids = self._gather(stay)
+        self.lengths, self.again = self.lengths[stay], np.zeros(len(stay), bool)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the known words at the given places, in order."""
+        lengths = self.lengths[at]
+        first = np.concatenate([[0], np.cumsum(self.lengths)])[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(first - ends + lengths, lengths) + np.arange(lengths.sum())]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
         if len(self.known) > self.keep:
-            self._clear()
+            self._forget()
         # The tokenizer lowers case itself, but for its special tokens, whose strings hold "<|".
         plain = not pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py()
         words, counts = split_words(texts, lower=plain)
@@ -210,16 +233,13 @@ class WordTokenizer:
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        get = self.known.get
-        if missing := [w for w in distinct if get(w) is None]:
+        n = len(self.known)
+        if missing := [w for w in distinct if w not in self.known]:
             self._learn(missing)
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[
-            coded.indices.to_numpy(zero_copy_only=False)
-        ]
-        lengths = self.lengths[at]
-        first = np.concatenate([[0], np.cumsum(self.lengths)])[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1])]
+        places = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.again[places[places < n]] = True
+        at = places[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, ends = self._gather(at), np.cumsum(self.lengths[at])
         upto, ends_w = np.concatenate([[0], ends]), np.cumsum(counts)
         return ids, upto[ends_w] - upto[ends_w - counts]
 
@@ -230,7 +250,7 @@ def tokenizer_here(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, chars: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded size of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, begin = np.cumsum(sizes, dtype=np.int64), 0
@@ -292,6 +312,7 @@ def pack_documents(
                 yield flush()
         emit(packer.finish())
         yield flush()
+        give_back()
 
     columns = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
     return columns.mapInArrow(run, SCHEMA)
@@ -378,6 +399,7 @@ def pack_conversations(
         close()
         emit(packer.finish())
         yield flush()
+        give_back()
 
     columns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     dealt = columns.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import split_words
+from tessera.llm.common import give_back, split_words
 from tessera.llm.packing import slices
 
 #: Common English insults, the fixed part of the lexicon.
@@ -361,6 +361,7 @@ def score(docs: DataFrame, model: Model, at_most: float | None = None) -> DataFr
                     yield batch.filter(pa.array(s < at_most))
                 else:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "score"])
+        give_back()
 
     schema = source.schema if at_most is not None else source.withColumn("score", F.lit(0.0)).schema
     return source.mapInArrow(run, schema)
