@@ -131,14 +131,18 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
      r AS (SELECT doc_id, i, fits AND count(*) OVER (PARTITION BY doc_id, win, fits) > 1 AS again FROM v),
      c AS (SELECT doc_id, count(*) FILTER (WHERE hit) AS n_repeat_words FROM (
              SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM r) GROUP BY doc_id),
-     l AS (SELECT doc_id, unnest(ls) AS line FROM w),
-     j AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS m,
+     l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM w),
+     j AS (SELECT doc_id, line, pos, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS m,
                   length(line) - length(translate(line, '#*$%&|<>', '')) AS sym, length(line) - length(translate(line, '|»•›', '')) AS sep,
-                  length(line) - length(translate(line, '.,;:!?', '')) AS punct FROM l),
-     g AS (SELECT doc_id, CAST(count(*) FILTER (WHERE m > 0) - count(DISTINCT line) FILTER (WHERE m > 0) AS BIGINT) AS n_dup_lines,
-                  CAST(sum(m) FILTER (WHERE NOT (m > 0 AND (sym * 100 > 10 * length(line) OR (sep >= 3 AND sep * 5 >= m)
-                    OR regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|subscribe to our newsletter|click here|sign in to continue')
-                    OR (m > 200 AND punct = 0)))) AS BIGINT) AS words_left FROM j GROUP BY doc_id),
+                  length(line) - length(translate(line, '.,;:!?…。，、；：！？،؛؟۔।', '')) AS punct FROM l),
+     u AS (SELECT *, m > 0 AND (sym * 100 > 10 * length(line) OR (sep >= 3 AND sep * 5 >= m) OR (m > 15 AND punct = 0)
+                    OR regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|subscribe to our newsletter|click here|sign in to continue|tous droits réservés|politique de confidentialité|mentions légales|cliquez ici|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|hier klicken|todos los derechos reservados|política de privacidad|política de cookies|haga clic aquí'))
+                  AS fails, m BETWEEN 1 AND 3 AND punct = 0 AS entry FROM j),
+     q AS (SELECT doc_id, pos, count(*) FILTER (WHERE m > 0 AND NOT entry) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM u WHERE NOT fails),
+     e AS (SELECT doc_id, pos, entry AND count(*) FILTER (WHERE entry) OVER (PARTITION BY doc_id, run) >= 5 AS menu FROM q JOIN u USING (doc_id, pos)),
+     g AS (SELECT u.doc_id, CAST(count(*) FILTER (WHERE m > 0) - count(DISTINCT line) FILTER (WHERE m > 0) AS BIGINT) AS n_dup_lines,
+                  CAST(sum(m) FILTER (WHERE NOT fails AND NOT menu) AS BIGINT) AS words_left
+           FROM u LEFT JOIN e ON e.doc_id = u.doc_id AND e.pos = u.pos GROUP BY u.doc_id),
      a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
                   CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
                   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,

@@ -436,6 +436,30 @@ def test_quality_counts(spark, rows, empty):
     assert got[700][0].cleaned == "a b c d e f\na b c d e f" and quality.judge(empty).count() == 0
 
 
+def test_quality_judges_lines_and_menus(spark):
+    sentence = "Here is a sentence, with words enough for the least length of a text."
+    salad = " ".join(f"word{i}" for i in range(16))
+    menu = ["Home", "About us", "", "News", "Contact", "Site map"]
+    texts = {
+        1: ([sentence, *menu, sentence], [sentence, sentence]),  # a blank line doesn't end a run
+        2: ([*menu, sentence, "Home", "News", "Shop", "Jobs"], [sentence, "Home", "News", "Shop", "Jobs"]),  # four are too few
+        3: ([sentence, "Home", "News", sentence, "Shop", "Jobs", "Press"], None),  # runs end at sentences
+        4: (["Yes, sir.", "No, sir.", "Why?", "Now!", "Go.", "Wait;", sentence], None),  # short lines with punctuation
+        5: ([sentence, salad], [sentence]),
+        6: ([sentence, salad.rsplit(" ", 1)[0]], None),  # fifteen words may stand bare
+        7: ([sentence, salad.replace(" ", "، ")], None),
+        8: ([sentence, "Tous Droits Réservés, 2020.", "Siehe DATENSCHUTZERKLÄRUNG."], [sentence]),
+        9: ([sentence, *menu[:3], "privacy policy", *menu[3:]], [sentence]),  # lines that fail go before runs are judged
+        10: (["", "", sentence, ""], None),
+        11: (menu * 3, []),
+    }
+    docs = spark.createDataFrame([(k, "\n".join(lines), "en", 0) for k, (lines, _) in texts.items()], DOCS)
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for key, (lines, left) in texts.items():
+        assert got[key].cleaned == "\n".join(lines if left is None else left), key
+    assert not got[11].kept and got[10].kept and got[4].kept and got[11].words_left == 0
+
+
 def test_packing_holds_every_id_once(spark, docs, rows):
     from tokenizers import Tokenizer
 
