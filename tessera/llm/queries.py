@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import (
+    collisions,
     decontaminate,
     hyperminhash,
     linededup,
     packing,
+    periodic,
     quality,
     secrets,
     substring,
     toxicity,
+    turntrie,
     urlfilter,
     warc,
 )
 from tessera.llm.common import table
+from tessera.llm.structure_sql import OP12_SQL, OP13_SQL
 
 
 def tokenizer_path() -> str:
@@ -104,11 +108,52 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """The query's texts: every tenth document's words, by a hash of the id, repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    docs = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    docs = docs.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    docs = docs.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    again = F.transform(F.sequence(F.lit(0), n - F.col("a") - 1), lambda i: F.get("w", F.col("a") + i % F.col("p")))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(text).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(_planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(longer(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    said = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    c, n = F.col("conv_id").cast("long"), F.col("h")
+    paths = turntrie.turn_paths(turns, spread=c - c % 5)
+    first = F.max(F.when(F.col("conv_id") == F.col("spread"), F.col("path"))).over(Window.partitionBy("spread"))
+    first = F.coalesce(first, F.slice("path", 1, 0))
+    paths = paths.select("conv_id", "path", first.alias("first"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int").alias("h"))
+    own = F.slice("path", n + 1, F.greatest(F.size("path") - n, F.lit(0)))
+    return turntrie.trie(paths.select("conv_id", F.concat(F.slice("first", F.lit(1), n), own).alias("path")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_warc, op3_quality_rules, op4_hyperminhash, op5_toxicity, op6_line_dedup,
-        op7_substring_dedup, op8_decontamination, op9_url_filter, op10_packing,
+        op7_substring_dedup, op8_decontamination, op9_url_filter, op10_packing, op11_collision_neighbours, op12_periodic_runs,
+        op13_prefix_trie,
     )
 }
 
@@ -218,4 +263,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": _OP6_SQL,
     "op7_substring_dedup": _OP7_SQL,
     "op9_url_filter": _OP9_SQL,
+    "op12_periodic_runs": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
