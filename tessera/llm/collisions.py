@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Tables
 
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 65_536
 PROJECTIONS = 64
 CHANCE = 0.9
 REACH = 1.2816  # half width over radius: a vector at the radius is in four of five windows
 GROWTH = 1.1  # of the radius from level to level
 LEVELS = 30
+STRIDE = 3  # levels at once while windows are narrow
 
 
 def _threshold(m: int, p: float = 0.8, chance: float = CHANCE) -> int:
@@ -112,8 +113,10 @@ class Block:
                     best = np.partition(best, -self.k)[-self.k :]
                 if len(best) == self.k:
                     kth = best.min()
-            level += 1
-            if level > LEVELS or far - 2 * kth <= radii[level - 1] ** 2:
+            done, level = level, level + (1 if volume[level] > 0.3 * volume[-1] else STRIDE)
+            if level > LEVELS and done < LEVELS:
+                level = LEVELS
+            if level > LEVELS or (done < LEVELS and far - 2 * kth <= radii[done] ** 2):
                 return self._best(query, *map(np.concatenate, (known, scores))) if known else (self.ids[:0], best)
 
     def _best(self, query: np.ndarray, known: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +216,7 @@ def nearest(
     for slab in range(slabs):
         part = ask.where(number(slabs, 3) == slab).withColumns({"asks": F.lit(1), "cell": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
         part = part.withColumn("cell", F.col("cell") * groups + number(groups, 2))
-        cells = held.unionByName(part).repartition(tasks, "dims", "cell").sortWithinPartitions("dims", "cell", "asks")
+        cells = held.unionByName(part).repartitionByRange(tasks, "dims", "cell").sortWithinPartitions("dims", "cell", "asks")
         near = cells.mapInArrow(_search(k), "query_id long, row long, vec_id long, score double")
         best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
         near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
