@@ -115,18 +115,21 @@ def rebalance(
     """Shares to hold after the trades of one open, within what the market takes.
 
     ``positions`` has shares (held before), entry (price), adv, target (weight;
-    null for a holding that must go) and any keys.  A change below ``least`` is
-    not traded unless the holding must go; a larger one is cut to
-    ``participation`` of the average volume; whole shares are rounded down.
+    null or 0 for a name that wasn't chosen), present (whether the name stands in
+    the day's table; null counts as present) and any keys.  A name that left the
+    table is sold whole.  Of the others, a change below ``least`` isn't traded, and a
+    larger one is cut to ``participation`` of the average volume, chosen or not;
+    whole shares are rounded down.
     New columns: held_value, value, new_shares, notional, weight, old_weight.
     """
     entry, shares = F.col("entry"), F.coalesce("shares", F.lit(0.0))
     out = positions.withColumn("held_value", shares * entry)
+    left = ~F.coalesce("present", F.lit(True))
     wish = F.greatest(F.greatest(equity * (1 - cash), F.lit(0.0)) * F.coalesce("target", F.lit(0.0)), F.lit(0.0))
     change = wish - F.col("held_value")
     bound = F.when((F.col("adv") > 0) & (F.lit(participation) > 0), F.col("adv") * participation)
     cut = F.greatest(F.lit(0.0), F.col("held_value") + F.signum(change) * bound)
-    value = F.when((F.abs(change) < least) & F.col("target").isNotNull(), F.col("held_value")).when(F.abs(change) > bound, cut).otherwise(wish)
+    value = F.when(left, F.lit(0.0)).when(F.abs(change) < least, F.col("held_value")).when(F.abs(change) > bound, cut).otherwise(wish)
     out = out.withColumn("value", value)
     if fractional:
         out = out.withColumn("new_shares", F.when(entry > 0, F.col("value") / entry).otherwise(0.0))
@@ -255,8 +258,8 @@ def walk_forward(
 
     ``daily`` has date, permno, score, entry, exit and mark (the open at which a
     position is taken, the next one and the close before it), adv and vol.  The k
-    best names of a date weigh alike; trades follow ``rebalance``, and holdings
-    that left the table's date are sold at its entry.  Folds share no state, so
+    best names of a date weigh alike; trades follow ``rebalance``: a name without
+    a score has left the day's table and is sold whole.  Folds share no state, so
     each is one group and they run in parallel; only names that are ever among a
     fold's best are sent, so a group holds dates x such names.
     """
@@ -270,7 +273,7 @@ def walk_forward(
     ranked = dated.withColumn("__k", F.row_number().over(order)).withColumn("target", F.when(usable & (F.col("__k") <= k), F.lit(1.0 / k)))
     names = ranked.where("target is not null").select("fold", "permno").distinct()
     sent = ranked.join(names, ["fold", "permno"], "left_semi").where("entry > 0").select(
-        "fold", date, "permno", "target", "entry", F.when(F.col("exit") > 0, F.col("exit")).otherwise(F.col("mark")).alias("exit"), "adv", "vol"
+        "fold", date, "permno", "target", F.col("score").isNull().alias("left"), "entry", F.when(F.col("exit") > 0, F.col("exit")).otherwise(F.col("mark")).alias("exit"), "adv", "vol"
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +289,7 @@ def walk_forward(
             bound = np.where(adv > 0, adv * participation, np.inf) if participation > 0 else np.full(len(part), np.inf)
             bound = np.where(np.isnan(bound), np.inf, bound)
             after = np.where(np.abs(change) > bound, np.maximum(before + np.sign(change) * bound, 0), wish)
-            after = np.where((np.abs(change) < least) & ~np.isnan(wanted), before, after)
+            after = np.where(part["left"], 0.0, np.where(np.abs(change) < least, before, after))
             new = after / entry if fractional else np.floor(np.maximum(after, 0) / entry + 1e-12)
             after = new * entry
             traded = np.abs(after - before)

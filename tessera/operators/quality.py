@@ -72,6 +72,76 @@ def report(checks: dict[str, DataFrame], lenient: tuple[str, ...] = ()) -> DataF
     return out.withColumn("ok", (F.col("violations") == 0) | F.col("check").isin(*lenient))
 
 
+#: Checks whose failure halts a lenient run, whatever their severity.
+HALTING = ("freshness", "completeness")
+
+
+def roll_up(checks: DataFrame, mode: str = "strict", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, passed, halt_reason) from rows (by, check, passed, severity) in the order of ``place``.
+
+    A strict run halts on any failed check; a lenient one on ``HALTING`` ones and on
+    a gap too long to fill (``gap_backfill`` with severity critical).
+    """
+    if mode not in ("strict", "lenient"):
+        raise ValueError("a run is strict or lenient")
+    failed = ~F.coalesce("passed", F.lit(False))
+    halts = failed if mode == "strict" else failed & (F.col("check").isin(*HALTING) | ((F.col("check") == "gap_backfill") & (F.col("severity") == "critical")))
+    named = F.array_sort(F.collect_list(F.when(halts, F.struct("place", "check"))))  # as many as there are checks
+    out = checks.groupBy(*by).agg(F.transform(named, lambda c: c["check"]).alias("__f"))
+    reason = F.when(F.size("__f") > 0, F.concat(F.lit("Failed checks: "), F.array_join("__f", ", ")))
+    return out.select(*by, (F.size("__f") == 0).alias("passed"), reason.alias("halt_reason"))
+
+
+def run_checks(bars: DataFrame, target: str, halt: int, warn: int, limit: float, most_gap: int, key: str = "permno", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, place, check, passed, severity) of the checks that a load runs, for every group ``by`` at once.
+
+    Validity, outliers, duplicates and ratio jumps are counted in one pass over
+    windows by key; freshness, completeness and the gap come from group totals.
+    """
+    day = F.lit(target).cast("date")
+    series = Window.partitionBy(key).orderBy("date")
+    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    invalid = (h < lo) | (h < F.greatest(o, c)) | (lo > F.least(o, c)) | (c <= 0) | (F.col("volume") < 0)
+    past, ratio = F.lag("adj_close").over(series), F.when(c != 0, F.col("adj_close") / c)
+    seen = bars.withColumns({"__r": F.when(past > 0, F.col("adj_close") / past - 1), "__q": ratio, "__n": F.count("*").over(Window.partitionBy(key, "date"))})
+    jump = F.abs(F.col("__q") / F.lag("__q").over(series) - 1) > 0.01
+    on_day = F.col("date") == day
+    flagged = seen.withColumn("__j", jump)
+    a = flagged.groupBy(*by).agg(
+        F.max("date").alias("latest"), F.countDistinct(F.when(on_day, F.col(key))).alias("actual"), F.count_if(on_day & F.coalesce(invalid, F.lit(False))).alias("invalid"),
+        F.count_if(on_day & (F.abs("__r") > limit)).alias("outliers"), F.count_if(on_day & (F.col("__n") > 1)).alias("duplicates"), F.count_if(on_day & F.coalesce("__j", F.lit(False))).alias("jumps"),
+    ).withColumn("gap", business_days(F.col("latest"), day))
+    level = lambda ok, bad: F.when(ok, "info").otherwise(bad)
+    fresh, full = F.coalesce(F.col("latest") >= day, F.lit(False)), F.col("actual") >= halt
+    gap = F.when(F.col("latest").isNull(), "critical").when(F.col("gap") <= 1, "info").when(F.col("gap") <= most_gap, "warning").otherwise("critical")
+    told = [
+        ("freshness", fresh, level(fresh, "critical")),
+        ("completeness", full, F.when(~full, "critical").when(F.col("actual") < warn, "warning").otherwise("info")),
+        *[(name, F.col(column) == 0, level(F.col(column) == 0, "warning")) for name, column in (("ohlc_validity", "invalid"), ("return_outliers", "outliers"), ("duplicates", "duplicates"))],
+        ("adjusted_consistency", F.col("jumps") == 0, level(F.col("jumps") == 0, "warning")),
+        ("gap_backfill", gap == "info", gap),
+    ]
+    cells = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("check"), ok.alias("passed"), s.alias("severity")) for i, (n, ok, s) in enumerate(told)]
+    return a.select(*by, F.explode(F.array(*cells)).alias("r")).select(*by, "r.*")
+
+
+def backfill_plan(bars: DataFrame, target: str, most: int = 5, by: tuple[str, ...] = (), date: str = "date") -> DataFrame:
+    """(by, date, place, status): the business days to load up to a target date, the oldest first.
+
+    Days after the newest bar and before the target are ``backfill``, the target is
+    ``load``.  A group that lacks more than ``most`` days, or has no bars at all, gets
+    its target date as ``halt`` and nothing to load.
+    """
+    day = F.lit(target).cast("date")
+    last = bars.groupBy(*by).agg(F.max(date).alias("__last")).withColumn("__gap", business_days(F.col("__last"), day))
+    span = F.when(F.col("__last") < day, F.sequence(F.date_add("__last", 1), day)).otherwise(F.array().cast("array<date>"))
+    weekdays = F.filter(span, lambda d: ~F.dayofweek(d).isin(1, 7) & (d < day))
+    halt = F.col("__last").isNull() | (F.col("__gap") > most)
+    days = F.when(halt, F.array(day)).when(F.col("__last") >= day, F.array().cast("array<date>")).otherwise(F.concat(weekdays, F.array(day)))
+    out = last.select(*by, halt.alias("__h"), F.posexplode(days).alias("place", date))
+    return out.select(*by, date, "place", F.when(F.col("__h"), "halt").when(F.col(date) < day, "backfill").otherwise("load").alias("status"))
+
+
 def freshness(bars: DataFrame, target: str, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, latest, fresh): whether the newest bar reaches the target date."""
     return bars.groupBy(*by).agg(F.max(date).alias("latest")).withColumn("fresh", F.coalesce(F.col("latest") >= F.lit(target).cast("date"), F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch
+
 from tessera.functions import finite
 
 EPS = 1e-9
@@ -79,10 +81,13 @@ def even_sample(df: DataFrame, order: list[str], most: int = 32) -> DataFrame:
     if not count:
         return df
     wanted = sorted({int(i * (n - 1) / (count - 1)) if count > 1 else 0 for i in range(count)})
-    # rows are numbered without one global window: offsets of range partitions, then places inside them
+    # Rows are numbered without one global window: range partitions in order, then places inside them.
+    # Ranges are drawn by sampling, so the numbered rows are written once and both steps read that table.
+    path = scratch(df.sparkSession, "even-sample")
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
-    parts = parts.withColumn("__row", F.col("__row") - F.shiftleft(F.col("__part").cast("long"), 33))
-    sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    parts.withColumn("__row", F.col("__row") - F.shiftleft(F.col("__part").cast("long"), 33)).write.parquet(path)
+    parts = df.sparkSession.read.parquet(path)
+    sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
     hits, before = [], 0
     for part in sorted(sizes):
         hits += [(part, i - before) for i in wanted if before <= i < before + sizes[part]]

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rounded
-from tessera.operators import panel, portfolio, quality
-from tessera.queries.base import BARS, bars, query, r, read
+from tessera.operators import evidence, gates, inference, panel, portfolio, quality
+from tessera.queries.base import BARS, GRID, bars, grid, query, r, read
+from tessera.sources.tables import digest_of, row_digest
 
 W3 = (1, 3, 12)
 _RK = lambda x: f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END"
@@ -181,21 +182,24 @@ _SIZED = f"""{_PREV}, {_HELD}, adv AS (SELECT date, permno, adv20 FROM feat),
      en AS (SELECT permno, date, lead(open) OVER (PARTITION BY permno ORDER BY date) AS entry FROM bars),
      sj AS (SELECT coalesce(w.date, h.date) AS date, coalesce(w.permno, h.key) AS key, w.weight AS target, coalesce(h.qty, 0) AS shares
             FROM wts w FULL OUTER JOIN held h ON h.date = w.date AND h.key = w.permno),
-     sx AS (SELECT sj.*, entry, adv20 AS adv, shares * entry AS hv, 95000 * coalesce(target, 0) AS wish FROM sj JOIN en ON en.date = sj.date AND en.permno = key
-            LEFT JOIN adv ON adv.date = sj.date AND adv.permno = key WHERE entry > 0),
-     sv AS (SELECT *, CASE WHEN abs(wish - hv) < 100 AND target IS NOT NULL THEN hv WHEN adv > 0 AND abs(wish - hv) > adv * 0.05 THEN greatest(0, hv + sign(wish - hv) * adv * 0.05) ELSE wish END AS v0 FROM sx)"""
+     sx AS (SELECT sj.*, entry, adv20 AS adv, shares * entry AS hv, volume > 50 AS member FROM sj JOIN en ON en.date = sj.date AND en.permno = key
+            JOIN bars ON bars.date = sj.date AND bars.permno = key LEFT JOIN adv ON adv.date = sj.date AND adv.permno = key WHERE entry > 0),
+     sy AS (SELECT *, CASE WHEN member THEN 95000 * coalesce(target, 0) ELSE 0 END AS wish FROM sx),
+     sv AS (SELECT *, CASE WHEN NOT member THEN 0 WHEN abs(wish - hv) < 100 THEN hv
+                           WHEN adv > 0 AND abs(wish - hv) > adv * 0.05 THEN greatest(0, hv + sign(wish - hv) * adv * 0.05) ELSE wish END AS v0 FROM sy)"""
 
 
 @query(f"""WITH {_SIZED}, sw AS (SELECT *, floor(greatest(v0, 0) / entry + 1e-12) AS n FROM sv)
      SELECT date, key, n AS new_shares, {r('abs(n * entry - hv)', 2)} AS notional, {r('n * entry / 100000')} AS weight FROM sw""")
 def portfolio_rebalance(spark, sf_dir):
-    """Whole shares of every date after trades of at most a share of the average volume."""
+    """Whole shares of every date after trades of at most a share of the average volume; a name that trades little has left the index."""
     held = holdings(spark, sf_dir).select("date", "key", F.col("qty").alias("shares"))
     target = weights(spark, sf_dir).select("date", F.col("permno").alias("key"), F.col("weight").alias("target"))
     b = bars(spark, sf_dir)
-    entry = b.select("date", F.col("permno").alias("key"), F.lead("open").over(Window.partitionBy("permno").orderBy("date")).alias("entry")).where("entry > 0")
+    entry = b.select("date", F.col("permno").alias("key"), F.lead("open").over(Window.partitionBy("permno").orderBy("date")).alias("entry"), (F.col("volume") > 50).alias("present")).where("entry > 0")
     adv = scored(spark, sf_dir).select("date", F.col("permno").alias("key"), F.col("adv20").alias("adv"))
     positions = target.join(held, ["date", "key"], "full_outer").join(entry, ["date", "key"]).join(adv, ["date", "key"], "left")
+    positions = positions.withColumn("target", F.when(F.col("present"), F.col("target")))
     out = portfolio.rebalance(positions, F.lit(100_000.0), fractional=False)
     return out.select("date", "key", "new_shares", rounded("notional", 2).alias("notional"), rounded("weight").alias("weight"))
 
@@ -345,3 +349,133 @@ def quality_completeness(spark, sf_dir):
 @query(f"WITH {BARS} SELECT permno, max(date) AS latest, max(date) >= DATE '1998-11-01' AS fresh FROM bars GROUP BY permno")
 def quality_freshness(spark, sf_dir):
     return quality.freshness(bars(spark, sf_dir), "1998-11-01", by=("permno",))
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile of p as ``inference.normal_quantile`` makes it."""
+
+    def horner(x: str, coefficients) -> str:
+        out = repr(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    q, low = f"(({p}) - 0.5)", f"least(({p}), 1 - ({p}))"
+    far, square = f"sqrt(-2 * ln({low}))", f"({q} * {q})"
+    middle = f"{q} * {horner(square, inference._QUANTILE_MIDDLE[0])} / {horner(square, inference._QUANTILE_MIDDLE[1])}"
+    tail = f"{horner(far, inference._QUANTILE_TAIL[0])} / {horner(far, inference._QUANTILE_TAIL[1])}"
+    return f"CASE WHEN {low} >= 0.02425 THEN {middle} WHEN ({p}) < 0.5 THEN {tail} ELSE -({tail}) END"
+
+
+def _cdf_sql(x: str) -> str:
+    z = f"(abs({x}) / sqrt(2.0))"
+    t = f"(1 / (1 + {z} / 2))"
+    series = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    power = repr(series[-1])
+    for c in series[-2::-1]:
+        power = f"({power} * {t} + {c!r})"
+    tail = f"({t} * exp(-{z} * {z} + {power}) / 2)"
+    return f"CASE WHEN ({x}) >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def _skill_sql(source: str, by: str, name: str = "skill") -> str:
+    """Per-period Sharpe ratios of groups, and their probabilities against 0 and against the best of as many without skill."""
+    n = "CAST(groups AS DOUBLE)"
+    best = f"(1 - 0.5772156649015329) * ({_quantile_sql(f'1 - 1 / {n}')}) + 0.5772156649015329 * ({_quantile_sql(f'1 - 1 / ({n} * 2.718281828459045)')})"
+    psr = lambda against: f"CASE WHEN n < 3 THEN 0.5 WHEN den <= 0 THEN 0.0 ELSE {_cdf_sql(f'((sharpe - {against}) * sqrt(n - 1) / sqrt(den))')} END"
+    return f"""{name}_m AS (SELECT {by}, count(net) AS n, coalesce(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) END, 0) AS sharpe, coalesce(CASE WHEN count(net) > 2 THEN skewness(net) END, 0) AS sk,
+                 coalesce(CASE WHEN count(net) > 3 THEN kurtosis(net) END, 0) AS ku FROM {source} WHERE net IS NOT NULL GROUP BY {by}),
+     {name}_g AS (SELECT count(*) AS groups, var_samp(sharpe) AS v FROM {name}_m),
+     {name}_s AS (SELECT m.*, CASE WHEN groups > 1 AND v > 0 THEN sqrt(v) * ({best}) ELSE 0 END AS star, 1 - sk * sharpe + (ku + 2) / 4 * sharpe * sharpe AS den FROM {name}_m m, {name}_g),
+     {name} AS (SELECT {by}, n, sharpe, {psr('0')} AS psr, star, {psr('star')} AS dsr FROM {name}_s)"""
+
+
+@query(f"""WITH {GRID}, rt AS (SELECT key, return AS net FROM grid), {_skill_sql('rt', 'key')} SELECT key, n, {r('sharpe')} AS sharpe, {r('psr', 5)} AS psr, {r('star')} AS star, {r('dsr', 5)} AS dsr FROM skill""")
+def portfolio_deflated_sharpe(spark, sf_dir):
+    """Each key's monthly returns as a strategy: the chance that its Sharpe ratio is more than the luck of the best."""
+    out = inference.deflated_sharpe(grid(spark, sf_dir).select("key", "return"), "return", ("key",))
+    return out.select("key", "n", rounded("sharpe").alias("sharpe"), rounded("psr", 5).alias("psr"), rounded("star").alias("star"), rounded("dsr", 5).alias("dsr"))
+
+
+_SHELF = f"""{GRID}, sr AS (SELECT g.date, s.s_nationkey AS nation, g.key, g.return AS ret, g.volume FROM grid g JOIN supplier s ON s.s_suppkey = g.key),
+     al AS (SELECT date, avg(ret) AS base FROM sr GROUP BY date),
+     st AS (SELECT sr.date, nation, avg(ret) - 0.001 AS net, avg(CASE WHEN ret IS NULL THEN 1.0 ELSE 0.0 END) AS turnover FROM sr GROUP BY sr.date, nation),
+     rs AS (SELECT st.*, base FROM st JOIN al ON al.date = st.date),
+     sh AS (SELECT nation, key, sum(abs(ret)) AS c FROM sr GROUP BY nation, key), sx AS (SELECT nation, max(c / t) AS share FROM (SELECT *, sum(c) OVER (PARTITION BY nation) AS t FROM sh) GROUP BY nation)"""
+
+
+def _annual_sql(x: str) -> str:
+    return f"coalesce(CASE WHEN stddev_samp({x}) > 0 THEN avg({x}) / stddev_samp({x}) * sqrt(12.0) END, 0)"
+
+
+@query(f"""WITH {_SHELF}, {_skill_sql('rs', 'nation')},
+     nt AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY nation) AS n, exp(sum(ln(1 + net)) OVER (PARTITION BY nation ORDER BY date)) AS eq FROM rs WHERE net IS NOT NULL),
+     dd AS (SELECT *, 1 - eq / max(eq) OVER (PARTITION BY nation ORDER BY date) AS fall, greatest(0, ceil(round(i * least(8, n) / CAST(greatest(n - 1, 1) AS DOUBLE), 9)) - 1) AS part FROM nt),
+     up AS (SELECT nation, CAST(count(*) FILTER (WHERE s > 0) AS DOUBLE) AS up FROM (SELECT nation, part, {_annual_sql('net')} AS s FROM dd GROUP BY nation, part) GROUP BY nation),
+     wh AS (SELECT nation, {_annual_sql('net')} AS sharpe, max(fall) AS fall FROM dd GROUP BY nation), rr AS (SELECT nation, avg(turnover) AS turnover, {_annual_sql('base')} AS base FROM rs GROUP BY nation),
+     al2 AS (SELECT wh.*, dsr, up, turnover, rr.base, share FROM wh JOIN skill USING (nation) JOIN up USING (nation) JOIN rr USING (nation) LEFT JOIN sx USING (nation))
+     SELECT nation, 'GATE-1' AS gate, {r('dsr', 5)} AS value, dsr > 0.95 AS passed FROM al2 UNION ALL SELECT nation, 'GATE-2', {r('up', 5)}, up >= 6 FROM al2 UNION ALL SELECT nation, 'GATE-3', {r('share', 5)}, coalesce(share <= 0.4, FALSE) FROM al2
+     UNION ALL SELECT nation, 'GATE-4', {r('fall', 5)}, fall < 0.25 FROM al2 UNION ALL SELECT nation, 'GATE-5', {r('turnover', 5)}, turnover < 0.3 FROM al2 UNION ALL SELECT nation, 'GATE-6', NULL, FALSE FROM al2
+     UNION ALL SELECT nation, 'GATE-7', {r('sharpe - base', 5)}, sharpe - base > 0 FROM al2 UNION ALL SELECT nation, 'GATE-8', {r('sharpe', 5)}, sharpe > 0.4 FROM al2""")
+def portfolio_gates(spark, sf_dir):
+    """The suppliers of each nation as a strategy, held against all gates at once."""
+    nations = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
+    shelf = grid(spark, sf_dir).select("date", "key", F.col("return").alias("ret")).join(nations, "key")
+    base = shelf.groupBy("date").agg(F.avg("ret").alias("base"))
+    returns = shelf.groupBy("date", "nation").agg((F.avg("ret") - 0.001).alias("net"), F.avg(F.col("ret").isNull().cast("double")).alias("turnover")).join(base, "date")
+    shares = shelf.groupBy("nation", F.col("key").alias("sector")).agg(F.sum(F.abs("ret")).alias("c"))
+    shares = shares.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("nation")))
+    out = gates.promotion_gates(returns, "nation", ("base",), shares, periods=12)
+    return out.select("nation", "gate", rounded("value", 5).alias("value"), "passed")
+
+
+_CHECKED = f"""{BARS}, j AS (SELECT *, lag(adj_close) OVER o AS p, adj_close / close AS q, lag(adj_close / close) OVER o AS pq, count(*) OVER (PARTITION BY permno, date) AS n FROM bars WINDOW o AS (PARTITION BY permno ORDER BY date)),
+     g AS (SELECT permno, max(date) AS latest, count(DISTINCT CASE WHEN date = DATE '2001-11-01' THEN permno END) AS actual,
+                  count(*) FILTER (WHERE date = DATE '2001-11-01' AND (high < low OR high < greatest(open, close) OR low > least(open, close) OR close <= 0 OR volume < 0)) AS invalid,
+                  count(*) FILTER (WHERE date = DATE '2001-11-01' AND abs(adj_close / p - 1) > 0.5) AS outliers, count(*) FILTER (WHERE date = DATE '2001-11-01' AND n > 1) AS duplicates,
+                  count(*) FILTER (WHERE date = DATE '2001-11-01' AND abs(q / pq - 1) > 0.01) AS jumps FROM j GROUP BY permno),
+     gg AS (SELECT *, (SELECT count(*) FROM range(CAST(latest + 1 AS TIMESTAMP), CAST(DATE '2001-11-01' + 1 AS TIMESTAMP), INTERVAL 1 DAY) x(d) WHERE dayofweek(d) NOT IN (0, 6)) AS gap FROM g),
+     ck AS (SELECT permno, 0 AS place, 'freshness' AS "check", latest >= DATE '2001-11-01' AS passed, '' AS severity FROM gg UNION ALL SELECT permno, 1, 'completeness', actual >= 1, '' FROM gg UNION ALL SELECT permno, 2, 'ohlc_validity', invalid = 0, '' FROM gg
+            UNION ALL SELECT permno, 3, 'return_outliers', outliers = 0, '' FROM gg UNION ALL SELECT permno, 4, 'duplicates', duplicates = 0, '' FROM gg UNION ALL SELECT permno, 5, 'adjusted_consistency', jumps = 0, '' FROM gg
+            UNION ALL SELECT permno, 6, 'gap_backfill', gap <= 1, CASE WHEN gap <= 1 THEN 'info' WHEN gap <= 25 THEN 'warning' ELSE 'critical' END FROM gg)"""
+
+
+def _rolled(mode: str, condition: str) -> str:
+    return f"""SELECT permno, '{mode}' AS mode, count(*) FILTER (WHERE {condition}) = 0 AS passed,
+        'Failed checks: ' || string_agg("check", ', ' ORDER BY place) FILTER (WHERE {condition}) AS halt_reason FROM ck GROUP BY permno"""
+
+
+@query(f"""WITH {_CHECKED} {_rolled('strict', 'NOT passed')} UNION ALL {_rolled('lenient', "NOT passed AND ('check' IN ('freshness') OR \"check\" IN ('freshness', 'completeness') OR (\"check\" = 'gap_backfill' AND severity = 'critical'))")}""")
+def quality_roll_up(spark, sf_dir):
+    """Whether a strict and a lenient load of one month would halt for each key, and why."""
+    checks = quality.run_checks(bars(spark, sf_dir), "2001-11-01", 1, 2, 0.5, 25, by=("permno",))
+    told = [quality.roll_up(checks, mode, ("permno",)).withColumn("mode", F.lit(mode)) for mode in ("strict", "lenient")]
+    return told[0].unionByName(told[1]).select("permno", "mode", "passed", "halt_reason")
+
+
+@query(f"""WITH {BARS}, b AS (SELECT permno, max(date) AS latest FROM bars WHERE volume > 50 GROUP BY permno),
+     g AS (SELECT permno, latest, (SELECT count(*) FROM range(CAST(latest + 1 AS TIMESTAMP), CAST(DATE '2001-11-06' + 1 AS TIMESTAMP), INTERVAL 1 DAY) x(d) WHERE dayofweek(d) NOT IN (0, 6)) AS gap FROM b),
+     d AS (SELECT permno, gap, CAST(unnest(range(CAST(latest + 1 AS TIMESTAMP), CAST(DATE '2001-11-06' AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM g WHERE gap <= 30 AND latest < DATE '2001-11-06'),
+     f AS (SELECT permno, date, 'backfill' AS status FROM d WHERE dayofweek(date) NOT IN (0, 6) UNION ALL SELECT permno, DATE '2001-11-06', 'load' FROM g WHERE gap <= 30 AND latest < DATE '2001-11-06')
+     SELECT permno, date, CAST(row_number() OVER (PARTITION BY permno ORDER BY date) - 1 AS INTEGER) AS place, status FROM f UNION ALL SELECT permno, DATE '2001-11-06', 0, 'halt' FROM g WHERE gap > 30""")
+def quality_backfill_plan(spark, sf_dir):
+    """The days that each key's months with real volume lack up to a date, to be loaded oldest first."""
+    return quality.backfill_plan(bars(spark, sf_dir).where("volume > 50"), "2001-11-06", 30, by=("permno",))
+
+
+@query("""WITH o AS (SELECT *, sha256('{"event_id":"' || event_id || '","event_type":"' || trim(event_type) || '"}') AS seal FROM events)
+     SELECT 'columns' AS rule, 0 AS violations, TRUE AS passed UNION ALL SELECT 'no forbidden columns', 1, FALSE UNION ALL
+     SELECT rule, CAST(n AS BIGINT), n = 0 FROM (SELECT unnest(['seal matches', 'seal unique', 'seal seals the row', 'event_type one of', 'event_id contiguous', 'props present if valued', 'free of paths', 'free of queries', 'row count']) AS rule,
+       unnest([count(*) FILTER (WHERE NOT regexp_full_match(seal, '[0-9a-f]{64}')), count(*) - count(DISTINCT seal), 0, count(*) FILTER (WHERE event_type NOT IN ('click', 'view')),
+               CASE WHEN min(event_id) = 0 AND max(event_id) = count(*) - 1 AND count(DISTINCT event_id) = count(*) THEN 0 ELSE 1 END, count(*) FILTER (WHERE (value > 50) <> (coalesce(props, '') <> '')),
+               count(*) FILTER (WHERE starts_with(props, '/')), count(*) FILTER (WHERE contains(lower(props), 'select ')), abs(count(*) - 1000)]) AS n FROM o)""")
+def quality_evidence(spark, sf_dir):
+    """Sealed events against rules told as data: one scan, a row for each rule."""
+    columns = ["event_id", "event_type"]
+    df = row_digest(read(spark, sf_dir, "events"), columns, "seal")
+    sealed = evidence.follows("seal", digest_of([F.trim(F.col(c).cast("string")).alias(c) for c in columns]), "seal")
+    rules = [
+        evidence.matches("seal"), evidence.unique("seal"), evidence.Rule("seal seals the row", sealed.violations), evidence.one_of("event_type", ("click", "view")), evidence.contiguous("event_id"),
+        evidence.present_if("props", F.col("value") > 50, "valued"), evidence.free_of_paths(["props"]), evidence.free_of_queries(["props"]), evidence.rows(1000),
+    ]
+    return evidence.check(df, rules, df.columns, ["user_id", "o_totalprice"])

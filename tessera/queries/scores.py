@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rounded
-from tessera.operators import inference, panel, scoring
+from tessera.operators import gates, gram, inference, panel, scoring
 from tessera.plans.compile import evaluate, to_sql
 from tessera.queries.base import GRID, grid, query, r
 
@@ -168,10 +168,52 @@ _PAIRS = f"""{_long()}, pr AS (SELECT date, key, signal, {_rank('value', 'date,
 
 @query(f"WITH {_PAIRS} SELECT a, b, {r('avg(c)')} AS corr, count(*) AS n_days FROM pd WHERE n >= {MINIMUM} AND c IS NOT NULL GROUP BY a, b")
 def select_signal_correlation(spark, sf_dir):
-    out = scoring.signal_correlation(long_values(spark, sf_dir), MINIMUM)
+    out = gram.rank_correlations(panel_values(spark, sf_dir), list(SIGNALS), minimum=MINIMUM)
     return out.select("a", "b", rounded("corr").alias("corr"), "n_days")
 
 
+_MEMBERS = list(SIGNALS)[: len(SIGNALS) // 2]
+_ASKING = [s for s in SIGNALS if s not in _MEMBERS]
+
+
+@query(f"""WITH {_PAIRS}, pm AS (SELECT a, b, avg(c) AS c FROM pd WHERE n >= {MINIMUM} AND c IS NOT NULL GROUP BY a, b), two AS (SELECT a, b, abs(c) AS c FROM pm UNION ALL SELECT b, a, abs(c) FROM pm),
+     rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b DESC) AS k FROM two WHERE a IN ({', '.join(f"'{s}'" for s in _ASKING)}) AND b IN ({', '.join(f"'{s}'" for s in _MEMBERS)}))
+     SELECT a, b AS closest, {r('c')} AS corr, c <= 0.3 AS passed FROM rk WHERE k = 1""")
+def select_correlation_gate(spark, sf_dir):
+    """Whether each new signal is little enough correlated with those already taken."""
+    pairs = gram.rank_correlations(panel_values(spark, sf_dir), _ASKING, _MEMBERS, MINIMUM)
+    return gram.correlation_gate(pairs, 0.3).withColumn("corr", rounded("corr"))
+
+
+_RIDGE = ["momentum", "range", "drawup"]
+
+
+def _ridge_sql() -> str:
+    """Centred ranks and labels of complete rows, their sums in both windows, and each penalty's weights by Cramer's rule."""
+    x = lambda t, i, j: f"sum({t}.x{i} * {t}.x{j})"
+    products = ", ".join([f"{x('z', i, j)} AS s{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j] + [f"sum(x{i} * y) AS s{i}y" for i in (1, 2, 3)])
+    det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    a = [["(s11 + t)", "s12", "s13"], ["s12", "(s22 + t)", "s23"], ["s13", "s23", "(s33 + t)"]]
+    y = ["s1y", "s2y", "s3y"]
+    swapped = [[[y[i] if j == k else a[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    weights = ", ".join(f"{det(*swapped[k])} / {det(*a)} AS w{k + 1}" for k in range(3))
+    ranks = " JOIN ".join(f"(SELECT date, key, x - avg(x) OVER (PARTITION BY date) AS x{i + 1} FROM pr WHERE signal = '{s}') q{i + 1}" + (" USING (date, key)" if i else "") for i, s in enumerate(_RIDGE))
+    return f"""{_PAIRS}, lb AS (SELECT date, key, fwd_1 - avg(fwd_1) OVER (PARTITION BY date) AS y FROM wide WHERE fwd_1 IS NOT NULL),
+        z AS (SELECT date, x1, x2, x3, y FROM {ranks} JOIN lb USING (date, key)), ft AS (SELECT {products} FROM z WHERE date <= DATE '1996-06-30'),
+        pen AS (SELECT unnest(CAST([0.01, 0.1, 1.0, 10.0, 100.0] AS DOUBLE[])) AS penalty), tt AS (SELECT *, penalty * (s11 + s22 + s33) / 3 AS t FROM ft, pen), ws AS (SELECT penalty, {weights} FROM tt),
+        sc AS (SELECT penalty, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, corr(w1 * x1 + w2 * x2 + w3 * x3, y) AS score FROM ws, z WHERE date > DATE '1996-06-30' GROUP BY penalty)"""
+
+
+@query(f"WITH {_ridge_sql()} SELECT penalty, {r('w1', 7)} AS w1, {r('w2', 7)} AS w2, {r('w3', 7)} AS w3, {r('score')} AS score, score = (SELECT max(score) FROM sc) AS chosen FROM sc")
+def select_ridge(spark, sf_dir):
+    """Ridge weights of three signals for every penalty, chosen by correlation in later dates."""
+    wide = panel_values(spark, sf_dir).withColumn("window", F.when(F.col("date") <= F.lit("1996-06-30").cast("date"), "fit").otherwise("validation"))
+    path = gram.ridge_path(gram.design_sums(wide, _RIDGE, "fwd_1", "window"), "fit", "validation")
+    best = F.max("score").over(Window.partitionBy())  # five rows
+    out = path.withColumn("chosen", F.col("score") == best)
+    return out.select("penalty", *[rounded(F.col("weights")[i], 7).alias(f"w{i + 1}") for i in range(3)], rounded("score").alias("score"), "chosen")
+
+
 @query(f"""WITH {_long()}, pr AS (SELECT date, key, signal, {_rank('value', 'date, signal')} AS x FROM long WHERE value IS NOT NULL)
      SELECT a.signal AS a, b.signal AS b, {r(_corr('a.x', 'b.x'))} AS corr, count(*) AS n
      FROM pr a JOIN pr b ON a.date = b.date AND a.key = b.key AND a.signal < b.signal GROUP BY a.signal, b.signal HAVING count(*) >= 100""")
@@ -445,3 +487,13 @@ def select_greedy(spark, sf_dir):
         [x.asDict() for x in stats.collect()], {(x.a, x.b): x.corr for x in pairs.collect()}, least_t=0.1, least_autocorr=-1.0
     )  # one row for each signal and pair
     return spark.createDataFrame([(s["signal"], s["sign"], i + 1) for i, s in enumerate(taken)], "signal string, sign int, place int")
+
+
+@query(f"""WITH {_IC}, mi AS (SELECT year(date) AS fold, signal, avg(ic) AS m FROM ic GROUP BY year(date), signal), rk AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY abs(m) DESC, signal) AS place FROM mi)
+     SELECT fold, signal, {r('m')} AS mean_ic, place FROM rk WHERE place <= 3""")
+def select_fold_factors(spark, sf_dir):
+    """The three signals that each year leans on most."""
+    values = ic(spark, sf_dir)
+    first, last = values.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+    years = spark.range(first or 0, (last or -1) + 1).select(F.col("id").alias("fold"), F.make_date("id", F.lit(1), F.lit(1)).alias("b"), F.make_date("id", F.lit(12), F.lit(31)).alias("e"))
+    return gates.fold_factors(values, years).select("fold", "signal", rounded("mean_ic").alias("mean_ic"), "place")

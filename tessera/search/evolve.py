@@ -30,6 +30,9 @@ from tessera.plans.formula import (
 WINDOWS = (3, 5, 10, 21)
 PRICE = ("$open", "$high", "$low", "$close", "$volume", "$return")
 CAPACITY = 8
+#: Bounds of the niches.  The cut is the median turnover of the published set; a run gives its own by ``turnover_cut``.
+FAST_HALF_LIFE, MEDIUM_HALF_LIFE, TURNOVER_CUT = 5.0, 21.0, 0.3123
+NICHES = [(s, f, t) for s in ("fast", "medium", "slow") for f in ("price_volume", "fundamental", "mixed") for t in ("low", "high")]
 
 
 def round_rng(seed: int, *parts: object) -> random.Random:
@@ -129,10 +132,10 @@ class Candidate:
 
     @property
     def niche(self) -> tuple[str, str, str]:
-        """Speed x turnover x data family."""
+        """Speed, data family and turnover, as of ``NICHES``."""
         life = self.metrics.get("half_life")
-        speed = "slow" if life is None or life > 20 else "medium" if life > 5 else "fast"
-        return speed, "low" if self.metrics.get("turnover", 0) < 0.2 else "high", data_family(self.node)
+        speed = "slow" if life is None or life > MEDIUM_HALF_LIFE else "medium" if life >= FAST_HALF_LIFE else "fast"
+        return speed, data_family(self.node), "low" if self.metrics.get("turnover", 0) <= self.metrics.get("turnover_cut", TURNOVER_CUT) else "high"
 
 
 #: A mutation further from its parent than this is another formula.
@@ -199,7 +202,7 @@ def tournament(pool: list[Candidate], archive: Archive, rng: random.Random, roun
     return max(rng.choices(pool, weights, k=min(rounds, len(pool))), key=lambda c: (c.fitness, -c.order))
 
 
-def text_gates(node: Node, archive: Archive, published: list[Node], largest: int = 60, shared: int = 12) -> str | None:
+def text_gates(node: Node, archive: Archive, published: list[Node], largest: int = 60, shared: int = 5) -> str | None:
     """The first gate that refuses a formula by its text, cheapest first."""
     c = complexity(node)
     if size(node) > largest or c["depth"] > 8:

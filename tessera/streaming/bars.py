@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -84,16 +84,21 @@ def ingest(stream: DataFrame, path: str, keys: list[str], order: str, late: int
     """Upsert a stream of daily rows by batch and give the table; rows too late go to a side table, ``{path}/late``.
 
     A row is late if its date lies more than ``late`` days before the newest date
-    of the batches before.  A batch that is run again after a failure upserts the
-    same rows again, which changes nothing.
+    of the batches before.  Each batch first writes down that date under its
+    number, so a batch that is run again after a failure judges its rows as
+    before, upserts the same rows and changes nothing.
     """
     spark = stream.sparkSession
     from tessera.sources.tables import exists
 
-    data, side = f"{path}/data", f"{path}/late"
+    data, side, marks = f"{path}/data", f"{path}/late", f"{path}/newest"
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = spark.read.parquet(data).agg(F.max(date)).first()[0] if exists(spark, data) else None  # one date
+        mark = f"{marks}/batch={number}"
+        if not exists(spark, f"{mark}/_SUCCESS"):
+            seen = spark.read.parquet(data).select(date) if exists(spark, data) else batch.select(date).limit(0)
+            seen.agg(F.max(date).alias("newest")).write.mode("overwrite").parquet(mark)
+        newest = spark.read.parquet(mark).first()[0]  # one date
         in_time = F.lit(True) if newest is None else F.col(date) >= F.date_sub(F.lit(newest), late)
         batch.where(~F.coalesce(in_time, F.lit(False))).write.mode("overwrite").parquet(f"{side}/batch={number}")
         merge_daily(spark, batch.where(in_time), data, keys, order)
@@ -103,6 +108,30 @@ def ingest(stream: DataFrame, path: str, keys: list[str], order: str, late: int
     return spark.read.parquet(data)
 
 
+def run_backfill(spark: SparkSession, plan: DataFrame, load: Callable[[str], DataFrame], path: str, keys: list[str], order: str) -> list[str]:
+    """Load the days of a plan that its ledger doesn't hold yet, the oldest first; the days loaded.
+
+    ``plan`` is a ``backfill_plan``; ``load`` gives a day's rows.  The table is
+    ``{path}/data`` and the ledger ``{path}/ledger``: a day is upserted before it is
+    written down, so a run that is broken off and started again loads the day once
+    more, which changes nothing, and a finished day is never loaded again.  A plan
+    that halts is an error, and nothing is loaded.
+    """
+    from tessera.sources.tables import exists
+
+    if halted := [str(r.date) for r in plan.where("status = 'halt'").select("date").distinct().take(3)]:
+        raise ValueError(f"the gap before {', '.join(halted)} is too long to be filled")
+    ledger, todo = f"{path}/ledger", plan.select("date").distinct()
+    if exists(spark, ledger):
+        todo = todo.join(spark.read.schema("date date").parquet(ledger), "date", "left_anti")
+    done = []
+    for day in [r.date for r in todo.orderBy("date").collect()]:  # a plan holds a few days, else it halts
+        merge_daily(spark, load(str(day)), f"{path}/data", keys, order)
+        spark.createDataFrame([(day,)], "date date").write.mode("append").parquet(ledger)
+        done.append(str(day))
+    return done
+
+
 def monitor(stream: DataFrame, max_drawdown: float, max_daily_loss: float) -> DataFrame:
     """Kill-switch events from equity marks (account, ts, equity).
 

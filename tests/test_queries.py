@@ -86,6 +86,36 @@ def test_ingest_keeps_the_last_and_puts_late_rows_aside(spark, tmp_path):
     assert [r.close for r in spark.read.parquet(f"{out}/late").collect()] == [9.0]
 
 
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    """A batch fails after its rows have reached the table; on the retry its own dates mustn't make its older rows late."""
+    import datetime as dt
+
+    from tessera.streaming import bars
+
+    kind = "date date, permno long, close double, seen int"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(kind).parquet(source)
+    write([(dt.date(2024, 1, 10), 1, 1.0, 1)])
+    bars.ingest(stream(), out, ["date", "permno"], "seen")
+    write([(dt.date(2024, 1, 8), 1, 2.0, 2), (dt.date(2024, 3, 1), 1, 3.0, 2), (dt.date(2023, 1, 1), 1, 9.0, 2)])
+    real = bars.merge_daily
+
+    def fails_after_some(spark, batch, *rest):
+        real(spark, batch.where("date > '2024-02-01'"), *rest)  # one folder is written, then the driver dies
+        raise RuntimeError("lost")
+
+    bars.merge_daily = fails_after_some
+    try:
+        with pytest.raises(Exception, match="lost"):
+            bars.ingest(stream(), out, ["date", "permno"], "seen")
+    finally:
+        bars.merge_daily = real
+    table = bars.ingest(stream(), out, ["date", "permno"], "seen")
+    assert {(str(r.date), r.close) for r in table.collect()} == {("2024-01-10", 1.0), ("2024-01-08", 2.0), ("2024-03-01", 3.0)}
+    assert [r.close for r in spark.read.parquet(f"{out}/late").collect()] == [9.0]
+
+
 def test_missing_file_is_an_empty_table(spark, tmp_path):
     from tessera.sources import tables
 

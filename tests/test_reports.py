@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import panel, portfolio, quality, reference
-from tessera.search.evolve import Archive, Candidate, places, replace, text_gates
+from tessera.search.evolve import NICHES, Archive, Candidate, places, replace, text_gates
 from tessera.plans.formula import parse
 from tessera.sources import tables
 
@@ -39,6 +39,28 @@ def test_even_sample_has_both_ends(spark, n):
         assert got == []
 
 
+def test_even_sample_over_many_ranges(spark):
+    """Ranges are drawn anew by every job, so what one job counts must be what the other reads."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 300_000, 1, 12).select((F.xxhash64("id") % 1_000_000_007).alias("id"))
+        ids = sorted(r.id for r in df.collect())
+        for _ in range(2):
+            got = sorted(r.id for r in reference.even_sample(df, ["id"], 32).collect())
+            assert got == [ids[int(i * (len(ids) - 1) / 31)] for i in range(32)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_niches_are_those_of_the_search():
+    assert len(NICHES) == 18
+    niche = lambda text, **m: Candidate(text, 1.0, m).niche
+    assert niche("$close * $volume", half_life=5.0, turnover=0.3123) == ("medium", "price_volume", "low")
+    assert niche("$roa / $close", half_life=4.9, turnover=0.32) == ("fast", "mixed", "high")
+    assert niche("RANK($roe)", half_life=21.5, turnover=0.5, turnover_cut=0.5) == ("slow", "fundamental", "low")
+    assert niche("$close") in NICHES
+
+
 def test_turnover_cap_blends(spark):
     old = spark.createDataFrame([("a", 1.0)], "key string, weight double")
     new = spark.createDataFrame([("b", 1.0)], "key string, weight double")
@@ -59,11 +81,17 @@ def test_orders_sell_no_more_than_is_held(spark):
 
 
 def test_rebalance_rounds_cuts_and_liquidates(spark):
-    rows = [("a", 0.0, 10.0, 1e9, 0.5), ("b", 0.0, 10.0, 1000.0, 0.5), ("c", 7.0, 10.0, None, None), ("d", 9.5, 100.0, 1e9, 1.0)]
-    p = spark.createDataFrame(rows, "key string, shares double, entry double, adv double, target double")
+    rows = [
+        ("a", 0.0, 10.0, 1e9, 0.5, True), ("b", 0.0, 10.0, 1000.0, 0.5, None), ("c", 7.0, 10.0, None, None, False), ("d", 9.5, 100.0, 1e9, 1.0, True),
+        ("kept", 5.0, 10.0, 1e9, None, True),  # not chosen, worth 50: under the least trade
+        ("cut", 100.0, 10.0, 1000.0, None, True),  # not chosen, worth 1,000: the market takes 50
+        ("left", 100.0, 10.0, 1000.0, None, False),  # left the table: sold whole, whatever the market takes
+    ]
+    p = spark.createDataFrame(rows, "key string, shares double, entry double, adv double, target double, present boolean")
     out = {r.key: r for r in portfolio.rebalance(p, F.lit(1000.0), cash=0.0, participation=0.05, fractional=False).collect()}
     assert out["a"].new_shares == 50 and out["b"].new_shares == 5 and out["c"].new_shares == 0 and out["c"].notional == 70
     assert out["d"].new_shares == 9  # 50 is too small a change, and shares are whole
+    assert out["kept"].new_shares == 5 and out["cut"].new_shares == 95 and out["left"].new_shares == 0
 
 
 def test_pre_and_post_trade_checks(spark):
@@ -114,7 +142,7 @@ def test_archive_evicts_the_weakest_and_refuses_duplicates():
     assert made == [True, True, True, False] and [c.fitness for c in a.all()] == [5.0, 4.0]
     assert not a.add(Candidate("TS_MEAN($close, 5)", 9.0)) and not a.add(Candidate("$close", float("nan")))
     assert text_gates(parse("TS_MEAN($close, 5)"), a, []) == "duplicate"
-    assert text_gates(parse("RANK(TS_CORR($open, TS_MEAN($close, 3), 5) * RANK($volume))"), a, [parse("RANK(TS_CORR($open, TS_MEAN($close, 3), 5) * RANK($volume))")]) is None
+    assert text_gates(parse("RANK(TS_CORR($open, TS_MEAN($close, 3), 5) * RANK($volume))"), a, [parse("RANK(TS_CORR($open, TS_MEAN($close, 3), 5) * RANK($volume))")]) == "published"
 
 
 def test_tree_paths_replace_what_they_name():
