@@ -17,31 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.groups import numbers, whole_groups
+
 PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
 def _by_date(df: DataFrame, columns: list[str], date: str) -> DataFrame:
     """The columns as numbers, all rows of a date next to each other in one task."""
-    return df.select(date, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).repartition(date).sortWithinPartitions(date)
+    return df.select(F.col(date).alias("__date"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).repartition("__date").sortWithinPartitions("__date")
 
 
-def _dates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+def _dates(batches: Iterator[pa.RecordBatch], date: str = "__date") -> Iterator[tuple[object, np.ndarray]]:
     """(date, rows x columns) of each date of a sorted partition, missing values as NaN."""
-    now, held = None, []
-    for batch in batches:
-        values = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1, batch.num_columns)])
-        days = batch.column(0).to_pylist()
-        edges = [0, *(i for i in range(1, len(days)) if days[i] != days[i - 1]), len(days)]
-        for begin, end in zip(edges, edges[1:], strict=False):
-            if begin == end:
-                continue
-            if held and days[begin] != now:
-                yield now, np.concatenate(held)
-                held = []
-            now = days[begin]
-            held.append(values[begin:end])
-    if held:
-        yield now, np.concatenate(held)
+    for rows, edges in whole_groups(batches, date):
+        values = numbers(rows, rows.schema.names[1:])
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield rows.column(date)[begin].as_py(), values[:, begin:end].T
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
@@ -64,6 +55,66 @@ def _correlations(x: np.ndarray, y: np.ndarray, minimum: int) -> tuple[np.ndarra
     return np.where(holds, c, 0.0), holds
 
 
+class _Sorted:
+    """Columns (as rows of an array) in order, so that ranks within any subset are sums along that order."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.there = ~np.isnan(values)
+        self.order = np.argsort(values, axis=1, kind="stable")
+        ordered = np.take_along_axis(values, self.order, axis=1)
+        place = np.arange(values.shape[1])
+        new = np.ones(values.shape, bool)
+        new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        self.first = np.maximum.accumulate(np.where(new, place, 0), axis=1)  # of equal values
+        last = np.where(np.roll(new, -1, axis=1), place, len(place))
+        last[:, -1] = len(place) - 1
+        self.last = np.minimum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
+
+    def ranks(self, some: np.ndarray) -> np.ndarray:
+        """Average ranks, from 1, among the entries that ``some`` marks; other entries are meaningless."""
+        order = np.broadcast_to(self.order, some.shape)
+        upto = np.zeros((some.shape[0], some.shape[1] + 1), np.int32)
+        np.cumsum(np.take_along_axis(some, order, axis=1), axis=1, out=upto[:, 1:])
+        low = np.take_along_axis(upto, np.broadcast_to(self.first, some.shape), axis=1)
+        high = np.take_along_axis(upto, np.broadcast_to(self.last, some.shape) + 1, axis=1)
+        out = np.empty(some.shape)
+        np.put_along_axis(out, order, (low + high + 1) / 2.0, axis=1)
+        return out
+
+
+def rank_ic(wide: DataFrame, signals: list[str], labels: list[str], minimum: int, date: str = "date") -> DataFrame:
+    """(date, signal, label, ic, n): Spearman correlation of every signal with every label on every date.
+
+    Both are ranked over the names where both are there; dates with fewer than
+    ``minimum`` of them, or without spread, have none.  A date's signals are sorted
+    once for all labels.
+    """
+
+    columns = list(dict.fromkeys([*signals, *labels]))
+    at = {c: i for i, c in enumerate(columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for day, values in _dates(batches):
+            series = np.ascontiguousarray(values.T)
+            x = _Sorted(series[[at[s] for s in signals]])
+            rows = []
+            for label in labels:
+                y = _Sorted(series[[at[label]]])
+                both = x.there & y.there
+                n = both.sum(axis=1)
+                middle = (n[:, None] + 1) / 2.0
+                a, b = (np.where(both, s.ranks(both) - middle, 0.0) for s in (x, y))
+                va, vb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+                for i in np.flatnonzero((n >= minimum) & (va > 0) & (vb > 0)).tolist():
+                    rows.append((signals[i], label, float(a[i] @ b[i] / np.sqrt(va[i] * vb[i])), int(n[i])))
+            if rows:
+                names, of, ic, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([day] * len(rows)), pa.array(names), pa.array(of), pa.array(ic), pa.array(n)], ["date", "signal", "label", "ic", "n"])
+
+    kind = dict(wide.dtypes)[date]
+    return _by_date(wide, columns, date).mapInArrow(run, f"date {kind}, signal string, label string, ic double, n long")
+
+
 def rank_correlations(wide: DataFrame, left: list[str], right: list[str] | None = None, minimum: int = 30, date: str = "date") -> DataFrame:
     """(a, b, corr, n_days): mean daily rank correlation of pairs of signals.
 
@@ -98,7 +149,7 @@ def rank_correlations(wide: DataFrame, left: list[str], right: list[str] | None
 def correlation_gate(pairs: DataFrame, limit: float = 0.7) -> DataFrame:
     """(a, closest, corr, passed) for each candidate: its strongest |correlation| with a member, and whether it may enter."""
     best = pairs.where("a != b").groupBy("a").agg(F.max(F.struct(F.abs("corr").alias("corr"), F.col("b").alias("b"))).alias("m"))
-    return best.select("a", F.col("m.b").alias("closest"), F.col("m.corr").alias("corr"), (F.col("m.corr") <= limit).alias("passed"))
+    return best.select("a", F.col("m.b").alias("closest"), F.col("m.corr").alias("corr"), (F.col("m.corr") < limit).alias("passed"))
 
 
 def design_sums(wide: DataFrame, features: list[str], label: str, window: str, signs: list[int] | None = None, date: str = "date") -> DataFrame:

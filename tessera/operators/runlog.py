@@ -51,7 +51,7 @@ def _fold(by: list[str], capacity: int, exact: bool, gated: bool):
                     if not exact:  # elsewhere its first admission may have ended by now
                         took.append(i)
                     continue
-                if gated and any(c["id"] in members and (c["corr"] > row.max_corr or c["shared"] >= row.max_shared) for c in row.conflicts):
+                if gated and any(c["id"] in members and (c["corr"] >= row.max_corr or c["shared"] >= row.max_shared) for c in row.conflicts):
                     continue
                 niche = niches.setdefault(row.niche_key, [])  # weakest first; of equals the one that came later
                 evicted = None

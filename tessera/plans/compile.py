@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import INF, correlation, finite, guarded, null_nan, percent_rank_average, safe_div
+from tessera.functions import INF, correlation, finite, guarded, null_nan, safe_div
+from tessera.functions.groups import map_groups, numbers
 from tessera.plans.formula import CROSS, ELEMENT, SERIES, Node, canonical, parse, render
 
 
@@ -115,7 +119,6 @@ def _series(n: Node, names: dict[Node, str], key: str, date: str) -> Column:
     ordered = Window.partitionBy(key).orderBy(date)
     frame = ordered.rowsBetween(-(w - 1), 0)
     full = F.count(x).over(frame) == w
-    values = F.collect_list(x).over(frame)
     match n.label:
         case "TS_MEAN":
             return F.when(full, F.avg(x).over(frame))
@@ -131,19 +134,6 @@ def _series(n: Node, names: dict[Node, str], key: str, date: str) -> Column:
             return null_nan(raw - F.lag(raw, w).over(ordered))
         case "DELAY":
             return F.lag(raw, w).over(ordered)
-        case "TS_PRODUCT":
-            return F.when(full, F.aggregate(values, F.lit(1.0), lambda p, v: p * v))
-        case "TS_RANK":
-            below = F.size(F.filter(values, lambda v: v < x))
-            same = F.size(F.filter(values, lambda v: v == x))
-            return F.when(full, (below + (same + 1) / F.lit(2.0)) / F.lit(float(w)))
-        case "TS_ARGMAX":
-            return F.when(full, (F.lit(w) - F.array_position(values, F.array_max(values))).cast("double"))
-        case "TS_ARGMIN":
-            return F.when(full, (F.lit(w) - F.array_position(values, F.array_min(values))).cast("double"))
-        case "TS_DECAY_LINEAR":
-            weighted = F.aggregate(F.transform(values, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-            return F.when(full, weighted / F.lit(w * (w + 1) / 2))
         case "TS_CORR" | "TS_COV":
             y = finite(_number(n.children[1], names))
             both = x.isNotNull() & y.isNotNull()
@@ -159,33 +149,97 @@ def _series(n: Node, names: dict[Node, str], key: str, date: str) -> Column:
 
 
 def _cross(n: Node, names: dict[Node, str], date: str) -> Column:
-    x = _number(n.children[0], names)
     day = Window.partitionBy(date)
-    if n.label == "RANK":
-        return percent_rank_average(x, date)
-    x = finite(x)
+    x = finite(_number(n.children[0], names))
     if n.label == "CS_DEMEAN":
         return x - F.avg(x).over(day)
     spread = F.stddev_samp(x).over(day)
     return F.when(spread > 0, (x - F.avg(x).over(day)) / spread)
 
 
-def _averages(df: DataFrame, nodes: list[Node], names: dict[Node, str], key: str, date: str) -> DataFrame:
-    """EMA columns: one key's series at a time, all averages in one pass."""
-    sources = {f"__x{i}": finite(_number(n.children[0], names)) for i, n in enumerate(nodes)}
-    spans = [int(n.children[1].number) for n in nodes]
+#: Series functions that Spark has no moving form of; in Arrow they are numpy over a sliding view.
+MOVING = {"EMA", "TS_RANK", "TS_ARGMAX", "TS_ARGMIN", "TS_PRODUCT", "TS_DECAY_LINEAR"}
+CELLS = 1 << 20  # entries of a sliding view that are worked on at once
+
+
+def _moved(label: str, x: np.ndarray, w: int) -> np.ndarray:
+    """One moving function over a series; missing where the window isn't full of finite values."""
+    out = np.full(len(x), np.nan)
+    if label == "EMA":
+        return pd.Series(np.where(np.isfinite(x), x, np.nan)).ewm(span=w, adjust=True, ignore_na=False, min_periods=w).mean().to_numpy()
+    if len(x) < w:
+        return out
+    there = np.isfinite(x)
+    upto = np.concatenate([[0], np.cumsum(there)])
+    full = np.flatnonzero(upto[w:] - upto[:-w] == w)  # numbers of windows
+    view = np.lib.stride_tricks.sliding_window_view(np.where(there, x, 0.0), w)
+    for begin in range(0, len(full), max(1, CELLS // w)):
+        at = full[begin : begin + max(1, CELLS // w)]
+        part = view[at]
+        match label:
+            case "TS_RANK":
+                last = part[:, -1:]
+                made = ((part < last).sum(axis=1) + ((part == last).sum(axis=1) + 1) / 2.0) / w
+            case "TS_ARGMAX":
+                made = (w - 1 - part.argmax(axis=1)).astype(float)
+            case "TS_ARGMIN":
+                made = (w - 1 - part.argmin(axis=1)).astype(float)
+            case "TS_PRODUCT":
+                made = part.prod(axis=1)
+            case _:
+                made = part @ np.arange(1.0, w + 1) / (w * (w + 1) / 2)
+        out[at + w - 1] = made
+    return out
+
+
+def _moving(df: DataFrame, nodes: list[Node], names: dict[Node, str], key: str, date: str) -> DataFrame:
+    """Columns of moving functions: one key's series at a time, all of a level in one pass.
+
+    A key holds one row for each date; its columns go through Arrow as they are,
+    so ``df`` should only hold those that are still needed.
+    """
+    sources: dict[str, str] = {}
+    jobs = []
+    for n in nodes:
+        text = render(n.children[0])
+        if text not in sources:
+            sources[text] = f"__x{len(sources)}"
+            df = df.withColumn(sources[text], finite(_number(n.children[0], names)))
+        jobs.append((names[n], n.label, sources[text], int(n.children[-1].number)))
+    shipped = list(sources.values())
+    schema = df.drop(*shipped).withColumns({name: F.lit(None).cast("double") for name, *_ in jobs}).schema
+
+    def run(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        series = dict(zip(shipped, numbers(rows, shipped), strict=True))
+        made = {name: np.concatenate([_moved(label, part, w) for part in np.split(series[source], edges[1:-1])]) for name, label, source, w in jobs}
+        return _with(rows.drop_columns(shipped), made)
+
+    return map_groups(df, key, date, run, schema)
+
+
+def _with(rows: pa.RecordBatch, made: dict[str, np.ndarray]) -> pa.RecordBatch:
+    for name, values in made.items():
+        rows = rows.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+    return rows
+
+
+def _ranked(df: DataFrame, nodes: list[Node], names: dict[Node, str], date: str) -> DataFrame:
+    """RANK columns: one date's cross-section at a time, all ranks of a level in one pass.
+
+    As windows each of them would need two sorts of its own.  A date holds one row
+    for each key; only columns that are still needed should be in ``df``.
+    """
+    sources = [f"__x{i}" for i in range(len(nodes))]
+    df = df.withColumns({s: _number(n.children[0], names) for s, n in zip(sources, nodes, strict=True)})
     out = [names[n] for n in nodes]
-    df = df.withColumns(sources)
-    schema = df.drop(*sources).withColumns({c: F.lit(None).cast("double") for c in out}).schema
+    schema = df.drop(*sources).withColumns({name: F.lit(None).cast("double") for name in out}).schema
 
-    def run(pdf):
-        pdf = pdf.sort_values(date, ignore_index=True)
-        for i, (name, w) in enumerate(zip(out, spans, strict=True)):
-            pdf[name] = pdf.pop(f"__x{i}").ewm(span=w, adjust=True, ignore_na=False, min_periods=w).mean()
-        return pdf
+    def run(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        values = numbers(rows, sources).T
+        ranks = np.concatenate([pd.DataFrame(part).rank(pct=True).to_numpy() for part in np.split(values, edges[1:-1])])
+        return _with(rows.drop_columns(sources), dict(zip(out, ranks.T, strict=True)))
 
-    made = df.groupBy(key).applyInPandas(run, schema)
-    return made.withColumns({c: null_nan(F.col(c)) for c in out})
+    return map_groups(df, date, date, run, schema)
 
 
 def evaluate(grid: DataFrame, formulas: dict[str, str], key: str = "key", date: str = "date", keep: Iterable[str] = ()) -> DataFrame:
@@ -195,20 +249,27 @@ def evaluate(grid: DataFrame, formulas: dict[str, str], key: str = "key", date:
     fields = {n.label[1:] for r in roots.values() for n in _all(r) if n.label.startswith("$")}
     held = [key, date, *dict.fromkeys(keep)]
     df = grid.select(*held, *(f for f in sorted(fields) if f not in held))
-    for kind, levels in plan:
-        for nodes in levels:
-            averages = [n for n in nodes if n.label == "EMA"]
-            made = {}
-            for n in nodes:
-                if n.kind == ELEMENT:
-                    made[names[n]] = _element(n, names)
-                elif n.kind == SERIES and n.label != "EMA":
-                    made[names[n]] = _series(n, names, key, date)
-                elif n.kind == CROSS:
-                    made[names[n]] = _cross(n, names, date)
-            df = df.withColumns(made)
-            if averages:
-                df = _averages(df, averages, names, key, date)
+    steps = [nodes for _, levels in plan for nodes in levels]
+    for i, nodes in enumerate(steps):
+        moving, ranks = [n for n in nodes if n.label in MOVING], [n for n in nodes if n.label == "RANK"]
+        if moving or ranks:
+            inputs = [c for later in steps[i:] for n in later for c in n.children] + list(roots.values())
+            alive = {names[c] if c.children else c.label[1:] for c in inputs if c.number is None}
+            # windows of this level use the same exchange, if they are by the same column
+            df = df.select(*held, *(c for c in df.columns if c in alive and c not in held)).repartition(key if moving else date)
+        made = {}
+        for n in nodes:
+            if n.kind == ELEMENT:
+                made[names[n]] = _element(n, names)
+            elif n.kind == SERIES and n.label not in MOVING:
+                made[names[n]] = _series(n, names, key, date)
+            elif n.kind == CROSS and n.label != "RANK":
+                made[names[n]] = _cross(n, names, date)
+        df = df.withColumns(made)
+        if moving:
+            df = _moving(df, moving, names, key, date)
+        if ranks:
+            df = _ranked(df, ranks, names, date)
     return df.select(*held, *[_value(r, names).cast("double").alias(name) for name, r in roots.items()])
 
 

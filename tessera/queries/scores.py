@@ -34,7 +34,7 @@ def long_values(spark: SparkSession, sf_dir: str, lagged: bool = False) -> DataF
 
 
 def ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.daily_ic(long_values(spark, sf_dir), "fwd_1", MINIMUM)
+    return gram.rank_ic(panel_values(spark, sf_dir), list(SIGNALS), ["fwd_1"], MINIMUM).select("date", "signal", "ic", "n")
 
 
 _FWD = ", ".join(f"CASE WHEN lead(open, 1) OVER s > 0 THEN lead(open, {h + 1}) OVER s / lead(open, 1) OVER s - 1 END AS fwd_{h}" for h in HORIZONS)
@@ -129,12 +129,11 @@ def score_autocorrelation(spark, sf_dir):
 
 
 def _curve(spark: SparkSession, sf_dir: str, lagged: bool = False) -> DataFrame:
-    """Mean correlation for each horizon; one melt over (signal, horizon), one ranking."""
-    long = long_values(spark, sf_dir, lagged)
-    labels = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("label")) for h in HORIZONS]))
-    flat = long.select("date", "key", "signal", "value", labels.alias("l")).select("date", "key", "signal", "value", "l.horizon", "l.label")
-    per_day = scoring.daily_ic(flat, "label", MINIMUM, ("signal", "horizon"))
-    return per_day.groupBy("signal", "horizon").agg(F.avg("ic").alias("mean_ic"), F.count("*").alias("n_days"))
+    """Mean correlation for each horizon; a date's signals are ranked once for all of them."""
+    horizons = {f"fwd_{h}": h for h in HORIZONS}
+    per_day = gram.rank_ic(panel_values(spark, sf_dir, lagged), list(SIGNALS), list(horizons), MINIMUM)
+    horizon = F.regexp_extract("label", r"(\d+)$", 1).cast("int")
+    return per_day.groupBy("signal", horizon.alias("horizon")).agg(F.avg("ic").alias("mean_ic"), F.count("*").alias("n_days"))
 
 
 def _curve_sql(forward: str = _FWD) -> str:
@@ -178,7 +177,7 @@ _ASKING = [s for s in SIGNALS if s not in _MEMBERS]
 
 @query(f"""WITH {_PAIRS}, pm AS (SELECT a, b, avg(c) AS c FROM pd WHERE n >= {MINIMUM} AND c IS NOT NULL GROUP BY a, b), two AS (SELECT a, b, abs(c) AS c FROM pm UNION ALL SELECT b, a, abs(c) FROM pm),
      rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b DESC) AS k FROM two WHERE a IN ({', '.join(f"'{s}'" for s in _ASKING)}) AND b IN ({', '.join(f"'{s}'" for s in _MEMBERS)}))
-     SELECT a, b AS closest, {r('c')} AS corr, c <= 0.3 AS passed FROM rk WHERE k = 1""")
+     SELECT a, b AS closest, {r('c')} AS corr, c < 0.3 AS passed FROM rk WHERE k = 1""")
 def select_correlation_gate(spark, sf_dir):
     """Whether each new signal is little enough correlated with those already taken."""
     pairs = gram.rank_correlations(panel_values(spark, sf_dir), _ASKING, _MEMBERS, MINIMUM)
@@ -265,22 +264,25 @@ def test_newey_west(spark, sf_dir):
 
 
 #: A p-value that SQL can express: the logistic approximation 1.702 t of the normal tail.
-_P = "2 / (1 + exp(1.702 * abs(t)))"
+
+
+_TAIL = "-1.26551223 + x * (1.00002368 + x * (0.37409196 + x * (0.09678418 + x * (-0.18628806 + x * (0.27886807 + x * (-1.13520398 + x * (1.48851587 + x * (-0.82215223 + x * 0.17087277))))))))"
+_PV = f"pv AS (SELECT signal, t, x * exp(-z * z + {_TAIL}) AS p FROM (SELECT signal, t, z, 1 / (1 + z / 2) AS x FROM (SELECT signal, t, abs(t) / sqrt(2.0) AS z FROM nw)))"
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inference.newey_west(ic(spark, sf_dir), "ic", LAG)
-    return out.select("signal", (F.lit(2.0) / (1 + F.exp(F.lit(1.702) * F.abs("t_nw")))).alias("p"))
+    return out.select("signal", inference.normal_tail(F.abs("t_nw")).alias("p"))
 
 
-@query(f"""WITH {_IC}, {_NW}, p AS (SELECT signal, {_P} AS p FROM nw), k AS (SELECT *, row_number() OVER (ORDER BY p, signal) AS i, count(*) OVER () AS m FROM p)
+@query(f"""WITH {_IC}, {_NW}, {_PV}, k AS (SELECT *, row_number() OVER (ORDER BY p, signal) AS i, count(*) OVER () AS m FROM pv)
      SELECT signal, {r('p')} AS p, i AS rank, i <= coalesce(max(CASE WHEN p <= 0.6 * i / m THEN i END) OVER (), 0) AS discovery FROM k""")
 def test_benjamini_hochberg(spark, sf_dir):
     out = inference.benjamini_hochberg(_tests(spark, sf_dir), "p", 0.6)
     return out.select("signal", rounded("p").alias("p"), F.col("rank").cast("long").alias("rank"), "discovery")
 
 
-@query(f"""WITH {_IC}, {_NW}, p AS (SELECT signal, {_P} AS p FROM nw), k AS (SELECT *, row_number() OVER (ORDER BY p, signal) - 1 AS i, count(*) OVER () AS m FROM p)
+@query(f"""WITH {_IC}, {_NW}, {_PV}, k AS (SELECT *, row_number() OVER (ORDER BY p, signal) - 1 AS i, count(*) OVER () AS m FROM pv)
      SELECT signal, {r('least(1.0, max(p * (m - i)) OVER (ORDER BY p, signal ROWS UNBOUNDED PRECEDING))')} AS p_holm FROM k""")
 def test_holm(spark, sf_dir):
     return inference.holm(_tests(spark, sf_dir), "p").select("signal", rounded("p_holm").alias("p_holm"))
@@ -322,6 +324,7 @@ def _starts(days: DataFrame, salt: int = 0) -> tuple[DataFrame, int]:
 
 def _positions(values: DataFrame, where: str = "true") -> tuple[DataFrame, DataFrame]:
     """All values on the dates on which every signal has one, by position, and those dates."""
+    values = values.persist()  # a row for each date and signal, read by several steps
     days = inference.complete_dates(values.where(where), len(SIGNALS))
     return values.join(days, "date").select("signal", "date", "pos", F.col("ic").alias("value")), days
 
@@ -352,13 +355,11 @@ def _crit(of: str) -> str:
 
 _STEPS = ", ".join(f"rw{k} AS (SELECT signal, t, c FROM (SELECT signal, t, {_crit(f'rw{k - 1}')} AS c FROM rw{k - 1}) WHERE t <= c)" for k in range(1, len(SIGNALS) + 1))
 _RW = f"{_TBOOT}, rw0 AS (SELECT signal, abs(t) AS t FROM nw), {_STEPS}, rw AS (SELECT signal, signal NOT IN (SELECT signal FROM rw{len(SIGNALS)}) AS rejected FROM nw)"
-_TAIL = "-1.26551223 + x * (1.00002368 + x * (0.37409196 + x * (0.09678418 + x * (-0.18628806 + x * (0.27886807 + x * (-1.13520398 + x * (1.48851587 + x * (-0.82215223 + x * 0.17087277))))))))"
-_PV = f"pv AS (SELECT signal, t, x * exp(-z * z + {_TAIL}) AS p FROM (SELECT signal, t, z, 1 / (1 + z / 2) AS x FROM (SELECT signal, t, abs(t) / sqrt(2.0) AS z FROM nw)))"
 
 
 def _null(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The signals' HAC t, and that of every draw under the null."""
-    values = ic(spark, sf_dir)
+    values = ic(spark, sf_dir).persist()
     series, days = _positions(values)
     starts, n = _starts(days)
     return inference.newey_west(values, "ic", LAG), inference.bootstrap_t(series, starts, BLOCK, n, LAG)

@@ -120,7 +120,7 @@ def test_sweep_replays_one_stream_under_every_cell(spark, rows):
     got = {r.cell: r for r in runlog.sweep(df, spark.createDataFrame(cells, "cell string, max_corr double, max_shared int"), "validation", 4, 5).collect()}
     assert len(got) == 9 and len({(r.archive_size, r.validation) for r in got.values()}) > 2
     for cell, corr, shared in cells:
-        gate = lambda key, members, corr=corr, shared=shared: any(y in members and (c > corr or s >= shared) for y, c, s in of[key])
+        gate = lambda key, members, corr=corr, shared=shared: any(y in members and (c >= corr or s >= shared) for y, c, s in of[key])
         _, held = fold(one, 4, gate)
         assert (got[cell].archive_size, got[cell].niches_filled) == (len(held), len({n for n, _, _ in held.values()}))
         at = {(r[2], r[1]): (r[6], r[7]) for r in one}
