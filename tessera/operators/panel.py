@@ -231,3 +231,18 @@ def quarter_samples(df: DataFrame, key: str, date: str = "date") -> DataFrame:
         )
     )
     return rows.withColumn("sample", F.explode(mark)).drop("__i", "__n")
+
+
+def members_of(members: DataFrame, begin: str, end: str | None = None, remap: DataFrame | None = None, date: str = "date", key: str = "symbol") -> DataFrame:
+    """The distinct active members of a date or a range of dates.
+
+    A file of members without dates counts for any date; only there are old names
+    turned into new ones, by ``remap`` (old, new).
+    """
+    active = members.where("active") if "active" in members.columns else members
+    if date in members.columns:
+        return active.where(F.col(date).between(F.lit(begin).cast("date"), F.lit(end or begin).cast("date"))).select(key).distinct()
+    if remap is None:
+        return active.select(key).distinct()
+    names = remap.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    return active.join(names, F.col(key) == F.col("__old"), "left").select(F.coalesce("__new", key).alias(key)).distinct()

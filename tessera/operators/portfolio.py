@@ -313,3 +313,12 @@ def gates(stats: dict[str, float], limits: dict[str, tuple[str, float]]) -> dict
         v = stats.get(name)
         passed[name] = v is not None and (v >= limit if side == ">=" else v <= limit)
     return passed
+
+
+def signals_asof(weights: DataFrame, day: str, date: str = "date") -> tuple[DataFrame, DataFrame]:
+    """The snapshot of weights that holds on a day (the last one up to it), and the one before that."""
+    past = weights.where(F.col(date) <= F.lit(day).cast("date"))
+    order = F.dense_rank().over(Window.orderBy(F.desc(date)))
+    last = past.select(date).distinct().withColumn("__k", order).where("__k <= 2")  # the calendar of snapshots
+    told = past.join(F.broadcast(last), date)
+    return told.where("__k = 1").drop("__k"), told.where("__k = 2").drop("__k")

@@ -72,6 +72,44 @@ def report(checks: dict[str, DataFrame], lenient: tuple[str, ...] = ()) -> DataF
     return out.withColumn("ok", (F.col("violations") == 0) | F.col("check").isin(*lenient))
 
 
+def panel_summary(bars: DataFrame, members: DataFrame, key: str = "permno", symbol: str = "symbol", date: str = "date") -> DataFrame:
+    """(metric, value) of a panel and its memberships as text: eleven metrics, the rows of a report.
+
+    Two passes over the bars: one for totals, one for names by date; members are
+    those that are ``active``, where that column is there.
+    """
+    active = (members.where("active") if "active" in members.columns else members).select(date, key).distinct()
+    daily = lambda df: df.groupBy(date).agg(F.countDistinct(key).alias("n")).agg(F.round(F.avg("n"), 1).alias("mean"))
+    whole = bars.agg(
+        F.count("*").alias("panel_rows"), F.countDistinct(key).alias("panel_permnos"), F.countDistinct(symbol).alias("panel_ticker_symbols"), F.countDistinct(date).alias("panel_trading_days"),
+        F.min(date).alias("panel_first_date"), F.max(date).alias("panel_last_date"), F.count_if(F.col("adj_close") != F.col("close")).alias("rows_with_split_adjustment"),
+    )
+    inside = bars.join(active, [date, key], "left_semi").agg(F.count("*").alias("member_filtered_rows"), F.countDistinct(key).alias("member_filtered_permnos"))
+    row = whole.join(inside, F.lit(True)).join(daily(bars).withColumnRenamed("mean", "panel_mean_names_per_date"), F.lit(True))
+    row = row.join(daily(active).withColumnRenamed("mean", "member_mean_names_per_date"), F.lit(True))  # each is one row
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in row.columns])).alias("m")).select("m.*")
+
+
+def coverage_summary(members: DataFrame, bars: DataFrame, key: str = "permno", date: str = "date", sample: int = 50) -> DataFrame:
+    """One row: how many member days have a bar, by day at least, in the middle and at most, and what is known of former members."""
+    days = coverage_report(members.select(date, key).distinct(), bars, [date, key], date)
+    a = days.agg(
+        F.sum("members").alias("member_days_total"), F.sum("with_bar").alias("member_days_covered"), F.try_divide(F.sum("with_bar"), F.sum("members")).alias("coverage_pct"),
+        F.min("ratio").alias("daily_min"), F.percentile("ratio", F.lit(0.5)).alias("daily_median"), F.max("ratio").alias("daily_max"), F.min(date).alias("date_min"), F.max(date).alias("date_max"),
+    )
+    last = members.agg(F.max(date).alias("__last"))
+    former = members.join(F.broadcast(last), F.lit(True)).groupBy(key).agg(F.max(F.col(date) == F.col("__last")).alias("now")).where("not now").select(key)  # last is one row
+    known = former.join(bars.select(key).distinct().withColumn("__bar", F.lit(True)), key, "left")
+    first = known.where("__bar").select(key).orderBy(key).limit(sample).agg(F.array_sort(F.collect_list(key)).alias("former_sample"))  # a sample is part of the report
+    told = known.agg(F.count("*").alias("former_members"), F.count("__bar").alias("former_with_bars"))
+    return a.join(told, F.lit(True)).join(first, F.lit(True))
+
+
+def count_violations(members: DataFrame, least: int, most: int, key: str = "permno", date: str = "date") -> DataFrame:
+    """(date, n): the dates whose number of distinct members isn't within bounds."""
+    return members.groupBy(date).agg(F.countDistinct(key).alias("n")).where((F.col("n") < least) | (F.col("n") > most))
+
+
 #: Checks whose failure halts a lenient run, whatever their severity.
 HALTING = ("freshness", "completeness")
 

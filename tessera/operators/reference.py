@@ -120,3 +120,31 @@ def best_of_group(df: DataFrame, group: str, value: str, name: str) -> DataFrame
     """For each group the largest |value| and whose it is (smallest name on a tie)."""
     order = Window.partitionBy(group).orderBy(F.abs(value).desc(), name)
     return df.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(group, name, value)
+
+
+def set_summary(tests: DataFrame, group: str, t: str = "t", fit: str = "fit_ic", later: str = "hold_ic") -> DataFrame:
+    """For each set of factors its size, the largest |t|, the median retention and the share whose later mean keeps the sign.
+
+    Retention is the later mean over the fitted one; factors without either count for neither.
+    """
+    both = F.col(fit).isNotNull() & F.col(later).isNotNull() & (F.col(fit) != 0)
+    kept = F.when(both, F.col(later) / F.when(F.col(fit) != 0, F.col(fit)))
+    return tests.groupBy(group).agg(
+        F.count("*").alias("n"), F.max(F.abs(t)).alias("best_t"), F.percentile(kept, F.lit(0.5)).alias("median_retention"), F.avg((kept > 0).cast("double")).alias("sign_held")
+    )
+
+
+def trace_summary(trace: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, verdict, n) of a trace of hypotheses, and a row ``distinct_expressions`` for what was ever tried.
+
+    Every expression ever proposed counts once there, whatever became of it: that
+    is the denominator of a multiple test.
+    """
+    verdicts = trace.groupBy(*by, "verdict").agg(F.count("*").alias("n"))
+    tried = trace.groupBy(*by).agg(F.countDistinct("expression_id").alias("n")).withColumn("verdict", F.lit("distinct_expressions"))
+    return verdicts.unionByName(tried)
+
+
+def unseen(proposals: DataFrame, trace: DataFrame, column: str = "expression_id") -> DataFrame:
+    """The proposals that no run has tried, each once."""
+    return proposals.dropDuplicates([column]).join(trace.select(column).distinct(), column, "left_anti")

@@ -197,6 +197,20 @@ def refusals(rejected: DataFrame, rounds: DataFrame, by: tuple[str, ...] = ("run
     return gates.unionByName(full.groupBy(*by, "gate").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("archive")))
 
 
+def top(members: DataFrame, most: int, seeds: bool = True, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """The fittest members of each run, of equals the one admitted first."""
+    order = Window.partitionBy(*by).orderBy(F.desc("fitness"), "admitted_at")
+    rows = members if seeds else members.where(~F.col("operator").eqNullSafe(SEED))
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def selection_weights(members: DataFrame, current: int, sparse: int = 3, stale: int = 3, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """``members`` with ``weight``: twice in a niche of fewer than ``sparse`` members, half if older than ``stale`` rounds."""
+    few = F.count("*").over(Window.partitionBy(*by, "niche")) < sparse
+    old = F.lit(current) - F.col("round") > stale
+    return members.withColumn("weight", F.when(few, 2.0).otherwise(1.0) * F.when(old, 0.5).otherwise(1.0))
+
+
 def top_mean(members: DataFrame, value: str, most: int = 20, by: tuple[str, ...] = ("run",)) -> DataFrame:
     """Mean of ``value`` over the fittest members (seeds aside) that have a finite one."""
     order = Window.partitionBy(*by).orderBy(F.desc("fitness"), "admitted_at")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rounded
-from tessera.operators import gates, gram, inference, panel, scoring
+from tessera.operators import candidates, gates, gram, inference, panel, runlog, scoring
 from tessera.plans.compile import evaluate, to_sql
+from tessera.plans.formula import complexity, data_family, parse
 from tessera.queries.base import GRID, grid, query, r
 
 SIGNALS = {
@@ -498,3 +499,94 @@ def select_fold_factors(spark, sf_dir):
     first, last = values.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
     years = spark.range(first or 0, (last or -1) + 1).select(F.col("id").alias("fold"), F.make_date("id", F.lit(1), F.lit(1)).alias("b"), F.make_date("id", F.lit(12), F.lit(31)).alias("e"))
     return gates.fold_factors(values, years).select("fold", "signal", rounded("mean_ic").alias("mean_ic"), "place")
+
+
+def _candidates_sql() -> str:
+    """All metrics of the pool from its correlations at every horizon."""
+    rest = _curve_sql()[len(_long()) :]
+    shapes = ", ".join(f"('{s}', {int(c['fields'])}, {int(c['constants'])}, '{data_family(parse(t))}')" for s, t in SIGNALS.items() for c in [complexity(parse(t))])
+    return f"""{_WEIGHTS}{rest}, ic AS (SELECT * FROM ic1), {_boot()}, means AS (SELECT signal, draw, avg(value) AS mean FROM vals JOIN slots ON slots.pos = vals.pos GROUP BY signal, draw),
+        ers AS (SELECT signal, stddev_samp(mean) AS se FROM means GROUP BY signal), tm AS (SELECT date, signal, abs(w - lag(w) OVER (PARTITION BY signal, key ORDER BY date)) AS d FROM ww),
+        td AS (SELECT date, signal, sum(d) AS d FROM tm GROUP BY date, signal), tv AS (SELECT signal, avg(d) / 2 AS turnover FROM td WHERE d IS NOT NULL GROUP BY signal),
+        cd AS (SELECT date, signal, count(*) FILTER (WHERE fwd_1 IS NOT NULL AND value IS NOT NULL) AS hit, count(*) FILTER (WHERE fwd_1 IS NOT NULL) AS every FROM long GROUP BY date, signal),
+        cv AS (SELECT signal, avg(CAST(hit AS DOUBLE) / every) AS coverage FROM cd WHERE every > 0 GROUP BY signal),
+        hs AS (SELECT signal, horizon, mean_ic / first_value(mean_ic) OVER (PARTITION BY signal ORDER BY horizon) AS s FROM curve),
+        hn AS (SELECT *, lead(horizon) OVER (PARTITION BY signal ORDER BY horizon) AS nh, lead(s) OVER (PARTITION BY signal ORDER BY horizon) AS ns FROM hs),
+        hl AS (SELECT signal, min(CASE WHEN s > 0.5 AND ns <= 0.5 THEN horizon + (s - 0.5) / (s - ns) * (nh - horizon) END) AS half_life FROM hn GROUP BY signal),
+        mn AS (SELECT signal, avg(ic) AS m, stddev_samp(ic) AS sd, CASE WHEN avg(ic) >= 0 THEN 1 ELSE -1 END AS sign FROM ic GROUP BY signal),
+        yy AS (SELECT signal, year(date) AS year, avg(ic) AS y FROM ic GROUP BY signal, year(date)), nyr AS (SELECT count(DISTINCT year(date)) AS years FROM grid),
+        st AS (SELECT mn.signal, greatest(0.5, count(*) FILTER (WHERE y * sign > 0) / CAST(any_value(years) AS DOUBLE)) AS stability FROM yy JOIN mn ON mn.signal = yy.signal CROSS JOIN nyr GROUP BY mn.signal),
+        shp(signal, fields, constants, family) AS (VALUES {shapes}),
+        cm AS (SELECT mn.signal, sign, m * sign AS mean_ic, se, m * sign / se AS t, m * sign / sd AS icir, coverage, turnover, half_life, stability, family,
+               0.1 * (greatest(0, fields - 3) + greatest(0, constants - 1)) AS cp, 0.00005 * turnover / se AS tp FROM mn JOIN ers USING (signal) JOIN tv USING (signal) JOIN cv USING (signal) JOIN hl USING (signal) JOIN st USING (signal) JOIN shp USING (signal))"""
+
+
+@query(f"""WITH {_candidates_sql()} SELECT signal, sign, {r('mean_ic')} AS mean_ic, {r('se')} AS ic_se, {r('t', 5)} AS tstat, {r('icir', 5)} AS icir, {r('coverage')} AS coverage, {r('turnover')} AS turnover, {r('half_life', 4)} AS half_life,
+     {r('stability')} AS stability, {r('abs(t) * stability - cp - tp', 5)} AS fitness, CASE WHEN half_life < 5 THEN 'fast' WHEN half_life <= 21 THEN 'medium' ELSE 'slow' END AS horizon_bucket, family AS data_family,
+     CASE WHEN turnover <= 0.3 THEN 'low' ELSE 'high' END AS turnover_bucket FROM cm""")
+def score_candidates(spark, sf_dir):
+    """All that fitness and niches need of each signal, in one table."""
+    out = _candidates(spark, sf_dir)
+    digits = {"mean_ic": 6, "ic_se": 6, "tstat": 5, "icir": 5, "coverage": 6, "turnover": 6, "half_life": 4, "stability": 6, "fitness": 5}
+    return out.select("signal", "sign", *[rounded(c, d).alias(c) for c, d in digits.items()], "horizon_bucket", "data_family", "turnover_bucket")
+
+
+def _candidates(spark, sf_dir):
+    wide = panel_values(spark, sf_dir)
+    horizons = [f"fwd_{h}" for h in HORIZONS]
+    daily = gram.rank_ic(wide, list(SIGNALS), horizons, MINIMUM).withColumn("horizon", F.regexp_extract("label", r"(\d+)$", 1).cast("int")).persist()  # a row for each date, signal and horizon
+    series, days = _positions(daily.where("horizon = 1").select("date", "signal", "ic"))
+    starts, n = _starts(days)
+    errors = inference.bootstrap_errors(inference.bootstrap_means(series, starts, BLOCK, n))
+    long = scoring.melt(wide, SIGNALS, ("date", "key", "fwd_1")).withColumn("available", F.col("fwd_1").isNotNull())
+    coverage = scoring.universe_coverage(long, "available").withColumnRenamed("universe_coverage", "coverage")
+    years = grid(spark, sf_dir).select(F.year("date").alias("year")).distinct()
+    return candidates.metrics(daily, errors, scoring.turnover(long), coverage, candidates.forms(spark, SIGNALS), years, 0.3)
+
+
+@query(f"""WITH {_candidates_sql()}, {_PAIRS[len(_long()) + 2 :]}, pm AS (SELECT a, b, abs(avg(c)) AS c FROM pd WHERE n >= {MINIMUM} AND c IS NOT NULL GROUP BY a, b),
+     cl AS (SELECT s AS signal, max(c) AS c FROM (SELECT a AS s, c FROM pm WHERE b IN ({', '.join(f"'{s}'" for s in _MEMBERS)}) UNION ALL SELECT b, c FROM pm WHERE a IN ({', '.join(f"'{s}'" for s in _MEMBERS)})) GROUP BY s), {_NW}
+     SELECT cm.signal, CASE WHEN coverage < 0.9 THEN 'coverage' WHEN cl.c >= 0.3 THEN 'correlation' WHEN CASE WHEN n < 24 THEN 0 ELSE coalesce(abs(nw.t), 0) END < 0.5 THEN 'cheap_screen' END AS gate
+     FROM cm LEFT JOIN cl ON cl.signal = cm.signal JOIN nw ON nw.signal = cm.signal""")
+def select_gates(spark, sf_dir):
+    """The first gate that refuses each signal, held against the members of an archive."""
+    wide = panel_values(spark, sf_dir)
+    long = scoring.melt(wide, SIGNALS, ("date", "key", "fwd_1")).withColumn("available", F.col("fwd_1").isNotNull())
+    coverage = scoring.universe_coverage(long, "available").withColumnRenamed("universe_coverage", "coverage")
+    closest = gram.correlation_gate(gram.rank_correlations(wide, list(SIGNALS), _MEMBERS, MINIMUM))
+    screen = scoring.cheap_screen(inference.newey_west(ic(spark, sf_dir), "ic", LAG), 24)
+    return candidates.gates(coverage, closest, screen, 0.9, 0.3, 0.5)
+
+
+def _sweep_inputs(spark, sf_dir):
+    """The pool's formulas as a stream of scored candidates: each is evaluated once, for all cells."""
+    from tessera.plans.formula import largest_shared
+    from tessera.queries.formulas import POOL_NAMES
+
+    names = list(POOL_NAMES)
+    wide = evaluate(panel.forward_returns(grid(spark, sf_dir), [1], False), POOL_NAMES, keep=["fwd_1"]).persist()  # one evaluation serves both passes
+    daily = gram.rank_ic(wide, names, ["fwd_1"], MINIMUM).select("date", "signal", "ic").persist()
+    cut = F.lit("1999-06-30").cast("date")
+    fit = inference.newey_west(daily.where(F.col("date") <= cut), "ic", LAG)
+    later = daily.where(F.col("date") > cut).groupBy("signal").agg(F.avg("ic").alias("later"))
+    pairs = gram.rank_correlations(wide, names, minimum=MINIMUM).select("a", "b", F.abs("corr").alias("corr"))
+    trees = {n: parse(t) for n, t in POOL_NAMES.items()}
+    shared = spark.createDataFrame([(a, b, largest_shared(trees[a], trees[b])) for a in names for b in names if a < b], "a string, b string, shared int")  # texts of a published set
+    near = pairs.join(shared, ["a", "b"], "full_outer").na.fill({"corr": 0.0, "shared": 0})
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr", "shared"))
+    conflicts = both.groupBy(F.col("a").alias("signal")).agg(F.collect_list(F.struct(F.col("b").alias("id"), "corr", "shared")).alias("conflicts"))
+    forms = candidates.forms(spark, POOL_NAMES)
+    rows = fit.join(later, "signal", "left").join(conflicts, "signal").join(forms, "signal")
+    return rows.select(
+        F.col("signal").alias("id"), F.concat_ws("/", "data_family", F.when(F.col("depth") > 2, "deep").otherwise("flat")).alias("niche"), F.abs("t_nw").alias("fitness"), F.expr("int(substr(signal, 2))").alias("seq"),
+        F.lit(1).alias("round"), F.lit("pool").alias("operator"), (F.col("later") * F.signum("mean")).alias("validation"), "conflicts",
+    )
+
+
+@query()
+def search_sweep(spark, sf_dir):
+    """Nine pairs of thresholds replay one stream of scored formulas; tests hold the replay against a plain one."""
+    grid_ = [(f"{c}/{s}", c, s) for c in (0.6, 0.7, 0.8) for s in (4, 5, 6)]
+    cells = spark.createDataFrame(grid_, "cell string, max_corr double, max_shared int")
+    out = runlog.sweep(_sweep_inputs(spark, sf_dir), cells, "validation", 3, 10)
+    return out.select("cell", "max_corr", "max_shared", "archive_size", "niches_filled", rounded("validation").alias("validation"))

@@ -202,16 +202,54 @@ def tournament(pool: list[Candidate], archive: Archive, rng: random.Random, roun
     return max(rng.choices(pool, weights, k=min(rounds, len(pool))), key=lambda c: (c.fitness, -c.order))
 
 
+@dataclass
+class Replayed:
+    """A score function that remembers, so that a run can be taken up again from its log.
+
+    ``log`` holds JSON lines (expression, fitness, metrics; a fitness of null is a
+    formula that could not be scored, which is kept too).  Proposals depend on the
+    seed and on what was admitted only: a run that is started again with the log of
+    a broken one proposes the same, finds the scores there, and goes on where it
+    ended; only new formulas are scored, and ``write`` is given their lines.
+    """
+
+    score: Callable[[list[str]], dict[str, tuple[float, dict[str, float]]]]
+    log: list[str] = field(default_factory=list)
+    write: Callable[[list[str]], None] | None = None
+    evaluated: int = 0
+
+    def __post_init__(self) -> None:
+        self.known = {r["expression"]: r for r in map(json.loads, self.log)}
+
+    def __call__(self, texts: list[str]) -> dict[str, tuple[float, dict[str, float]]]:
+        if fresh := [t for t in texts if t not in self.known]:
+            made = self.score(fresh)
+            self.evaluated += len(fresh)
+            rows = [{"expression": t, "fitness": made[t][0] if t in made else None, "metrics": made[t][1] if t in made else {}} for t in fresh]
+            lines = [json.dumps(r, sort_keys=True) for r in rows]
+            if self.write:
+                self.write(lines)  # before they count: what is lost after this is known to the next run
+            self.log = [*self.log, *lines]
+            self.known |= {r["expression"]: r for r in rows}
+        return {t: (self.known[t]["fitness"], self.known[t]["metrics"]) for t in texts if self.known[t]["fitness"] is not None}
+
+
+def fuses(child: Node, parents: list[Node], least: int = 3) -> bool:
+    """Whether a crossing shares a subtree of ``least`` nodes or more with each parent."""
+    return all(largest_shared(child, p) >= least for p in parents)
+
+
 def text_gates(node: Node, archive: Archive, published: list[Node], largest: int = 60, shared: int = 5) -> str | None:
     """The first gate that refuses a formula by its text, cheapest first."""
     c = complexity(node)
     if size(node) > largest or c["depth"] > 8:
         return "complexity"
+    banned = set(archive.banned())
     if tree_hash(node) in archive.seen:
         return "duplicate"
     if any(largest_shared(node, p) >= shared for p in published):
         return "published"
-    if any(k in set(archive.banned()) for k in subtree_sizes(node)):
+    if any(k in banned for k in subtree_sizes(node)):
         return "archive"
     return None
 

@@ -257,3 +257,48 @@ def read_jdbc(
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, writers: int = 8, mode: str = "overwrite") -> None:
     """Write a table with at most ``writers`` connections at once."""
     df.coalesce(writers).write.format("jdbc").options(url=url, dbtable=table, **(properties or {})).mode(mode).save()
+
+
+def save_table(df: DataFrame, path: str) -> str:
+    """Write parquet, or CSV beside it where parquet can't hold the table; the path that was written.
+
+    Parquet refuses column types that it doesn't know (intervals, for one), and
+    names that differ in case only; CSV takes their text.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        df.write.mode("overwrite").parquet(path)
+    except AnalysisException:
+        path = re.sub(r"(\.parquet)?$", ".csv", path, count=1)
+        plain = [F.col(f"`{c}`").cast("string") if k not in ("string", "double", "bigint", "int", "boolean", "date", "timestamp") else F.col(f"`{c}`") for c, k in df.dtypes]
+        df.select(*plain).write.mode("overwrite").csv(path, header=True)
+    return path
+
+
+def save_report(df: DataFrame, path: str, kind: str = "csv", order: Iterable[str] = ()) -> None:
+    """A report as CSV, JSON lines or a YAML list of mappings, one file in the order given."""
+    rows = df.orderBy(*order).coalesce(1) if (order := list(order)) else df.coalesce(1)  # a report is short
+    if kind == "csv":
+        rows.write.mode("overwrite").csv(path, header=True)
+    elif kind == "json":
+        rows.write.mode("overwrite").json(path)
+    elif kind == "yaml":
+        told = lambda c: F.coalesce(F.get_json_object(F.to_json(F.struct(F.col(c).alias("v"))), "$.v"), F.lit("null"))
+        quoted = {c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'"))) for c, k in df.dtypes if k == "string"}
+        lines = [F.concat(F.lit(("- " if i == 0 else "  ") + c + ": "), quoted.get(c, told(c))) for i, c in enumerate(df.columns)]
+        rows.select(F.concat_ws("\n", *lines)).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"no such kind of report: {kind}")
+
+
+def formula_sets(spark: SparkSession, sources: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """(set, group, path, expression) of files of formulas; an expression belongs to the first source that has it."""
+    out = None
+    for place, (name, group, path) in enumerate(sources):
+        part = read_formulas(spark, path).select(F.lit(place).alias("__place"), F.lit(name).alias("set"), F.lit(group).alias("group"), F.lit(path).alias("path"), "expression")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no sources")
+    first = out.groupBy("expression").agg(F.min_by(F.struct("set", "group", "path"), "__place").alias("s"))
+    return first.select("s.set", "s.group", "s.path", "expression")
