@@ -11,7 +11,7 @@ from tessera.plans.compile import evaluate
 from tessera.plans.formula import canonical, normalised_distance, parse, size, subtree_sizes
 from tessera.queries.base import BARS, bars, grid, query, r, read
 from tessera.queries.formulas import POOL
-from tessera.queries.scores import LAG, MINIMUM
+from tessera.queries.scores import LAG, MINIMUM, _curve, _curve_sql
 from tessera.search.evolve import Search, fitness, sample, round_rng
 from tessera.sources import tables
 from tessera.sources.scratch import scratch
@@ -47,7 +47,11 @@ def stream_first_only(spark, sf_dir):
     return streams.drain(stream, scratch(spark, "first"), "append").select("user_id", "event_type")
 
 
-@query()
+@query("""WITH e AS (SELECT CAST(user_id % 10 AS VARCHAR) AS account, ts, 1000.0 + value AS equity, event_id FROM events),
+     m AS (SELECT *, max(equity) OVER (PARTITION BY account ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak, CAST(ts AS DATE) AS day FROM e),
+     d AS (SELECT account, day, last(equity ORDER BY ts) AS last FROM m GROUP BY account, day), c AS (SELECT account, day, lag(last) OVER (PARTITION BY account ORDER BY day) AS close FROM d),
+     k AS (SELECT m.account, ts, equity / peak - 1 AS drawdown, coalesce(equity / close - 1, 0) AS day_loss FROM m JOIN c ON c.account = m.account AND c.day = m.day)
+     SELECT account, ts, CASE WHEN drawdown <= -0.05 THEN 'drawdown' ELSE 'daily loss' END AS reason, drawdown, day_loss FROM k WHERE drawdown <= -0.05 OR day_loss <= -0.04""")
 def stream_monitor(spark, sf_dir):
     """Stateful kill switch over equity marks; tests hold it against a plain loop."""
     marks = _events(spark, sf_dir).select((F.col("user_id") % 10).cast("string").alias("account"), "ts", (F.lit(1000.0) + F.col("value")).alias("equity"))
@@ -78,11 +82,9 @@ def source_jsonl_append(spark, sf_dir):
     return tables.load_table(spark, path, region.schema)
 
 
-@query()
+@query(f"WITH {_curve_sql()} SELECT signal, {r('mean_ic')} AS mean_ic, n_days FROM curve WHERE horizon = 3")
 def source_ic_directory(spark, sf_dir):
     """Correlations saved by kind and horizon; one folder read back."""
-    from tessera.queries.scores import _curve
-
     path = scratch(spark, "ic")
     tables.save_ic(_curve(spark, sf_dir).withColumn("kind", F.lit("cumulative")), path)
     return tables.load_ic(spark, path, "cumulative", 3).select("signal", rounded("mean_ic").alias("mean_ic"), "n_days")

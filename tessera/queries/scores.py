@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rounded
-from tessera.operators import candidates, gates, gram, inference, panel, runlog, scoring
+from tessera.operators import arms, candidates, gates, gram, inference, panel, runlog, scoring
 from tessera.plans.compile import evaluate, to_sql
 from tessera.plans.formula import complexity, data_family, parse
 from tessera.queries.base import GRID, grid, query, r
@@ -480,15 +480,81 @@ def score_strided_ranks(spark, sf_dir):
     return out.select("date", "key", "signal", rounded("rank").alias("rank"))
 
 
-@query()
+_GREEDY = f"""{_PAIRS}, {_ic()}, ts AS (SELECT signal, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS t FROM ic GROUP BY signal),
+     ap AS (SELECT signal, key, value, lag(value) OVER (PARTITION BY signal, key ORDER BY date) AS past FROM long),
+     ac AS (SELECT signal, avg(c) AS autocorr FROM (SELECT signal, key, {_corr('value', 'past')} AS c FROM ap WHERE value IS NOT NULL AND past IS NOT NULL GROUP BY signal, key) GROUP BY signal),
+     pm AS (SELECT a, b FROM pd WHERE n >= {MINIMUM} AND c IS NOT NULL GROUP BY a, b HAVING abs(avg(c)) > 0.7),
+     nr AS (SELECT s, list(o) AS near FROM (SELECT a AS s, b AS o FROM pm UNION ALL SELECT b, a FROM pm) GROUP BY s),
+     od AS (SELECT ts.signal, t, coalesce(near, []) AS near, row_number() OVER (ORDER BY abs(t) DESC, ts.signal) AS k FROM ts JOIN ac ON ac.signal = ts.signal LEFT JOIN nr ON s = ts.signal WHERE abs(t) >= 0.1 AND coalesce(autocorr, 0) >= -1),
+     gr(k, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL
+                      SELECT od.k, CASE WHEN len(taken) < 10 AND len(list_intersect(taken, near)) = 0 THEN list_append(taken, signal) ELSE taken END FROM gr JOIN od ON od.k = gr.k + 1),
+     tk AS (SELECT taken FROM gr ORDER BY k DESC LIMIT 1)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT signal, CASE WHEN t >= 0 THEN 1 ELSE -1 END AS sign, CAST(list_position(taken, signal) AS INTEGER) AS place FROM od, tk WHERE list_contains(taken, signal)")
 def select_greedy(spark, sf_dir):
     """At most ten strong signals that are little correlated with each other."""
-    stats = scoring.ic_summary(ic(spark, sf_dir)).join(scoring.autocorrelation(long_values(spark, sf_dir)), "signal")
-    pairs = scoring.signal_correlation(long_values(spark, sf_dir), MINIMUM)
-    taken = scoring.greedy_uncorrelated(
-        [x.asDict() for x in stats.collect()], {(x.a, x.b): x.corr for x in pairs.collect()}, least_t=0.1, least_autocorr=-1.0
-    )  # one row for each signal and pair
-    return spark.createDataFrame([(s["signal"], s["sign"], i + 1) for i, s in enumerate(taken)], "signal string, sign int, place int")
+    wide = panel_values(spark, sf_dir)
+    stats = scoring.ic_summary(ic(spark, sf_dir)).join(scoring.autocorrelation(scoring.melt(wide, SIGNALS)), "signal")
+    return arms.select_uncorrelated(stats, gram.rank_correlations(wide, list(SIGNALS), minimum=MINIMUM), 10, 0.7, 0.1, -1.0)
+
+
+_ARMS = {"price": ["momentum", "reversal"], "volume": ["volume_surge"], "range": ["range", "drawup"]}
+
+
+def _arms_sql() -> str:
+    """Daily ICs of each arm's signals, equally weighted as centred ranks, on dates that all arms have."""
+    of = " UNION ALL ".join(f"SELECT '{a}' AS arm, '{s}' AS signal" for a, names in _ARMS.items() for s in names)
+    rank = lambda x: f"(rank() OVER (PARTITION BY arm, date ORDER BY {x}) + (count(*) OVER (PARTITION BY arm, date, {x}) - 1) / 2.0)"
+    return f"""{_WEIGHTS}, arm_of AS ({of}), cb AS (SELECT arm, date, key, round(sum(coalesce(c, 0)), 9) AS v FROM wc JOIN arm_of ON arm_of.signal = wc.signal GROUP BY arm, date, key HAVING count(c) > 0),
+        lb AS (SELECT DISTINCT date, key, fwd_1 FROM long WHERE fwd_1 IS NOT NULL), bt AS (SELECT arm, date, v, fwd_1 AS y FROM cb JOIN lb USING (date, key)),
+        rk AS (SELECT arm, date, {rank('v')} AS x, {rank('y')} AS y FROM bt), ci AS (SELECT arm, date, {_corr('x', 'y')} AS value, count(*) AS n FROM rk GROUP BY arm, date),
+        ic AS (SELECT arm AS signal, date, value AS ic FROM ci WHERE value IS NOT NULL AND n >= {MINIMUM})"""
+
+
+@query(f"""WITH {_arms_sql()}, {_boot().replace(f"HAVING count(*) = {len(SIGNALS)}", f"HAVING count(*) = {len(_ARMS)}")},
+     df AS (SELECT a.signal AS arm, a.pos, a.value - b.value AS d FROM vals a JOIN vals b ON b.pos = a.pos AND b.signal = 'price' AND a.signal <> 'price'), sn AS (SELECT arm, avg(d) AS observed, count(*) AS days FROM df GROUP BY arm),
+     dm AS (SELECT arm, draw, avg(d) AS mean FROM df JOIN slots ON slots.pos = df.pos GROUP BY arm, draw), dc AS (SELECT *, abs(mean - avg(mean) OVER (PARTITION BY arm)) AS c FROM dm),
+     iv AS (SELECT dc.arm, any_value(observed) AS observed, any_value(days) AS days, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi, avg(CASE WHEN c >= abs(observed) THEN 1.0 ELSE 0.0 END) AS p FROM dc JOIN sn ON sn.arm = dc.arm GROUP BY dc.arm),
+     hk AS (SELECT *, row_number() OVER (ORDER BY p, arm) - 1 AS i, count(*) OVER () AS m FROM iv)
+     SELECT arm, {r('observed')} AS observed, days, {r('lo')} AS lo, {r('hi')} AS hi, {r('p')} AS p, {r('least(1.0, max(p * (m - i)) OVER (ORDER BY p, arm ROWS UNBOUNDED PRECEDING))')} AS p_holm FROM hk""")
+def test_arms(spark, sf_dir):
+    """Equally weighted arms against the price arm, resampled in the same blocks of dates."""
+    wide = panel_values(spark, sf_dir)
+    mixed = wide.select("date", "key", "fwd_1")
+    for arm, names in _ARMS.items():
+        one = gram.weighted_signal(wide, names, dict.fromkeys(names, 1.0)).withColumn("value", F.round("value", 9))  # sums in another order differ in the last digits
+        mixed = mixed.join(one.withColumnRenamed("value", arm), ["date", "key"], "left")
+    daily = gram.rank_ic(mixed, list(_ARMS), ["fwd_1"], MINIMUM).select("date", "signal", "ic").persist()  # a row for each date and arm
+    days = inference.complete_dates(daily, len(_ARMS))
+    series = daily.join(days, "date").select(F.col("signal").alias("arm"), "pos", F.col("ic").alias("value"))
+    starts, n = _starts(days)
+    out = arms.compare_arms(series, "price", starts, BLOCK, n)
+    return out.select("arm", *[rounded(c).alias(c) for c in ("observed", "lo", "hi", "p", "p_holm")], "days")
+
+
+@query()
+def search_baselines(spark, sf_dir):
+    """The published pool and as many random formulas of its shapes: selection in early dates, retention in later ones."""
+    from tessera.queries.formulas import POOL, POOL_NAMES
+    from tessera.search import sampler
+
+    drawn = [r.expression for r in sampler.sample_set(spark, sampler.profile(POOL), len(POOL), seed=17).orderBy("expression").collect()]  # as many as the pool has
+    every = POOL_NAMES | {f"r{i:02d}": t for i, t in enumerate(drawn)}
+    wide = evaluate(panel.forward_returns(grid(spark, sf_dir), [1], False), every, keep=["fwd_1"]).persist()
+    daily = gram.rank_ic(wide, list(every), ["fwd_1"], MINIMUM).select("date", "signal", "ic").persist()
+    cut = F.lit("1999-06-30").cast("date")
+    fit, later = daily.where(F.col("date") <= cut), daily.where(F.col("date") > cut)
+    group = lambda c: F.when(F.col(c).startswith("f"), "published").otherwise("random")
+    stats = scoring.ic_summary(fit).join(scoring.autocorrelation(scoring.melt(wide.where(F.col("date") <= cut), every)), "signal").withColumn("set", group("signal"))
+    names = spark.createDataFrame([(n,) for n in every], "signal string").withColumn("set", group("signal"))
+    tests = names.join(stats.select("signal", F.col("t_ic").alias("t")), "signal", "left")
+    taken = arms.select_uncorrelated(stats, gram.rank_correlations(wide, list(every), minimum=MINIMUM), 10, 0.7, 0.5, 0.0, ("set",))
+    means = fit.groupBy("signal").agg(F.avg("ic").alias("fit_ic")).join(later.groupBy("signal").agg(F.avg("ic").alias("hold_ic")), "signal", "left")
+    closest = gram.correlation_gate(gram.rank_correlations(wide, list(every), list(POOL_NAMES), MINIMUM))
+    out = arms.compare_sets(tests, taken, means, closest)
+    digits = {"best_t": 5, "null_best_t": 4, "median_retention": 4, "sign_held": 4, "share_known": 4}
+    return out.select("set", "candidates", "scorable", "selected", *[rounded(c, d).alias(c) for c, d in digits.items()])
 
 
 @query(f"""WITH {_IC}, mi AS (SELECT year(date) AS fold, signal, avg(ic) AS m FROM ic GROUP BY year(date), signal), rk AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY abs(m) DESC, signal) AS place FROM mi)

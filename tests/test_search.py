@@ -99,3 +99,34 @@ def test_metrics_of_candidates_match_plain_ones(spark):
     pairs = [("a", 5, 0.02, 6, 0.02), ("b", 6, 0.02, 6, 0.01), ("c", 3, 0.01, 6, -0.02), ("d", 3, -0.016, 6, 0.02), ("e", 3, 0.0, 6, 0.0)]
     told = {r.signal: r.gate for r in candidates.simplified(small(pairs, "signal string, cost int, mean_ic double, parent_cost int, parent_ic double")).collect()}
     assert told == {"a": None, "b": "simplify_not_simpler", "c": "simplify_lost_too_much_ic", "d": None, "e": None}
+
+
+def test_greedy_selection_matches_the_plain_one(spark):
+    from tessera.operators import arms, scoring
+
+    rng = random.Random(4)
+    names = [f"s{i:02d}" for i in range(40)]
+    scores = [{"signal": s, "set": "xy"[i % 2], "t_ic": rng.choice([None, rng.uniform(-5, 5), 3.0]), "autocorr": rng.choice([None, rng.uniform(0, 0.8)])} for i, s in enumerate(names)]
+    pairs = {(a, b): rng.uniform(-1, 1) for a in names for b in names if a < b and rng.random() < 0.7}
+    df = spark.createDataFrame([(x["signal"], x["set"], x["t_ic"], x["autocorr"]) for x in scores], "signal string, set string, t_ic double, autocorr double").repartition(3)
+    pf = spark.createDataFrame([(*k, v) for k, v in pairs.items()], "a string, b string, corr double")
+    for most, limit in ((10, 0.7), (3, 0.2)):
+        got = {(r.set, r.place): (r.signal, r.sign) for r in arms.select_uncorrelated(df, pf, most, limit, by=("set",)).collect()}
+        expected = {}
+        for name in "xy":
+            for i, x in enumerate(scoring.greedy_uncorrelated([s for s in scores if s["set"] == name], pairs, most, limit)):
+                expected[name, i + 1] = (x["signal"], x["sign"])
+        assert got == expected and len(got) > 2
+    taken = arms.select_uncorrelated(df, pf, by=("set",))
+    hold = spark.createDataFrame([(s, 0.02, 0.01 * (i % 3 - 1)) for i, s in enumerate(names)], "signal string, fit_ic double, hold_ic double")
+    closest = spark.createDataFrame([(s, 0.95 if i % 4 == 0 else 0.1) for i, s in enumerate(names)], "a string, corr double")
+    out = {r.set: r for r in arms.compare_sets(df.select("set", "signal", F.col("t_ic").alias("t")), taken, hold, closest).collect()}
+    for i, name in enumerate("xy"):
+        mine = [x for x in scores if x["set"] == name]
+        known = [x["t_ic"] for x in mine if x["t_ic"] is not None]
+        chosen = [r.signal for r in taken.where(F.col("set") == name).collect()]
+        kept = [0.5 * (names.index(s) % 3 - 1) for s in chosen]
+        r = out[name]
+        assert (r.candidates, r.scorable, r.selected) == (20, len(known), len(chosen)) and r.best_t == max(map(abs, known))
+        assert r.median_retention == pytest.approx(float(np.median(kept))) and r.sign_held == pytest.approx(np.mean([k > 0 for k in kept]))
+        assert r.share_known == pytest.approx(0.5 if i == 0 else 0.0) and 1 < r.null_best_t < 3
