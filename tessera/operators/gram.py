@@ -152,15 +152,20 @@ def correlation_gate(pairs: DataFrame, limit: float = 0.7) -> DataFrame:
     return best.select("a", F.col("m.b").alias("closest"), F.col("m.corr").alias("corr"), (F.col("m.corr") < limit).alias("passed"))
 
 
-def design_sums(wide: DataFrame, features: list[str], label: str, window: str, signs: list[int] | None = None, date: str = "date") -> DataFrame:
+def design_sums(
+    wide: DataFrame, features: list[str], label: str, window: str, signs: list[int] | None = None, date: str = "date", windows: list[str] | None = None
+) -> DataFrame:
     """(window, sums): sums of products of 1, the features' centred ranks and the label less its daily mean.
 
     One pass for all windows (``window`` is a column that is the same for all
     rows of a date; null dates take no part); rows count where all are present.
+    ``windows`` names them; else they are looked up first, which reads the table.
     ``sums`` is the array of a (p + 2) x (p + 2) matrix, row by row.
     """
     p, turned = len(features), np.array(signs or [1] * len(features))
-    names = {r[0]: float(i) for i, r in enumerate(wide.select(window).distinct().where(F.col(window).isNotNull()).orderBy(window).collect())}  # the windows of a study
+    if windows is None:
+        windows = [r[0] for r in wide.select(window).distinct().where(F.col(window).isNotNull()).orderBy(window).collect()]  # those of a study
+    names = {w: float(i) for i, w in enumerate(windows)}
     if not names:
         return wide.sparkSession.createDataFrame([], "window string, sums array<double>")
     label_of = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])

@@ -208,7 +208,7 @@ def _ridge_sql() -> str:
 def select_ridge(spark, sf_dir):
     """Ridge weights of three signals for every penalty, chosen by correlation in later dates."""
     wide = panel_values(spark, sf_dir).withColumn("window", F.when(F.col("date") <= F.lit("1996-06-30").cast("date"), "fit").otherwise("validation"))
-    path = gram.ridge_path(gram.design_sums(wide, _RIDGE, "fwd_1", "window"), "fit", "validation")
+    path = gram.ridge_path(gram.design_sums(wide, _RIDGE, "fwd_1", "window", windows=["fit", "validation"]), "fit", "validation")
     best = F.max("score").over(Window.partitionBy())  # five rows
     out = path.withColumn("chosen", F.col("score") == best)
     return out.select("penalty", *[rounded(F.col("weights")[i], 7).alias(f"w{i + 1}") for i in range(3)], rounded("score").alias("score"), "chosen")
@@ -598,7 +598,7 @@ def score_candidates(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    wide = panel_values(spark, sf_dir)
+    wide = panel_values(spark, sf_dir).persist()  # read for correlations, turnover and coverage
     horizons = [f"fwd_{h}" for h in HORIZONS]
     daily = gram.rank_ic(wide, list(SIGNALS), horizons, MINIMUM).withColumn("horizon", F.regexp_extract("label", r"(\d+)$", 1).cast("int")).persist()  # a row for each date, signal and horizon
     series, days = _positions(daily.where("horizon = 1").select("date", "signal", "ic"))
