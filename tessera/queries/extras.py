@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rounded
@@ -12,7 +13,7 @@ from tessera.plans.formula import canonical, normalised_distance, parse, size, s
 from tessera.queries.base import BARS, bars, grid, query, r, read
 from tessera.queries.formulas import POOL
 from tessera.queries.scores import LAG, MINIMUM, _curve, _curve_sql
-from tessera.search.evolve import Search, fitness, sample, round_rng
+from tessera.search.evolve import TURNOVER_CUT, Replayed, Search, round_rng, sample
 from tessera.sources import tables
 from tessera.sources.scratch import scratch
 from tessera.streaming import bars as streams
@@ -151,22 +152,33 @@ def structure_subtrees(spark, sf_dir):
 
 
 def scorer(spark, sf_dir):
-    """Scores a list of formulas in one plan: |t| of the monthly rank correlation, less penalties."""
-    from tessera.operators import panel
+    """Scores a list of formulas in one plan: t by bootstrap, stability by year, turnover and half-life make fitness and niche."""
+    from tessera.operators import candidates, gram, panel
+    from tessera.queries.scores import BLOCK, HORIZONS, _starts
 
-    labelled = panel.forward_returns(grid(spark, sf_dir), [1]).cache()
+    labels = [f"fwd_{h}" for h in HORIZONS]
+    labelled = panel.forward_returns(grid(spark, sf_dir), HORIZONS).persist()  # every round reads it
+    years = labelled.select(F.year("date").alias("year")).distinct()
 
     def score(texts: list[str]) -> dict:
         named = {f"c{i}": t for i, t in enumerate(texts)}
-        long = scoring.melt(evaluate(labelled, named, keep=["fwd_1"]), named, ("date", "key", "fwd_1"))
-        long = long.where("abs(value) < double('infinity')")
-        ic = scoring.daily_ic(long, "fwd_1", MINIMUM)
-        stats = inference.newey_west(ic, "ic", LAG).collect()  # one row for each formula
+        wide = evaluate(labelled, named, keep=labels).persist()
+        daily = gram.rank_ic(wide, list(named), labels, MINIMUM).withColumn("horizon", F.regexp_extract("label", r"(\d+)$", 1).cast("int")).persist()
+        one = daily.where("horizon = 1")
+        days = one.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)  # the calendar
+        starts, n = _starts(days)
+        series = one.join(days, "date").select("signal", "pos", F.col("ic").alias("value"))
+        errors = inference.bootstrap_errors(inference.bootstrap_means(series, starts.where("draw < 200"), BLOCK, n))
+        long = scoring.melt(wide, named, ("date", "key", "fwd_1")).withColumn("available", F.col("fwd_1").isNotNull())
+        coverage = scoring.universe_coverage(long, "available").withColumnRenamed("universe_coverage", "coverage")
+        rows = candidates.metrics(daily, errors, scoring.turnover(long), coverage, candidates.forms(spark, named), years, TURNOVER_CUT).collect()  # one row for each formula
+        for held in (wide, daily):
+            held.unpersist()
         out = {}
-        for s in stats:
-            if s.t_nw is not None and s.n >= 24:
-                node = parse(named[s.signal])
-                out[named[s.signal]] = (round(fitness(s.t_nw, 1.0, node, 0.0), 6), {"ic": round(s.mean, 6), "n": s.n})
+        for m in rows:
+            if m.n_days >= 24 and (m.coverage or 0.0) >= 0.5:
+                told = {"ic": round(m.mean_ic, 6), "n": m.n_days, "turnover": round(m.turnover or 0.0, 6), "stability": round(m.stability, 6)}
+                out[named[m.signal]] = (round(m.fitness, 6), told | ({"half_life": round(m.half_life, 4)} if m.half_life is not None else {}))
         return out
 
     return score
@@ -174,11 +186,15 @@ def scorer(spark, sf_dir):
 
 @query()
 def search_rounds(spark, sf_dir):
-    """Three rounds of the evolutionary search; the same seed gives the same archive."""
-    search = Search(scorer(spark, sf_dir), seed=11)
+    """Three rounds of the evolutionary search, broken off after the second and resumed from its log of scores."""
+    path, score = scratch(spark, "search"), scorer(spark, sf_dir)
+    write = lambda lines: spark.createDataFrame([(x,) for x in lines], "value string").write.mode("append").text(path)
+    Search(Replayed(score, write=write), seed=11).run(2)
+    log = [r.value for r in spark.read.text(path).collect()]  # the search's own scores: some dozen lines a round
+    search = Search(Replayed(score, log, write), seed=11)
     search.run(3)
-    rows = [(c.expression, c.fitness, size(c.node)) for c in search.archive.all()]
-    return spark.createDataFrame(rows, "expression string, fitness double, size int")
+    rows = [(c.expression, c.fitness, size(c.node), "/".join(c.niche)) for c in search.archive.all()]
+    return spark.createDataFrame(rows, "expression string, fitness double, size int, niche string")
 
 
 @query("SELECT l_suppkey AS permno, count(*) AS rows FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 5")
