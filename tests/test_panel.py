@@ -240,3 +240,13 @@ def test_interval_expansion_clips_to_the_calendar(spark):
     iv = spark.createDataFrame([(1, DAYS[0] - dt.timedelta(9), DAYS[2]), (2, DAYS[38], None), (3, DAYS[5], DAYS[4])], "k long, b date, e date")
     got = sorted((r.k, r.date) for r in panel.expand_intervals(iv, days, "b", "e").collect())
     assert got == [(1, DAYS[0]), (1, DAYS[1]), (1, DAYS[2]), (2, DAYS[38]), (2, DAYS[39])]
+
+
+def test_simulated_folds_tell_unchosen_names_from_those_that_left(spark):
+    kind = "date date, permno long, score double, entry double, exit double, mark double, adv double, vol double"
+    day = lambda d, k, score, adv: (DAYS[d], k, score, 10.0, 10.0, 10.0, adv, 0.0)
+    turn = lambda rows: portfolio.walk_forward(spark.createDataFrame(rows, kind), [(1, str(DAYS[0]), str(DAYS[1]))], k=1, equity=1000.0, cash=0.0).toPandas().sort_values("date").turnover.tolist()
+    # 50 of a name that isn't chosen the next day stay, as the change is below the least trade; the other name is bought
+    assert turn([day(0, 1, 2.0, 1000.0), day(0, 2, 1.0, 1000.0), day(1, 1, 1.0, 1000.0), day(1, 2, 2.0, 1000.0)]) == pytest.approx([0.025, 25 / 999.95])  # after a cost of a thousandth of what was bought
+    # 1,000 of a name without a score go whole, though the market takes 50 a day of the other
+    assert turn([day(0, 1, 2.0, 1e9), day(0, 2, 1.0, 1e9), day(1, 1, None, 1000.0), day(1, 2, 2.0, 1000.0)]) == pytest.approx([0.5, 525 / 999.0])
