@@ -159,6 +159,23 @@ def tolerance_match(left: DataFrame, right: DataFrame, on: list[str], a: str, b:
     return left.join(right, on, how).withColumn("same", same)
 
 
+def band_pairs(rows: DataFrame, key: str, by: str, value: str, width: float) -> DataFrame:
+    """(a, b): keys a < b of one ``by`` whose values differ by ``width`` at most.
+
+    Values are put in bins of that width, so partners lie in one bin or in two
+    neighbouring ones; a pair of neighbours is made once, from its lower bin.  What
+    a join looks at is then little more than what it returns, and groups are small.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, as few rows make many pairs and small shuffles would be merged
+    binned = rows.select(F.col(key).alias("__a"), F.col(by).alias("__by"), F.col(value).alias("__v"), F.floor(F.col(value) / F.lit(width)).alias("__bin"))
+    low = binned.where("__by is not null and __bin is not null")
+    both = low.select(F.col("__a").alias("__b"), "__by", F.col("__v").alias("__w"), F.posexplode(F.array("__bin", F.col("__bin") - 1)).alias("__step", "__bin"))
+    near = F.abs(F.col("__v") - F.col("__w")) <= F.lit(width)
+    once = F.when(F.col("__step") == 0, F.col("__a") < F.col("__b")).otherwise(F.col("__a") != F.col("__b"))
+    met = low.repartition(parts, "__by", "__bin").join(both.repartition(parts, "__by", "__bin").hint("merge"), ["__by", "__bin"])
+    return met.where(near & once).select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))
+
+
 def nearest_date(days: DataFrame, asked: DataFrame, at: str, after: bool = False, date: str = "date") -> DataFrame:
     """``asked`` with ``date``: the last calendar date on or before ``at``, or the first on or after it; null if none."""
     ends = days.agg(F.array_sort(F.collect_set(date)).alias("__days"))  # a calendar: some thousand dates

@@ -181,10 +181,7 @@ def join_full_alignment(spark, sf_dir):
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 1""")
 def join_band(spark, sf_dir):
     """Pairs of one brand whose sizes differ by one at most."""
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    a, b = p.alias("a"), p.alias("b")
-    near = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 1)
-    return a.join(b, near).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    return panel.band_pairs(read(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_size", 1)
 
 
 @query(f"""WITH {BARS}, a AS (SELECT permno, date, close FROM bars), b AS (SELECT permno, CAST(date + INTERVAL 1 MONTH AS DATE) AS date, CASE WHEN volume > 20 THEN close END AS close FROM bars)

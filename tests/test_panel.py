@@ -250,3 +250,14 @@ def test_simulated_folds_tell_unchosen_names_from_those_that_left(spark):
     assert turn([day(0, 1, 2.0, 1000.0), day(0, 2, 1.0, 1000.0), day(1, 1, 1.0, 1000.0), day(1, 2, 2.0, 1000.0)]) == pytest.approx([0.025, 25 / 999.95])  # after a cost of a thousandth of what was bought
     # 1,000 of a name without a score go whole, though the market takes 50 a day of the other
     assert turn([day(0, 1, 2.0, 1e9), day(0, 2, 1.0, 1e9), day(1, 1, None, 1000.0), day(1, 2, 2.0, 1000.0)]) == pytest.approx([0.5, 525 / 999.0])
+
+
+def test_band_pairs_are_all_pairs_and_spread_over_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "x" if i % 7 else "y", None if i % 11 == 0 else round(float(rng.uniform(-6, 6)), 1)) for i in range(150)] + [(150, None, 1.0), (3, "x", 0.5)]
+    out = panel.band_pairs(spark.createDataFrame(rows, "k long, g string, v double"), "k", "g", "v", 1.0)
+    met = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and a[2] is not None and b[2] is not None and abs(a[2] - b[2]) <= 1.0]
+    assert sorted((r.a, r.b) for r in out.collect()) == sorted(met)
+    one = panel.band_pairs(spark.createDataFrame([(i, "x", i) for i in range(300)], "k long, g string, v int"), "k", "g", "v", 1)
+    parts = one.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 299 and len(parts) > 1  # one group isn't one task
