@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import percent_rank_average, safe_div
+from tessera.functions import safe_div
+from tessera.functions.groups import map_groups, numbers
 
 
-def features(bars: DataFrame, key: str = "permno", date: str = "date", price: str = "adj_close", windows: tuple[int, int, int] = (5, 21, 252)) -> DataFrame:
-    """Momentum, volatility, volume and range features on observed rows, ranked by date into ``score``.
+def series_features(bars: DataFrame, key: str = "permno", date: str = "date", price: str = "adj_close", windows: tuple[int, int, int] = (5, 21, 252)) -> DataFrame:
+    """Momentum, volatility, volume and range features on observed rows, each key on its own.
 
     Windows count a key's own rows (not calendar dates); momentum fills gaps
     forward; rolling values need fewer rows than their window.
@@ -37,12 +43,38 @@ def features(bars: DataFrame, key: str = "permno", date: str = "date", price: st
         }
     )
     b = b.withColumns({"volume_accel": safe_div(F.col("vol_5d"), F.col("volume_20")) - 1, "vol_ratio": safe_div(F.col("vol_21"), F.col("vol_63"))})
+    return b.drop("__p", "__r")
+
+
+def features(
+    bars: DataFrame, key: str = "permno", date: str = "date", price: str = "adj_close", windows: tuple[int, int, int] = (5, 21, 252), keep: Iterable[str] | None = None
+) -> DataFrame:
+    """``series_features`` with their ranks by date, and the mean of these as ``score``.
+
+    As windows the seven ranks would sort a task's dates fourteen times over and
+    hold every sort; they are one Arrow pass over whole dates instead.  With
+    ``keep`` only these columns and the score are returned, and no others go
+    through it.
+    """
+    b = series_features(bars, key, date, price, windows)
     up, down = [f"mom_{w}" for w in windows] + ["volume_accel"], ["vol_21", "range", "vol_ratio"]
-    ranks = {f"rank_{c}": percent_rank_average(F.col(c), date) for c in up} | {f"rank_{c}": percent_rank_average(-F.col(c), date) for c in down}
-    b = b.withColumns(ranks)
-    there = F.array_compact(F.array(*[F.col(c) for c in ranks]))
+    names = [f"rank_{c}" for c in up + down]
+    held = b.columns if keep is None else list(dict.fromkeys([key, date, *keep]))
+    signed = [F.col(c).alias(f"rank_{c}") for c in up] + [(-F.col(c)).alias(f"rank_{c}") for c in down]
+    dealt = b.select(*held, *signed).repartition(date)
+
+    def rank(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        for name in names:
+            parts = np.split(numbers(rows, [name])[0], edges[1:-1])
+            ranks = np.concatenate([pd.Series(part).rank(pct=True).to_numpy() for part in parts])
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(ranks, pa.float64(), from_pandas=True))
+        return rows
+
+    ranked = map_groups(dealt, date, date, rank, dealt.schema)
+    there = F.array_compact(F.array(*[F.col(c) for c in names]))
     score = F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.size(there))
-    return b.withColumn("score", score).drop("__p", "__r")
+    ranked = ranked.withColumn("score", score)
+    return ranked if keep is None else ranked.drop(*names)
 
 
 def top_weights(scored: DataFrame, k: int, cap: float, date: str = "date", key: str = "permno", score: str = "score", cash: float = 0.0) -> DataFrame:
@@ -263,8 +295,6 @@ def walk_forward(
     each is one group and they run in parallel; only names that are ever among a
     fold's best are sent, so a group holds dates x such names.
     """
-    import pandas as pd
-
     spark = daily.sparkSession
     windows = spark.createDataFrame(folds, "fold int, begin string, end string").select("fold", F.to_date("begin").alias("b"), F.to_date("end").alias("e"))
     dated = daily.join(F.broadcast(windows), F.col(date).between(F.col("b"), F.col("e")))  # a row for each fold
@@ -277,8 +307,6 @@ def walk_forward(
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         rows, shares, wealth = [], {}, equity
         for day, part in pdf.sort_values([date, "permno"]).groupby(date):
             held = part["permno"].map(shares).fillna(0.0).to_numpy()

@@ -25,13 +25,18 @@ f4 AS (SELECT *, {', '.join(f'{_RK(x)} AS r{i}' for i, x in enumerate(['mom_1',
 feat AS (SELECT *, list_avg([r0, r1, r2, r3, r4, r5, r6]) AS score FROM f4)"""
 
 
-def scored(spark, sf_dir):
-    return portfolio.features(bars(spark, sf_dir), windows=W3)
+def scored(spark, sf_dir, *keep):
+    """The score of each name and date, with the features asked for."""
+    return portfolio.features(bars(spark, sf_dir), windows=W3, keep=keep)
+
+
+def unscored(spark, sf_dir):
+    return portfolio.series_features(bars(spark, sf_dir), windows=W3)
 
 
 @query(f"WITH {_FEATURES} SELECT permno, date, {r('mom_3')} AS mom_3, {r('vol_21')} AS vol_21, {r('adv20', 2)} AS adv20, {r('accel')} AS accel, {r('score')} AS score FROM feat")
 def portfolio_features(spark, sf_dir):
-    f = scored(spark, sf_dir)
+    f = scored(spark, sf_dir, "mom_3", "vol_21", "adv20", "volume_accel")
     return f.select("permno", "date", rounded("mom_3").alias("mom_3"), rounded("vol_21").alias("vol_21"), rounded("adv20", 2).alias("adv20"), rounded("volume_accel").alias("accel"), rounded("score").alias("score"))
 
 
@@ -41,7 +46,7 @@ _TOP = f"""{_FEATURES}, best AS (SELECT date, permno, row_number() OVER (PARTITI
 
 def weights(spark, sf_dir):
     """Ten names a date among the liquid ones."""
-    liquid = scored(spark, sf_dir).where(F.coalesce("adv20", F.lit(0.0)) >= 1000).withColumn("score", F.floor(F.col("score") * 1e9))
+    liquid = scored(spark, sf_dir, "adv20").where(F.coalesce("adv20", F.lit(0.0)) >= 1000).withColumn("score", F.floor(F.col("score") * 1e9))
     return portfolio.top_weights(liquid.select("date", "permno", "score"), 10, 0.15, cash=0.05).select("date", "permno", "weight")
 
 
@@ -197,7 +202,7 @@ def portfolio_rebalance(spark, sf_dir):
     target = weights(spark, sf_dir).select("date", F.col("permno").alias("key"), F.col("weight").alias("target"))
     b = bars(spark, sf_dir)
     entry = b.select("date", F.col("permno").alias("key"), F.lead("open").over(Window.partitionBy("permno").orderBy("date")).alias("entry"), (F.col("volume") > 50).alias("present")).where("entry > 0")
-    adv = scored(spark, sf_dir).select("date", F.col("permno").alias("key"), F.col("adv20").alias("adv"))
+    adv = unscored(spark, sf_dir).select("date", F.col("permno").alias("key"), F.col("adv20").alias("adv"))
     positions = target.join(held, ["date", "key"], "full_outer").join(entry, ["date", "key"]).join(adv, ["date", "key"], "left")
     positions = positions.withColumn("target", F.when(F.col("present"), F.col("target")))
     out = portfolio.rebalance(positions, F.lit(100_000.0), fractional=False)
@@ -211,7 +216,7 @@ def portfolio_rebalance(spark, sf_dir):
      FROM rt LEFT JOIN tm ON tm.date = rt.date AND tm.permno = rt.permno GROUP BY rt.date""")
 def portfolio_baselines(spark, sf_dir):
     """Daily returns of a benchmark name, of all names, and of the strongest momentum."""
-    momentum = scored(spark, sf_dir).select("date", "permno", F.floor(F.col("mom_12") * 1e9).alias("mom"))
+    momentum = unscored(spark, sf_dir).select("date", "permno", F.floor(F.col("mom_12") * 1e9).alias("mom"))
     out = portfolio.baselines(portfolio.open_returns(bars(spark, sf_dir)), F.col("permno") == 1, momentum, 10, 0.05)
     return out.select("date", *[rounded(c).alias(c) for c in ("benchmark", "equal", "momentum")])
 
@@ -230,8 +235,8 @@ def portfolio_walk_forward(spark, sf_dir):
     b = bars(spark, sf_dir)
     series = Window.partitionBy("permno").orderBy("date")
     px = b.select("date", "permno", F.lead("open", 1).over(series).alias("entry"), F.lead("open", 2).over(series).alias("exit"), F.lead("close", 1).over(series).alias("mark"))
-    daily = scored(spark, sf_dir).select("date", "permno", "score", F.col("adv20").alias("adv"), F.col("vol_21").alias("vol")).join(px, ["date", "permno"])
-    first, last = daily.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+    daily = scored(spark, sf_dir, "adv20", "vol_21").select("date", "permno", "score", F.col("adv20").alias("adv"), F.col("vol_21").alias("vol")).join(px, ["date", "permno"])
+    first, last = read(spark, sf_dir, "lineitem").agg(F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))).first()  # bars have the lines' months
     folds = [(y - first, f"{y}-01-01", f"{y}-12-31") for y in range(first, last + 1)] if first else [(0, "1900-01-01", "1900-12-31")]
     out = portfolio.walk_forward(daily, folds, equity=100_000.0)
     return out.select("fold", "date", *[rounded(c).alias(c) for c in ("gross", "cost", "net", "turnover", "equity")])

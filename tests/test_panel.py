@@ -261,3 +261,24 @@ def test_band_pairs_are_all_pairs_and_spread_over_tasks(spark):
     one = panel.band_pairs(spark.createDataFrame([(i, "x", i) for i in range(300)], "k long, g string, v int"), "k", "g", "v", 1)
     parts = one.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert sum(r["count"] for r in parts) == 299 and len(parts) > 1  # one group isn't one task
+
+
+def test_feature_ranks_are_those_of_windows_in_one_pass(spark):
+    from tessera.functions import percent_rank_average
+
+    rng = np.random.default_rng(5)
+    rows = [(k, d, *(None if rng.random() < 0.1 else float(rng.integers(1, 4)) for _ in range(6))) for k in range(12) for d in DAYS if rng.random() > 0.1]
+    bars = spark.createDataFrame(rows, "permno long, date date, high double, low double, close double, adj_close double, volume double, dollar_volume double")
+    out = portfolio.features(bars, windows=(1, 3, 12))
+    rising = {"mom_1", "mom_3", "mom_12", "volume_accel"}
+    names = sorted(c for c in out.columns if c.startswith("rank_"))
+    plain = portfolio.series_features(bars, windows=(1, 3, 12)).select(
+        "permno", "date", *[percent_rank_average(F.col(n[5:]) if n[5:] in rising else -F.col(n[5:]), "date").alias(n) for n in names]
+    )
+    told = lambda df: sorted((tuple(r) for r in df.select("permno", "date", *names).collect()), key=lambda r: r[:2])
+    assert len(names) == 7 and told(out) == told(plain)
+    kept = portfolio.features(bars, windows=(1, 3, 12), keep=["adv20"])
+    assert kept.columns == ["permno", "date", "adv20", "score"]
+    assert sorted(map(str, kept.select("permno", "date", "score").collect())) == sorted(map(str, out.select("permno", "date", "score").collect()))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\n") and sum("Sort [" in line for line in plan.splitlines()) == 1 and "rank(" not in plan  # whole dates are sorted once
