@@ -561,7 +561,7 @@ def search_baselines(spark, sf_dir):
      SELECT fold, signal, {r('m')} AS mean_ic, place FROM rk WHERE place <= 3""")
 def select_fold_factors(spark, sf_dir):
     """The three signals that each year leans on most."""
-    values = ic(spark, sf_dir)
+    values = ic(spark, sf_dir).persist()  # a row for each date and signal; made once for its years and its means
     first, last = values.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
     years = spark.range(first or 0, (last or -1) + 1).select(F.col("id").alias("fold"), F.make_date("id", F.lit(1), F.lit(1)).alias("b"), F.make_date("id", F.lit(12), F.lit(31)).alias("e"))
     return gates.fold_factors(values, years).select("fold", "signal", rounded("mean_ic").alias("mean_ic"), "place")

@@ -262,3 +262,12 @@ def test_a_table_goes_through_a_database(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(ID,150)" in plan and some.count() == 15
     assert tables.pick_column(back.columns, ["permno", "id"]) == "ID" and tables.pick_column(back.columns, ["x"]) is None
+
+
+def test_fold_factors_make_the_correlations_once(spark):
+    import __spark_entry__ as contract
+    from tests.conftest import DATA
+
+    plan = contract.queries()["select_fold_factors"](spark, DATA)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan  # the years were looked up in the same rows
+    spark.catalog.clearCache()
