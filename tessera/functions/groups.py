@@ -30,17 +30,20 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[p
             continue
         edges = edges_of(batch.column(by))
         if held and held[-1].column(by)[-1] != batch.column(by)[0]:
-            yield _joined(held, by)
-            held = []
+            whole, held = _joined(held, by), []  # parts aren't kept beside the whole
+            yield whole
+            del whole
         if len(edges) == 2:
             held.append(batch)
             continue
         last = int(edges[-2])
         held.append(batch.slice(0, last))
-        yield _joined(held, by)
-        held = [batch.slice(last)]
+        whole, held = _joined(held, by), [batch.slice(last)]
+        yield whole
+        del whole
     if held:
-        yield _joined(held, by)
+        whole, held = _joined(held, by), []
+        yield whole
 
 
 def _joined(parts: list[pa.RecordBatch], by: str) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -50,7 +53,10 @@ def _joined(parts: list[pa.RecordBatch], by: str) -> tuple[pa.RecordBatch, np.nd
 
 def numbers(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     """Columns as rows of an array of doubles, missing values as NaN."""
-    return np.array([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+    out = np.empty((len(columns), batch.num_rows))
+    for i, c in enumerate(columns):
+        out[i] = batch.column(c).to_numpy(zero_copy_only=False)
+    return out
 
 
 def map_groups(df: DataFrame, by: str, order: str, f: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:

@@ -4,7 +4,8 @@ A date's cross-section is a matrix of names x signals.  Its ranks, and what pair
 of signals share, are a few matrix products, so a task adds up its dates in one
 signals x signals array and sends that once; no row for a pair, a name and a date
 is ever made.  The wide table is dealt out by date once, with the signals' columns
-only.  Memory: one date's rows, and a few arrays of signals x signals numbers.
+only.  Memory: a few times one date's rows, and a few
+arrays of signals x signals numbers.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.groups import numbers, whole_groups
 
+ROWS = 1 << 14  # names of a date whose products are made at once
 PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
@@ -31,26 +33,40 @@ def _dates(batches: Iterator[pa.RecordBatch], date: str = "__date") -> Iterator[
     """(date, rows x columns) of each date of a sorted partition, missing values as NaN."""
     for rows, edges in whole_groups(batches, date):
         values = numbers(rows, rows.schema.names[1:])
-        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield rows.column(date)[begin].as_py(), values[:, begin:end].T
+        days = [rows.column(date)[begin].as_py() for begin in edges[:-1].tolist()]
+        del rows  # the numbers are all that is needed of them
+        for day, begin, end in zip(days, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield day, values[:, begin:end].T
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
-    """Percent ranks of each column's present values, ties averaged, around the column's own mean."""
-    ranks = pd.DataFrame(values).rank(pct=True).to_numpy()
-    with np.errstate(invalid="ignore"):
-        return ranks - np.nansum(ranks, axis=0) / np.maximum(1, np.isfinite(ranks).sum(axis=0))
+    """Percent ranks of each column's present values, ties averaged, around the column's own mean; one column at a time."""
+    ranks = np.empty(values.shape, order="F")
+    for i in range(values.shape[1]):
+        one = pd.Series(values[:, i]).rank(pct=True).to_numpy()
+        ranks[:, i] = one - np.nansum(one) / max(1, np.isfinite(one).sum())
+    return ranks
 
 
-def _correlations(x: np.ndarray, y: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray]:
-    """Correlation of each column of x with each of y over the rows where both are present, and where it holds."""
-    there_x, there_y = np.isfinite(x), np.isfinite(y)
-    x, y, mx, my = np.where(there_x, x, 0), np.where(there_y, y, 0), there_x.astype(float), there_y.astype(float)
-    n = mx.T @ my
+def _correlations(ranks: np.ndarray, mine: list[int], other: list[int], minimum: int) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation of each of some columns with each of others over the rows where both are present, and where it holds.
+
+    Products are summed over stretches of rows, so that no second table of them is held.
+    """
+    n, sx, sy, sxx, syy, sxy = (np.zeros((len(mine), len(other))) for _ in range(6))
+    for begin in range(0, len(ranks), ROWS):
+        part = ranks[begin : begin + ROWS]
+        there, part = np.isfinite(part), np.nan_to_num(part)
+        x, y, mx, my = part[:, mine], part[:, other], there[:, mine].astype(float), there[:, other].astype(float)
+        n += mx.T @ my
+        sx += x.T @ my
+        sy += mx.T @ y
+        sxx += (x * x).T @ my
+        syy += mx.T @ (y * y)
+        sxy += x.T @ y
     with np.errstate(divide="ignore", invalid="ignore"):
-        sx, sy = x.T @ my, mx.T @ y
-        vx, vy = (x * x).T @ my - sx * sx / n, mx.T @ (y * y) - sy * sy / n
-        c = (x.T @ y - sx * sy / n) / np.sqrt(vx * vy)
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        c = (sxy - sx * sy / n) / np.sqrt(vx * vy)
     holds = (n >= minimum) & (vx > 1e-9) & (vy > 1e-9)
     return np.where(holds, c, 0.0), holds
 
@@ -96,17 +112,17 @@ def rank_ic(wide: DataFrame, signals: list[str], labels: list[str], minimum: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for day, values in _dates(batches):
             series = np.ascontiguousarray(values.T)
-            x = _Sorted(series[[at[s] for s in signals]])
             rows = []
-            for label in labels:
-                y = _Sorted(series[[at[label]]])
-                both = x.there & y.there
-                n = both.sum(axis=1)
-                middle = (n[:, None] + 1) / 2.0
-                a, b = (np.where(both, s.ranks(both) - middle, 0.0) for s in (x, y))
-                va, vb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-                for i in np.flatnonzero((n >= minimum) & (va > 0) & (vb > 0)).tolist():
-                    rows.append((signals[i], label, float(a[i] @ b[i] / np.sqrt(va[i] * vb[i])), int(n[i])))
+            targets = {label: _Sorted(series[[at[label]]]) for label in labels}
+            for signal in signals:  # one at a time: the arrays of a sorted column are many times its size
+                x = _Sorted(series[[at[signal]]])
+                for label, y in targets.items():
+                    both = x.there & y.there
+                    n = int(both.sum())
+                    a, b = (np.where(both, s.ranks(both) - (n + 1) / 2.0, 0.0)[0] for s in (x, y))
+                    va, vb = (a * a).sum(), (b * b).sum()
+                    if n >= minimum and va > 0 and vb > 0:
+                        rows.append((signal, label, float(a @ b / np.sqrt(va * vb)), n))
             if rows:
                 names, of, ic, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([day] * len(rows)), pa.array(names), pa.array(of), pa.array(ic), pa.array(n)], ["date", "signal", "label", "ic", "n"])
@@ -130,7 +146,7 @@ def rank_correlations(wide: DataFrame, left: list[str], right: list[str] | None
         total, count = np.zeros((len(mine), len(other))), np.zeros((len(mine), len(other)), np.int64)
         for _, values in _dates(batches):
             ranks = _ranks(values)
-            c, holds = _correlations(ranks[:, mine], ranks[:, other], minimum)
+            c, holds = _correlations(ranks, mine, other, minimum)
             total += c
             count += holds
         i, j = np.nonzero(count)

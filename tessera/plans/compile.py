@@ -235,9 +235,11 @@ def _ranked(df: DataFrame, nodes: list[Node], names: dict[Node, str], date: str)
     schema = df.drop(*sources).withColumns({name: F.lit(None).cast("double") for name in out}).schema
 
     def run(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
-        values = numbers(rows, sources).T
-        ranks = np.concatenate([pd.DataFrame(part).rank(pct=True).to_numpy() for part in np.split(values, edges[1:-1])])
-        return _with(rows.drop_columns(sources), dict(zip(out, ranks.T, strict=True)))
+        made = {}
+        for source, name in zip(sources, out, strict=True):  # one column at a time, as a date can be long
+            parts = np.split(numbers(rows, [source])[0], edges[1:-1])
+            made[name] = np.concatenate([pd.Series(part).rank(pct=True).to_numpy() for part in parts])
+        return _with(rows.drop_columns(sources), made)
 
     return map_groups(df, date, date, run, schema)
 
