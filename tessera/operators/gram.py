@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.groups import numbers, whole_groups
+from tessera.functions.groups import map_groups, numbers, whole_groups
 
 ROWS = 1 << 14  # names of a date whose products are made at once
 PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -162,6 +162,32 @@ def rank_correlations(wide: DataFrame, left: list[str], right: list[str] | None
     return parts.groupBy("a", "b").agg((F.sum("total") / F.sum("days")).alias("corr"), F.sum("days").alias("n_days"))
 
 
+def turnover(wide: DataFrame, signals: list[str], date: str = "date", key: str = "key") -> DataFrame:
+    """(signal, turnover): half the mean daily change of each signal's weights on a dense grid, as ``scoring.turnover`` of long rows.
+
+    Weights stay columns, so a name and date is one row of each of two exchanges,
+    by date and by key, however many signals there are.
+    """
+
+    def run(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        for s in signals:
+            made = []
+            for part in np.split(numbers(rows, [s])[0], edges[1:-1]):
+                centred = _ranks(part[:, None])[:, 0]
+                gross = np.nansum(np.abs(centred))
+                made.append(np.nan_to_num(centred / gross) if gross > 0 else np.zeros(len(part)))
+            rows = rows.set_column(rows.schema.get_field_index(s), s, pa.array(np.concatenate(made), pa.float64()))
+        return rows
+
+    dealt = wide.select(date, key, *[F.col(f"`{s}`").cast("double").alias(s) for s in signals]).repartition(date)
+    weights = map_groups(dealt, date, date, run, dealt.schema)
+    series = Window.partitionBy(key).orderBy(date)
+    moved = weights.select(date, *[F.abs(F.col(f"`{s}`") - F.lag(f"`{s}`").over(series)).alias(s) for s in signals])
+    daily = moved.groupBy(date).agg(*[F.sum(f"`{s}`").alias(s) for s in signals])
+    each = daily.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"`{s}`").alias("d")) for s in signals])).alias("r")).select("r.*")
+    return each.where("d is not null").groupBy("signal").agg((F.avg("d") / 2).alias("turnover"))
+
+
 def correlation_gate(pairs: DataFrame, limit: float = 0.7) -> DataFrame:
     """(a, closest, corr, passed) for each candidate: its strongest |correlation| with a member, and whether it may enter."""
     best = pairs.where("a != b").groupBy("a").agg(F.max(F.struct(F.abs("corr").alias("corr"), F.col("b").alias("b"))).alias("m"))

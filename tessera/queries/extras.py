@@ -171,7 +171,7 @@ def scorer(spark, sf_dir):
         errors = inference.bootstrap_errors(inference.bootstrap_means(series, starts.where("draw < 200"), BLOCK, n))
         long = scoring.melt(wide, named, ("date", "key", "fwd_1")).withColumn("available", F.col("fwd_1").isNotNull())
         coverage = scoring.universe_coverage(long, "available").withColumnRenamed("universe_coverage", "coverage")
-        rows = candidates.metrics(daily, errors, scoring.turnover(long), coverage, candidates.forms(spark, named), years, TURNOVER_CUT).collect()  # one row for each formula
+        rows = candidates.metrics(daily, errors, gram.turnover(wide, list(named)), coverage, candidates.forms(spark, named), years, TURNOVER_CUT).collect()  # one row for each formula
         for held in (wide, daily):
             held.unpersist()
         out = {}

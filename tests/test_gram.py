@@ -286,3 +286,13 @@ def test_a_long_date_takes_little_more_memory_than_its_numbers():
         tracemalloc.stop()
     assert peak < 4 * values.nbytes  # was 7.25 times
     assert np.allclose(c, pd.DataFrame(values).rank().corr().to_numpy())
+
+
+def test_turnover_of_columns_is_that_of_long_rows(spark):
+    from tessera.operators import scoring
+
+    rng = np.random.default_rng(2)
+    rows = [(dt.date(2024, 1, d), k, *(None if rng.random() < 0.2 or d == 4 else float(rng.integers(0, 5)) for _ in range(2)), 1.0) for d in range(1, 9) for k in range(9)]
+    wide = spark.createDataFrame(rows, "date date, key long, a double, b double, c double")
+    told = lambda df: {r.signal: round(r.turnover, 12) for r in df.collect()}
+    assert told(gram.turnover(wide, ["a", "b", "c"])) == told(scoring.turnover(scoring.melt(wide, ["a", "b", "c"]))) != {}
