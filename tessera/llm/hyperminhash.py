@@ -12,8 +12,8 @@ small sets have full sketches too.
    makes n - 1 pairs.
 3. Pairs whose collision-corrected Jaccard estimate is far below the threshold
    are left out; the rest are confirmed on their full sets and joined.
-4. Buckets whose classes are still in several parts are compared throughout, in
-   blocks of bounded rows: first the registers alone, which leaves the classes
+4. Buckets whose classes are still in several parts are compared throughout (all
+   but the largest part with itself), in blocks of bounded rows: first the registers alone, which leaves the classes
    that may have another partner, then the full sets of those.  A pair is looked
    at in the first band that it shares only.  So no link is lost to a large
    bucket, and no bucket emits its pairs.
@@ -214,16 +214,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return grown(grown(pairs).join(side("b"), "b")).join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
-    """``members`` (key, doc_id, ...) dealt to every pair of blocks of their bucket.
+def _blocks(members: DataFrame, filled: Column) -> DataFrame:
+    """``members`` (key, doc_id, root, ...) dealt to the pairs of blocks of their bucket that may hold a new link.
+
+    ``filled`` tells how many blocks a set of rows fills.  A bucket that fits one
+    block is that block.  Else its largest part (the members of one root) needn't
+    be compared with itself: the blocks of the other members come first and meet
+    all, those of the largest part meet the others' only.  So a bucket of n rows
+    makes about n as long as the others fit one block.
 
     ``own`` is a row's block and (key, low, high) the pair of blocks; pairs of
     rows inside one block belong to the pair (block, block).
     """
-    sized = members.groupBy("key").agg(F.greatest(F.lit(1), blocks).cast("int").alias("blocks"))
-    dealt = grown(members).join(sized, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
+    parts = members.groupBy("key", "root").agg(filled.alias("filled"))
+    sized = parts.groupBy("key").agg(F.max_by("root", F.struct("filled", "root")).alias("main"), F.max("filled").alias("most"), F.sum("filled").alias("all"))
+    one = F.col("all") <= 1
+    others = F.when(one, F.lit(1)).otherwise(F.ceil(F.col("all") - F.col("most"))).cast("int")
+    sized = sized.select("key", F.when(~one, F.col("main")).alias("main"), others.alias("others"), F.ceil("most").cast("int").alias("mains"))
+    dealt = grown(members).join(sized, "key").withColumn("in_main", F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
+    at = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("in_main"), F.col("others") + at("mains")).otherwise(at("others")))
+    met = F.when(F.col("in_main") | F.col("main").isNull(), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    dealt = dealt.where("others > 0").withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("main", "others", "mains", "in_main", "other")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -277,7 +290,7 @@ def plausible(members: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) ->
                     hit[x[first]] = hit[y[first]] = True
             yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(ids[hit])], ["key", "doc_id"])
 
-    dealt = _blocks(members, F.ceil(F.count("*") / F.lit(block_rows)))
+    dealt = _blocks(members, F.count("*") / F.lit(block_rows))
     dealt = dealt.select("key", "low", "high", "own", "doc_id", "root", "n_shingles", "registers")
     rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return rows.mapInArrow(run, "key long, doc_id long").distinct()
@@ -287,8 +300,8 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int, block_rows:
     """Links (a, b) between members of one bucket that have different roots.
 
     ``members`` has key, doc_id, root, n_shingles and registers.  A bucket is
-    cut into blocks of bounded rows and bytes and every pair of blocks is one
-    group; it looks at registers first and at full sets where they allow a link.
+    cut into blocks of bounded rows and bytes and every pair of blocks (but those
+    of the largest part alone) is one group; it looks at registers first and at full sets where they allow a link.
     Members that a group has joined are not compared again, so it returns fewer
     links than it has members, and those are enough to connect what is linked.
     """
@@ -302,8 +315,8 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int, block_rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     full = grown(members).join(sets, "doc_id")
-    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum(F.octet_length("shingles")) / F.lit(block_bytes)))
-    dealt = _blocks(full, blocks).select("key", "low", "high", "own", "doc_id", "root", "n_shingles", "registers", "shingles")
+    filled = F.greatest(F.count("*") / F.lit(block_rows), F.sum(F.octet_length("shingles")) / F.lit(block_bytes))
+    dealt = _blocks(full, filled).select("key", "low", "high", "own", "doc_id", "root", "n_shingles", "registers", "shingles")
     rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return rows.mapInArrow(run, "a long, b long").distinct()
 

@@ -173,6 +173,32 @@ def test_buckets_in_many_blocks_lose_no_link(spark):
         assert {x for pair in true for x in pair} <= {r.doc_id for r in may.select("doc_id").distinct().collect()}
 
 
+def test_the_largest_part_of_a_bucket_is_not_compared_with_itself(spark):
+    hub = prose(100)
+    texts = [(i, changed(hub, i % 4)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = hyperminhash.full_sets(docs)
+    roots = F.when(F.col("doc_id") < 52, F.lit(0)).otherwise(F.col("doc_id"))
+    sketches = hyperminhash.sketches(docs).select("doc_id", "n_shingles", "registers", roots.alias("root"))
+    members = hyperminhash.band_keys(sketches).join(sketches, "doc_id").cache()
+    s = {k: shingles(t) for k, t in texts}
+    true = {(a, b) for a in s for b in s if a < b and b >= 52 and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])}
+    reached = {x for pair in true for x in pair if x >= 52}
+    for rows in (1000, 8, 3):
+        links = {(r.a, r.b) for r in hyperminhash.bucket_links(members, sets, 75, rows).collect()}
+        assert all(max(a, b) >= 52 for a, b in links) and {tuple(sorted(x)) for x in links} <= true
+        assert reached <= {x for pair in links for x in pair}
+        may = hyperminhash.plausible(members, 75, rows)
+        assert {x for pair in true for x in pair} <= {r.doc_id for r in may.select("doc_id").distinct().collect()}
+    # one bucket of n rows makes about n rows while those outside its largest part fit a block
+    wide = spark.range(4000).selectExpr("1L AS key", "id AS doc_id", "IF(id < 3990, 0, id) AS root")
+    dealt = hyperminhash._blocks(wide, F.count("*") / F.lit(16)).cache()
+    assert dealt.count() <= 2 * 4000
+    met = dealt.groupBy("low", "high").agg(F.collect_set("doc_id").alias("ids")).collect()
+    assert all(len(r.ids) < 60 for r in met)
+    assert all({x for r in met if a in r.ids for x in r.ids} == set(range(4000)) for a in range(3990, 4000))
+
+
 def test_components_of_chains_stars_and_rows_of_one_id(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 300), (300, 250), (7, 7)]
     tables = Tables(spark)
