@@ -59,11 +59,11 @@ def numbers(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return out
 
 
-def map_groups(df: DataFrame, by: str, order: str, f: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
-    """``f`` over whole groups of ``by``, in the order of ``order``; ``df`` must be dealt out by ``by`` already."""
+def map_groups(df: DataFrame, by: str, order: str | None, f: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
+    """``f`` over whole groups of ``by``, in the order of ``order``; ``df`` must be dealt out by ``by`` already, and without an order in whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_groups(batches, by):
             yield f(rows, edges)
 
-    return df.sortWithinPartitions(by, order).mapInArrow(run, schema)
+    return (df.sortWithinPartitions(by, order) if order else df).mapInArrow(run, schema)

@@ -24,9 +24,10 @@ ROWS = 1 << 14  # names of a date whose products are made at once
 PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
-def _by_date(df: DataFrame, columns: list[str], date: str) -> DataFrame:
-    """The columns as numbers, all rows of a date next to each other in one task."""
-    return df.select(F.col(date).alias("__date"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).repartition("__date").sortWithinPartitions("__date")
+def _by_date(df: DataFrame, columns: list[str], date: str, dealt: bool = False) -> DataFrame:
+    """The columns as numbers, all rows of a date next to each other in one task, as ``dealt`` says they are already."""
+    out = df.select(F.col(date).alias("__date"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    return out if dealt else out.repartition("__date").sortWithinPartitions("__date")
 
 
 def _dates(batches: Iterator[pa.RecordBatch], date: str = "__date") -> Iterator[tuple[object, np.ndarray]]:
@@ -98,12 +99,12 @@ class _Sorted:
         return out
 
 
-def rank_ic(wide: DataFrame, signals: list[str], labels: list[str], minimum: int, date: str = "date") -> DataFrame:
+def rank_ic(wide: DataFrame, signals: list[str], labels: list[str], minimum: int, date: str = "date", dealt: bool = False) -> DataFrame:
     """(date, signal, label, ic, n): Spearman correlation of every signal with every label on every date.
 
     Both are ranked over the names where both are there; dates with fewer than
     ``minimum`` of them, or without spread, have none.  A date's signals are sorted
-    once for all labels.
+    once for all labels.  ``dealt`` rows (``evaluate`` by date) aren't moved again.
     """
 
     columns = list(dict.fromkeys([*signals, *labels]))
@@ -128,15 +129,16 @@ def rank_ic(wide: DataFrame, signals: list[str], labels: list[str], minimum: int
                 yield pa.RecordBatch.from_arrays([pa.array([day] * len(rows)), pa.array(names), pa.array(of), pa.array(ic), pa.array(n)], ["date", "signal", "label", "ic", "n"])
 
     kind = dict(wide.dtypes)[date]
-    return _by_date(wide, columns, date).mapInArrow(run, f"date {kind}, signal string, label string, ic double, n long")
+    return _by_date(wide, columns, date, dealt).mapInArrow(run, f"date {kind}, signal string, label string, ic double, n long")
 
 
-def rank_correlations(wide: DataFrame, left: list[str], right: list[str] | None = None, minimum: int = 30, date: str = "date") -> DataFrame:
+def rank_correlations(wide: DataFrame, left: list[str], right: list[str] | None = None, minimum: int = 30, date: str = "date", dealt: bool = False) -> DataFrame:
     """(a, b, corr, n_days): mean daily rank correlation of pairs of signals.
 
     Ranks are each signal's own; correlations are over the names that both have,
     on dates with ``minimum`` of them or more.  With ``right`` each of ``left`` is
-    held against each of ``right``; else all pairs a < b of ``left``.
+    held against each of ``right``; else all pairs a < b of ``left``.  ``dealt``
+    rows aren't moved again.
     """
     columns = list(dict.fromkeys([*left, *(right or [])]))
     at = {c: i for i, c in enumerate(columns)}
@@ -158,15 +160,16 @@ def rank_correlations(wide: DataFrame, left: list[str], right: list[str] | None
             [pa.array(names[np.array(mine)[i]], pa.string()), pa.array(names[np.array(other)[j]], pa.string()), pa.array(total[i, j]), pa.array(count[i, j])], ["a", "b", "total", "days"]
         )
 
-    parts = _by_date(wide, columns, date).mapInArrow(run, "a string, b string, total double, days long")
+    parts = _by_date(wide, columns, date, dealt).mapInArrow(run, "a string, b string, total double, days long")
     return parts.groupBy("a", "b").agg((F.sum("total") / F.sum("days")).alias("corr"), F.sum("days").alias("n_days"))
 
 
-def turnover(wide: DataFrame, signals: list[str], date: str = "date", key: str = "key") -> DataFrame:
+def turnover(wide: DataFrame, signals: list[str], date: str = "date", key: str = "key", dealt: bool = False) -> DataFrame:
     """(signal, turnover): half the mean daily change of each signal's weights on a dense grid, as ``scoring.turnover`` of long rows.
 
     Weights stay columns, so a name and date is one row of each of two exchanges,
-    by date and by key, however many signals there are.
+    by date and by key, however many signals there are; ``dealt`` rows are moved by
+    key only.
     """
 
     def run(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
@@ -179,8 +182,8 @@ def turnover(wide: DataFrame, signals: list[str], date: str = "date", key: str =
             rows = rows.set_column(rows.schema.get_field_index(s), s, pa.array(np.concatenate(made), pa.float64()))
         return rows
 
-    dealt = wide.select(date, key, *[F.col(f"`{s}`").cast("double").alias(s) for s in signals]).repartition(date)
-    weights = map_groups(dealt, date, date, run, dealt.schema)
+    rows = wide.select(date, key, *[F.col(f"`{s}`").cast("double").alias(s) for s in signals])
+    weights = map_groups(rows if dealt else rows.repartition(date), date, None if dealt else date, run, rows.schema)
     series = Window.partitionBy(key).orderBy(date)
     moved = weights.select(date, *[F.abs(F.col(f"`{s}`") - F.lag(f"`{s}`").over(series)).alias(s) for s in signals])
     daily = moved.groupBy(date).agg(*[F.sum(f"`{s}`").alias(s) for s in signals])
@@ -188,6 +191,50 @@ def turnover(wide: DataFrame, signals: list[str], date: str = "date", key: str =
     return each.where("d is not null").groupBy("signal").agg((F.avg("d") / 2).alias("turnover"))
 
 
+def autocorrelation(wide: DataFrame, signals: list[str], date: str = "date", key: str = "key") -> DataFrame:
+    """(signal, autocorr): lag-1 correlation of each key's values, averaged over keys, as ``scoring.autocorrelation`` of long rows.
+
+    A name and date is one row of one exchange by key; a task sends one row for
+    each signal.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count, met = np.zeros(len(signals)), np.zeros(len(signals), np.int64), np.zeros(len(signals), bool)
+        for rows, edges in whole_groups(batches, key):
+            begin = edges[:-1]
+            sizes = np.diff(edges)
+            for i, s in enumerate(signals):
+                x = numbers(rows, [s])[0]
+                past = np.concatenate([[np.nan], x[:-1]])
+                past[begin] = np.nan
+                both = ~(np.isnan(x) | np.isnan(past))
+                met[i] |= both.any()
+                c, holds = _each(x, past, both, begin, sizes)
+                total[i] += c[holds].sum()
+                count[i] += holds.sum()
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array([signals[i] for i in at], pa.string()), pa.array(total[at]), pa.array(count[at])], ["signal", "total", "keys"])
+
+    rows = wide.select(key, date, *[F.col(f"`{s}`").cast("double").alias(s) for s in signals]).repartition(key).sortWithinPartitions(key, date)
+    parts = rows.mapInArrow(run, "signal string, total double, keys long")
+    return parts.groupBy("signal").agg(F.when(F.sum("keys") > 0, F.sum("total") / F.sum("keys")).alias("autocorr"))
+
+
+def _each(x: np.ndarray, y: np.ndarray, both: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation of two columns in each stretch of rows, over those that ``both`` marks, and where both vary there."""
+    n = np.add.reduceat(both.astype(float), begin)
+    varied = np.ones(len(begin), bool)
+    centred = []
+    with np.errstate(all="ignore"):
+        for v in (x, y):
+            varied &= np.minimum.reduceat(np.where(both, v, np.inf), begin) < np.maximum.reduceat(np.where(both, v, -np.inf), begin)
+            v = np.where(both, v, 0.0)
+            centred.append(np.where(both, v - np.repeat(np.add.reduceat(v, begin) / n, sizes), 0.0))
+        a, b = centred
+        c = np.add.reduceat(a * b, begin) / np.sqrt(np.add.reduceat(a * a, begin) * np.add.reduceat(b * b, begin))
+    return c, varied
+
+
 def correlation_gate(pairs: DataFrame, limit: float = 0.7) -> DataFrame:
     """(a, closest, corr, passed) for each candidate: its strongest |correlation| with a member, and whether it may enter."""
     best = pairs.where("a != b").groupBy("a").agg(F.max(F.struct(F.abs("corr").alias("corr"), F.col("b").alias("b"))).alias("m"))

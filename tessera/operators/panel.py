@@ -104,12 +104,17 @@ def forward_returns(grid: DataFrame, horizons: Iterable[int], lagged: bool = Fal
 
     ``lagged`` holds the last step only: open[t+h+1] over open[t+h].
     """
+    return grid.withColumns(forward_columns(horizons, lagged, key, date))
+
+
+def forward_columns(horizons: Iterable[int], lagged: bool = False, key: str = "key", date: str = "date") -> dict[str, Column]:
+    """The labels of :func:`forward_returns` as columns over ``open``."""
     series = Window.partitionBy(key).orderBy(date)
     made = {}
     for h in horizons:
         end, begin = F.lead("open", h + 1).over(series), F.lead("open", h if lagged else 1).over(series)
         made[f"fwd_{h}"] = F.when(begin > 0, end / begin - 1)
-    return grid.withColumns(made)
+    return made
 
 
 def label_ends(days: DataFrame, horizons: Iterable[int], date: str = "date") -> DataFrame:

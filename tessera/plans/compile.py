@@ -8,7 +8,7 @@ number of exchanges is the depth of alternation, not the number of formulas.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,46 @@ def schedule(roots: Iterable[Node]) -> tuple[dict[Node, str], list[tuple[str, li
     return names, plan
 
 
+def late(names: dict[Node, str], phases: int) -> list[tuple[str, list[list[Node]], list[Node]]]:
+    """Passes (kind, levels, Arrow nodes) of so many phases, each node as late as it can be.
+
+    What is carried through an exchange is then fields, and not what is made of
+    them; an element function of several columns comes with the last of these, as
+    it is one column.  Each phase ends with element functions alone, which need no
+    exchange; before them a pass has windows first, then what goes through Arrow,
+    and only what windows of the same phase are made of goes through Arrow earlier.
+    """
+    users: dict[str, list[str]] = {name: [] for name in names.values()}
+    for n, name in names.items():
+        for c in n.children:
+            if c in names:
+                users[names[c]].append(name)
+    phase: dict[str, int] = {}
+    for n, name in reversed(names.items()):  # children are named before their parents
+        at = min((phase[u] for u in users[name]), default=phases - 1)
+        phase[name] = at - 1 if n.kind == SERIES and at % 2 or n.kind == CROSS and at % 2 == 0 else at
+    for n, name in names.items():
+        if n.kind == ELEMENT and len({c for c in n.children if c.number is None}) > 1:
+            phase[name] = max((phase[names[c]] for c in n.children if c in names), default=phase[name] - phase[name] % 2)
+    passes = []
+    for p in range(phases):
+        left = {name: n for n, name in names.items() if phase[name] == p}
+        made: list[tuple[str, list[list[Node]], list[Node]]] = []  # from the last to the first
+
+        def take(wanted: Callable[[Node], bool], left: dict[str, Node] = left) -> list[Node]:
+            found = [name for name, n in left.items() if wanted(n) and not any(u in left for u in users[name])]
+            return [left.pop(name) for name in found]
+
+        while left or not made:
+            ending, levels = not made, []
+            arrow = [] if ending else take(lambda n: n.label in ARROW)
+            while level := take(lambda n, ending=ending: n.kind == ELEMENT or not ending and n.label not in ARROW):
+                levels.insert(0, level)
+            made.append((CROSS if p % 2 else SERIES, levels, arrow))
+        passes += made[::-1]
+    return passes
+
+
 def _value(n: Node, names: dict[Node, str]) -> Column:
     if n.number is not None:
         return F.lit(n.number)
@@ -159,6 +199,7 @@ def _cross(n: Node, names: dict[Node, str], date: str) -> Column:
 
 #: Series functions that Spark has no moving form of; in Arrow they are numpy over a sliding view.
 MOVING = {"EMA", "TS_RANK", "TS_ARGMAX", "TS_ARGMIN", "TS_PRODUCT", "TS_DECAY_LINEAR"}
+ARROW = MOVING | {"RANK"}
 CELLS = 1 << 20  # entries of a sliding view that are worked on at once
 
 
@@ -244,34 +285,52 @@ def _ranked(df: DataFrame, nodes: list[Node], names: dict[Node, str], date: str)
     return map_groups(df, date, date, run, schema)
 
 
-def evaluate(grid: DataFrame, formulas: dict[str, str], key: str = "key", date: str = "date", keep: Iterable[str] = ()) -> DataFrame:
-    """``grid`` (dense, one row for each key and date) to key, date, ``keep`` and one column per formula."""
+def evaluate(
+    grid: DataFrame, formulas: dict[str, str], key: str = "key", date: str = "date", keep: Iterable[str] = (), series: dict[str, Column] | None = None, needs: Iterable[str] = (), by_date: bool = False
+) -> DataFrame:
+    """``grid`` (dense, one row for each key and date) to key, date, ``keep``, ``series`` and one column per formula.
+
+    ``series`` are columns of windows by key over the columns that ``needs`` names;
+    they are made in the last pass by key, so that they aren't carried from the
+    first.  With ``by_date`` the rows of a date end up next to each other in one
+    task, which passes over whole dates can rely on.
+    """
     roots = {name: canonical(parse(text)) for name, text in formulas.items()}
     names, plan = schedule(roots.values())
+    phases = len(plan) + (by_date and len(plan) % 2)  # the last one by date
+    passes = late(names, phases)
+    last = [i for i, (kind, levels, arrow) in enumerate(passes) if kind == SERIES and (i == 0 or arrow or any(n.kind == SERIES for nodes in levels for n in nodes))][-1]
     fields = {n.label[1:] for r in roots.values() for n in _all(r) if n.label.startswith("$")}
-    held = [key, date, *dict.fromkeys(keep)]
-    df = grid.select(*held, *(f for f in sorted(fields) if f not in held))
-    steps = [nodes for _, levels in plan for nodes in levels]
-    for i, nodes in enumerate(steps):
-        moving, ranks = [n for n in nodes if n.label in MOVING], [n for n in nodes if n.label == "RANK"]
-        if moving or ranks:
-            inputs = [c for later in steps[i:] for n in later for c in n.children] + list(roots.values())
-            alive = {names[c] if c.children else c.label[1:] for c in inputs if c.number is None}
-            # windows of this level use the same exchange, if they are by the same column
-            df = df.select(*held, *(c for c in df.columns if c in alive and c not in held)).repartition(key if moving else date)
-        made = {}
-        for n in nodes:
-            if n.kind == ELEMENT:
-                made[names[n]] = _element(n, names)
-            elif n.kind == SERIES and n.label not in MOVING:
-                made[names[n]] = _series(n, names, key, date)
-            elif n.kind == CROSS and n.label != "RANK":
-                made[names[n]] = _cross(n, names, date)
-        df = df.withColumns(made)
-        if moving:
-            df = _moving(df, moving, names, key, date)
-        if ranks:
-            df = _ranked(df, ranks, names, date)
+    held, series = [key, date, *dict.fromkeys(keep)], series or {}
+    df = grid.select(*held, *(f for f in sorted({*fields, *(needs if series else ())}) if f not in held))
+    dealt = whole = None  # by what rows were dealt out, and by what an Arrow pass left them lying together, which Spark doesn't see
+    for i, (kind, levels, arrow) in enumerate(passes):
+        by = key if kind == SERIES else date
+        windows = any(n.kind != ELEMENT for nodes in levels for n in nodes) or bool(series) and i == last
+        inputs = [c for _, later, more in passes[i:] for n in [*sum(later, []), *more] for c in n.children] + list(roots.values())
+        alive = {names[c] if c.children else c.label[1:] for c in inputs if c.number is None} | ({*needs} if series and i <= last else set())
+        df = df.select(*held, *(c for c in df.columns if c in alive and c not in held))
+        if arrow and (windows or dealt != by):
+            df = df.repartition(by)  # windows of this pass use the same exchange
+        if windows or arrow:
+            dealt, whole = by, by if arrow else None
+        if series and i == last:
+            df = df.withColumns(series)
+            held += series
+        for nodes in levels:
+            made = {}
+            for n in nodes:
+                if n.kind == ELEMENT:
+                    made[names[n]] = _element(n, names)
+                elif n.kind == SERIES:
+                    made[names[n]] = _series(n, names, key, date)
+                else:
+                    made[names[n]] = _cross(n, names, date)
+            df = df.withColumns(made)
+        if arrow:
+            df = _moving(df, arrow, names, key, date) if kind == SERIES else _ranked(df, arrow, names, date)
+    if by_date and whole != date:
+        df = df.repartition(date).sortWithinPartitions(date)
     return df.select(*held, *[_value(r, names).cast("double").alias(name) for name, r in roots.items()])
 
 

@@ -541,17 +541,19 @@ def search_baselines(spark, sf_dir):
 
     drawn = [r.expression for r in sampler.sample_set(spark, sampler.profile(POOL), len(POOL), seed=17).orderBy("expression").collect()]  # as many as the pool has
     every = POOL_NAMES | {f"r{i:02d}": t for i, t in enumerate(drawn)}
-    wide = evaluate(panel.forward_returns(grid(spark, sf_dir), [1], False), every, keep=["fwd_1"]).persist()
-    daily = gram.rank_ic(wide, list(every), ["fwd_1"], MINIMUM).select("date", "signal", "ic").persist()
+    wide = evaluate(grid(spark, sf_dir), every, series=panel.forward_columns([1]), needs=["open"], by_date=True).persist()  # dealt out by date once for all that ranks
+    daily = gram.rank_ic(wide, list(every), ["fwd_1"], MINIMUM, dealt=True).select("date", "signal", "ic").persist()
     cut = F.lit("1999-06-30").cast("date")
     fit, later = daily.where(F.col("date") <= cut), daily.where(F.col("date") > cut)
     group = lambda c: F.when(F.col(c).startswith("f"), "published").otherwise("random")
-    stats = scoring.ic_summary(fit).join(scoring.autocorrelation(scoring.melt(wide.where(F.col("date") <= cut), every)), "signal").withColumn("set", group("signal"))
+    auto = gram.autocorrelation(wide.where(F.col("date") <= cut), list(every)).persist()  # a row for each formula; read twice
+    stats = scoring.ic_summary(fit).join(auto, "signal").withColumn("set", group("signal"))
     names = spark.createDataFrame([(n,) for n in every], "signal string").withColumn("set", group("signal"))
     tests = names.join(stats.select("signal", F.col("t_ic").alias("t")), "signal", "left")
-    taken = arms.select_uncorrelated(stats, gram.rank_correlations(wide, list(every), minimum=MINIMUM), 10, 0.7, 0.5, 0.0, ("set",))
+    pairs = gram.rank_correlations(wide, list(every), list(every), MINIMUM, dealt=True).persist()  # formulas of two sets against each other; read three times
+    taken = arms.select_uncorrelated(stats, pairs.where("a < b"), 10, 0.7, 0.5, 0.0, ("set",))
     means = fit.groupBy("signal").agg(F.avg("ic").alias("fit_ic")).join(later.groupBy("signal").agg(F.avg("ic").alias("hold_ic")), "signal", "left")
-    closest = gram.correlation_gate(gram.rank_correlations(wide, list(every), list(POOL_NAMES), MINIMUM))
+    closest = gram.correlation_gate(pairs.where(F.col("b").isin(list(POOL_NAMES))))
     out = arms.compare_sets(tests, taken, means, closest)
     digits = {"best_t": 5, "null_best_t": 4, "median_retention": 4, "sign_held": 4, "share_known": 4}
     return out.select("set", "candidates", "scorable", "selected", *[rounded(c, d).alias(c) for c, d in digits.items()])
