@@ -35,14 +35,17 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month x supplier bars from lineitem; the first and last line give open and close.
 
     One aggregation: the order of lines is carried in the aggregates, not by a sort.
+    Lines that are equal up to the quantity have one price, so the order ends there,
+    and the price is made of it afterwards.
     """
     line = read(spark, sf_dir, "lineitem")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     px = F.col("l_extendedprice") / F.col("l_quantity")
     out = line.groupBy(F.trunc("l_shipdate", "month").alias("date"), F.col("l_suppkey").alias("permno")).agg(
-        F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"),
+        F.min(order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max(order).alias("close"),
         F.sum("l_quantity").cast("double").alias("volume"), F.sum("l_extendedprice").cast("double").alias("dollar_volume"),
     )
+    out = out.withColumns({c: F.col(f"{c}.l_extendedprice") / F.col(f"{c}.l_quantity") for c in ("open", "close")})
     split = F.when((F.col("permno") % 5 == 0) & (F.col("date") < F.lit("1998-07-01").cast("date")), 2.0).otherwise(1.0)
     return out.withColumn("adj_close", F.col("close") / split)
 

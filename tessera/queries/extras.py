@@ -13,7 +13,7 @@ from tessera.plans.formula import canonical, normalised_distance, parse, size, s
 from tessera.queries.base import BARS, bars, grid, query, r, read
 from tessera.queries.formulas import POOL
 from tessera.queries.scores import LAG, MINIMUM, _curve, _curve_sql
-from tessera.search.evolve import TURNOVER_CUT, Replayed, Search, round_rng, sample
+from tessera.search.evolve import PRICE, TURNOVER_CUT, Replayed, Search, round_rng, sample
 from tessera.sources import tables
 from tessera.sources.scratch import scratch
 from tessera.streaming import bars as streams
@@ -157,13 +157,13 @@ def scorer(spark, sf_dir):
     from tessera.queries.scores import BLOCK, HORIZONS, _starts
 
     labels = [f"fwd_{h}" for h in HORIZONS]
-    labelled = panel.forward_returns(grid(spark, sf_dir), HORIZONS).persist()  # every round reads it
-    years = labelled.select(F.year("date").alias("year")).distinct()
+    fields = grid(spark, sf_dir).select("key", "date", *[f[1:] for f in PRICE]).persist()  # every round reads it
+    years = fields.select(F.year("date").alias("year")).distinct()
 
     def score(texts: list[str]) -> dict:
         named = {f"c{i}": t for i, t in enumerate(texts)}
-        wide = evaluate(labelled, named, keep=labels).persist()
-        daily = gram.rank_ic(wide, list(named), labels, MINIMUM).withColumn("horizon", F.regexp_extract("label", r"(\d+)$", 1).cast("int")).persist()
+        wide = evaluate(fields, named, series=panel.forward_columns(HORIZONS), needs=["open"], by_date=True).persist()  # dealt out by date once for all that ranks
+        daily = gram.rank_ic(wide, list(named), labels, MINIMUM, dealt=True).withColumn("horizon", F.regexp_extract("label", r"(\d+)$", 1).cast("int")).persist()
         one = daily.where("horizon = 1")
         days = one.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)  # the calendar
         starts, n = _starts(days)
@@ -171,7 +171,7 @@ def scorer(spark, sf_dir):
         errors = inference.bootstrap_errors(inference.bootstrap_means(series, starts.where("draw < 200"), BLOCK, n))
         long = scoring.melt(wide, named, ("date", "key", "fwd_1")).withColumn("available", F.col("fwd_1").isNotNull())
         coverage = scoring.universe_coverage(long, "available").withColumnRenamed("universe_coverage", "coverage")
-        rows = candidates.metrics(daily, errors, gram.turnover(wide, list(named)), coverage, candidates.forms(spark, named), years, TURNOVER_CUT).collect()  # one row for each formula
+        rows = candidates.metrics(daily, errors, gram.turnover(wide, list(named), dealt=True), coverage, candidates.forms(spark, named), years, TURNOVER_CUT).collect()  # one row for each formula
         for held in (wide, daily):
             held.unpersist()
         out = {}

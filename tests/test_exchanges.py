@@ -113,17 +113,31 @@ def test_autocorrelation_of_columns_is_that_of_long_rows(spark, grid):
     assert gram.autocorrelation(some.limit(0), names).count() == 0
 
 
-def test_baselines_move_no_row_for_a_formula_and_a_name(spark, tmp_path):
+def test_baselines_move_no_row_for_a_formula_and_a_name(spark):
     """Rows that the query's jobs shuffle are few for each bar, whatever the number of formulas."""
     from tests.conftest import DATA
 
     bars = scores.grid(spark, DATA).count()
-    before = _written(spark)
+    seen = len(_stages(spark))
     assert scores.search_baselines(spark, DATA).count() == 2
-    assert _written(spark) - before < 20 * bars
+    assert sum(_stages(spark)[seen:]) < 20 * bars
 
 
-def _written(spark):
+def test_a_round_of_the_search_moves_its_rows_by_key_by_date_and_by_key(spark):
+    from tests.conftest import DATA
+
+    from tessera.queries.extras import scorer
+
+    cells, score = scores.grid(spark, DATA).count(), scorer(spark, DATA)
+    texts = ["RANK(TS_MEAN($close, 3))", "TS_STD($volume, 5)", "-$return"]
+    first = score(texts)  # makes the bars too
+    seen = len(_stages(spark))
+    assert score(texts) == first and set(first) == set(texts)
+    assert sum(records == cells for records in _stages(spark)[seen:]) <= 3  # pool, correlations and turnover
+
+
+def _stages(spark):
+    """Rows that each stage wrote for exchanges, in the order of stages."""
     store = spark.sparkContext._jsc.sc().statusStore()
     stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return [n for _, n in sorted((stages.apply(i).stageId(), stages.apply(i).shuffleWriteRecords()) for i in range(stages.size()))]
